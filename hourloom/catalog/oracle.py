@@ -157,8 +157,8 @@ def _with(*parts: str) -> str:
 
 
 def r(*names: str, digits: int = 6) -> str:
-    """Rounded columns; adding zero turns a negative zero into zero."""
-    return ", ".join(f"round({n}, {digits}) + 0e0 as {n}" for n in names)
+    """Rounded columns, moved off the rounding ties (see ``tidy`` of the queries)."""
+    return ", ".join(f"round({n} + 3.3e-10, {digits}) as {n}" for n in names)
 
 
 def _band(v: str, field: str) -> str:
@@ -186,8 +186,8 @@ def _feature_sql(*names: str) -> str:
 
 
 def _profile(src: str, ts: str, v: str, by: str = "") -> str:
-    return (f"select {by} hour, {r('mean', 'std')}, round(mean + std, 6) as upper, "
-            f"round(mean - std, 6) as lower from (select {by} cast(hour({ts}) as integer) as hour,"
+    return (f"select {by} hour, {r('mean', 'std')}, round(mean + std + 3.3e-10, 6) as upper, "
+            f"round(mean - std + 3.3e-10, 6) as lower from (select {by} cast(hour({ts}) as integer) as hour,"
             f" avg({v}) as mean, stddev_samp({v}) as std from {src} group by all)")
 
 
@@ -204,14 +204,14 @@ def _line_features(key: str) -> str:
     q = "l_quantity"
     ids = ", ".join(dict.fromkeys([key, "l_orderkey", "l_linenumber", "l_partkey"]))
     means = ", ".join(
-        f"round({_gate('avg', q, n, key, _LINE_ORDER)}, 6) + 0e0 as mean_{n}"
+        f"round({_gate('avg', q, n, key, _LINE_ORDER)} + 3.3e-10, 6) as mean_{n}"
         for n in (3, 6, 24, 168))
     stds = ", ".join(
-        f"round({_gate('stddev_samp', q, n, key, _LINE_ORDER)}, 6) + 0e0 as std_{n}"
+        f"round({_gate('stddev_samp', q, n, key, _LINE_ORDER)} + 3.3e-10, 6) as std_{n}"
         for n in (24, 168))
-    lags = ", ".join(f"round({_lag(q, k, key, _LINE_ORDER)}, 6) as lag_{k}"
+    lags = ", ".join(f"round({_lag(q, k, key, _LINE_ORDER)} + 3.3e-10, 6) as lag_{k}"
                      for k in (1, 24, 168))
-    return f"select {ids}, round({q}, 6) as {q}, {lags}, {means}, {stds} from lineitem"
+    return f"select {ids}, round({q} + 3.3e-10, 6) as {q}, {lags}, {means}, {stds} from lineitem"
 
 
 def _describe(columns) -> str:
@@ -228,12 +228,12 @@ def _account(stage: str, src: str, kept: str) -> str:
     return (f"select '{stage}' as stage, count(*) as rows, min(timestamp) as first, "
             f"max(timestamp) as last, count(*) filter (where {kept}) as rows_kept, "
             f"count(*) - count(*) filter (where {kept}) as rows_lost, "
-            f"round((1 - count(*) filter (where {kept}) / count(*)) * 100, 6) + 0e0 as pct_lost "
+            f"round((1 - count(*) filter (where {kept}) / count(*)) * 100 + 3.3e-10, 6) as pct_lost "
             f"from {src}")
 
 
 _FEATURE_OUT = ", ".join(
-    n if n == "is_weekend" else f"round({n}, 6) + 0e0 as {n}" for n in [*_FEATURE_SQL, "pm25"])
+    n if n == "is_weekend" else f"round({n} + 3.3e-10, 6) as {n}" for n in [*_FEATURE_SQL, "pm25"])
 _FEATURE_ROWS = FEATURES + f"select {_ST}, {_FEATURE_OUT} from fx_features"
 
 ORACLE: dict[str, str] = {
@@ -257,18 +257,18 @@ ORACLE: dict[str, str] = {
     "hour_floor": "select event_id, date_trunc('hour', ts) as ts from events",
     "column_projection": BASE + f"select timestamp, {r('pm25', 'aqi', 'no2', 'o3')} "
                                 "from fx_readings",
-    "negative_clip": f"select event_id, round(case when pm25 < 0 then 0 else pm25 end, 6) + 0e0 "
+    "negative_clip": f"select event_id, round(case when pm25 < 0 then 0 else pm25 end + 3.3e-10, 6) "
                      f"as pm25 from {_SHIFTED}",
     "fence_clip": _with(_FX, _CLEAN) + f"select {_ST}, {r('pm25', 'no2', 'o3')} from fx_clipped",
     "divisor_floor": BASE + "select timestamp, round(case when wind_speed < 0.1 then 0.1 else "
-                            "wind_speed end, 6) as wind_speed from fx_cov",
+                            "wind_speed end + 3.3e-10, 6) as wind_speed from fx_cov",
     "live_overlay": BASE + f""", live as (
         select event_type as station, date_trunc('hour', ts) as hour,
                case when event_id % 2 = 0 then value end as new_value
         from (select *, row_number() over (partition by event_type order by event_id desc) as rn
               from events) where rn = 1)
         select p.station, p.timestamp, round(case when p.timestamp = hour then new_value
-               else pm25 end, 6) + 0e0 as pm25
+               else pm25 end + 3.3e-10, 6) as pm25
         from fx_panel p left join live l on l.station = p.station""",
     "drop_missing_target": BASE + f"select {_ST}, {r('pm25', 'aqi')} from fx_panel "
                                   "where pm25 is not null",
@@ -281,7 +281,7 @@ ORACLE: dict[str, str] = {
     "clean_without_optional": CLEAN + f"""select {_ST}, {r('pm25', 'temp', 'wind_speed')}
         from fx_clean""",
     "hour_join": BASE + f"select {_ST}, {_CLEAN_COLUMNS} from fx_panel",
-    "risk_bands": f"""select event_id, round(pm25, 6) + 0e0 as pm25,
+    "risk_bands": f"""select event_id, round(pm25 + 3.3e-10, 6) as pm25,
         cast({_band('pm25', 'band')} as integer) as band, {_band('pm25', 'label')} as label,
         {_band('pm25', 'color')} as color, {_band('pm25', 'action')} as action
         from {_SHIFTED}""",
@@ -302,9 +302,9 @@ ORACLE: dict[str, str] = {
     "hour_profile": CLEAN + _profile("fx_clean", "timestamp", "pm25"),
     "station_hour_profile": CLEAN + _profile("fx_clean", "timestamp", "pm25", "station,"),
     "raw_hour_profile": _profile("events", "ts", "value"),
-    "trailing_statistics": CLEAN + f"""select station, round(avg(pm25), 6) as mean,
-        round(max(pm25), 6) as max, count(*) filter (where pm25 > 55) as critical_rows,
-        round(avg(case when pm25 > 12 then 1.0 else 0.0 end) * 100, 6) as pct_over
+    "trailing_statistics": CLEAN + f"""select station, round(avg(pm25) + 3.3e-10, 6) as mean,
+        round(max(pm25) + 3.3e-10, 6) as max, count(*) filter (where pm25 > 55) as critical_rows,
+        round(avg(case when pm25 > 12 then 1.0 else 0.0 end) * 100 + 3.3e-10, 6) as pct_over
         from {_last('fx_clean', 720)} group by station""",
     "describe_clean": CLEAN + _describe(["pm25", "temp", "humidity", "wind_speed", "no2"]),
     "stage_accounts": CLEAN + _account("panel", "fx_panel", "pm25 is not null") + " union all "
@@ -312,7 +312,7 @@ ORACLE: dict[str, str] = {
     "error_metrics": FOLDED + f"select model, fold, n, {r('mae', 'rmse', 'mape', 'r2')} "
                               "from fx_metrics",
     "fold_scores": FOLDED + f"select model, {', '.join(_METRICS)} from fx_scores",
-    "guideline_ratio": "select event_id, round(value / 5.0::double, 6) as ratio from events",
+    "guideline_ratio": "select event_id, round(value / 5.0::double + 3.3e-10, 6) as ratio from events",
     "target_lags": _feature_sql(*[f"pm25_lag_{k}h" for k in (1, 3, 6, 12, 24, 48, 168)]),
     "trailing_means": _feature_sql(*[f"pm25_rolling_{t}" for t in ("3h", "6h", "24h", "7d")]),
     "trailing_deviations": _feature_sql("pm25_std_24h", "pm25_std_7d"),
@@ -320,8 +320,8 @@ ORACLE: dict[str, str] = {
     "pressure_change": _feature_sql("pressure_change_3h"),
     "secondary_lags": _feature_sql("no2_lag_1h", "no2_lag_24h"),
     "edge_fill": BASE + f"select {_ST}, " + ", ".join(
-        f"round({_edge(c)}, 6) + 0e0 as {c}" for c in ("temp", "no2", "o3")) + " from fx_panel",
-    "line_fill": BASE + f"select {_ST}, round(filled, 6) + 0e0 as pm25 from "
+        f"round({_edge(c)} + 3.3e-10, 6) as {c}" for c in ("temp", "no2", "o3")) + " from fx_panel",
+    "line_fill": BASE + f"select {_ST}, round(filled + 3.3e-10, 6) as pm25 from "
                  + _line("(select station, timestamp, pm25 from fx_panel)", "pm25"),
     "row_position": "select event_type, event_id, row_number() over (partition by event_type "
                     "order by ts, event_id) - 1 as position from events",
@@ -340,14 +340,14 @@ ORACLE: dict[str, str] = {
         cast(dayofyear(ts) as integer) as dayofyear,
         cast(case when isodow(ts) >= 6 then 1 else 0 end as integer) as is_weekend from events""",
     "cyclic_calendar": "select event_id, " + ", ".join(
-        f"round({_FEATURE_SQL[n].replace('timestamp', 'ts')}, 6) + 0e0 as {n}" for n in (
+        f"round({_FEATURE_SQL[n].replace('timestamp', 'ts')} + 3.3e-10, 6) as {n}" for n in (
             "hour_sin", "hour_cos", "month_sin", "month_cos", "dow_sin", "dow_cos"))
         + " from events",
     "wind_vector": BASE + "select timestamp, " + ", ".join(
-        f"round({_FEATURE_SQL[n]}, 6) + 0e0 as {n}" for n in ("wind_u", "wind_v"))
+        f"round({_FEATURE_SQL[n]} + 3.3e-10, 6) as {n}" for n in ("wind_u", "wind_v"))
         + " from fx_cov",
     "weather_interactions": BASE + "select timestamp, " + ", ".join(
-        f"round({_FEATURE_SQL[n]}, 6) + 0e0 as {n}" for n in (
+        f"round({_FEATURE_SQL[n]} + 3.3e-10, 6) as {n}" for n in (
             "temp_sq", "temp_x_humidity", "stagnation_idx")) + " from fx_cov",
     "half_even_rounding": """select event_id,
         round_even(cast(cast(round(value*100) as bigint) % 1000 as double) / 8, 2) as two,
@@ -358,7 +358,7 @@ ORACLE: dict[str, str] = {
     "risk_now": CLEAN + f"""select {_ST}, {r('pm25')},
         cast({_band('pm25', 'band')} as integer) as band, {_band('pm25', 'label')} as label,
         {_band('pm25', 'color')} as color, {_band('pm25', 'action')} as action,
-        round(pm25 / 5.0::double, 6) as guideline_ratio from {_last('fx_clean', 1)}""",
+        round(pm25 / 5.0::double + 3.3e-10, 6) as guideline_ratio from {_last('fx_clean', 1)}""",
     "risk_week": CLEAN + f"""select {_ST}, {r('pm25')},
         cast({_band('pm25', 'band')} as integer) as band, {_band('pm25', 'color')} as color
         from {_last('fx_clean', 168)}""",
@@ -378,12 +378,12 @@ ORACLE: dict[str, str] = {
     "supplier_series_features": _line_features("l_suppkey"),
     "flag_series_features": _line_features("l_returnflag"),
     "flag_series_quartiles": "select l_returnflag, " + ", ".join(
-        f"round(quantile_cont({c}, {p}), 6) as {c}_{t}"
+        f"round(quantile_cont({c}, {p}) + 3.3e-10, 6) as {c}_{t}"
         for c in ("l_quantity", "l_extendedprice")
         for p, t in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.999, "p99_9")))
         + " from lineitem group by 1",
     "flag_series_fill": "select l_returnflag, l_orderkey, l_linenumber, l_partkey, "
-        "round(filled, 6) + 0e0 as line, round(edge, 6) + 0e0 as edge from "
+        "round(filled + 3.3e-10, 6) as line, round(edge + 3.3e-10, 6) as edge from "
         + _line(f"""(select l_returnflag, {_LINE_ORDER}, line,
             {_edge('edge', 'l_returnflag', _LINE_ORDER)} as edge from (
             select *, case when l_orderkey % 5 >= 3 then l_extendedprice end as line,
@@ -391,11 +391,11 @@ ORACLE: dict[str, str] = {
                 "line", "l_returnflag", _LINE_ORDER),
     "flag_row_position": "select l_returnflag, l_orderkey, l_linenumber, l_partkey, row_number() "
         f"over (partition by l_returnflag order by {_LINE_ORDER}) - 1 as position from lineitem",
-    "user_series_features": "select user_id, event_id, round(value, 6) as value, round("
-        + _lag("value", 1, "user_id", "ts, event_id") + ", 6) as lag_1, "
-        + ", ".join(f"round({_gate('avg', 'value', n, 'user_id', 'ts, event_id')}, 6) as mean_{n}"
+    "user_series_features": "select user_id, event_id, round(value + 3.3e-10, 6) as value, round("
+        + _lag("value", 1, "user_id", "ts, event_id") + " + 3.3e-10, 6) as lag_1, "
+        + ", ".join(f"round({_gate('avg', 'value', n, 'user_id', 'ts, event_id')} + 3.3e-10, 6) as mean_{n}"
                     for n in (3, 6))
-        + f", round({_gate('stddev_samp', 'value', 6, 'user_id', 'ts, event_id')}, 6) as std_6 "
+        + f", round({_gate('stddev_samp', 'value', 6, 'user_id', 'ts, event_id')} + 3.3e-10, 6) as std_6 "
           "from events",
     "hourly_stream": BASE + """select station as event_type, h as timestamp, n, cents from fx_obs
         where h + interval 1 hour <= (select max(ts) from events) - interval 1 hour""",

@@ -16,11 +16,13 @@ from ..functions import risk, scalars
 from ..models.bundle import Bundle, load_bundle, save_bundle, score_recent
 from ..models.trainers import fit, top_importances
 from ..operators import align, fences, summary, validate
-from ..operators.features import all_features, build_features, complete_rows, feature_names
+from ..operators.features import all_features, build_features, complete_rows
 from ..operators.fill import fill_series
 from ..operators.order_stats import quantiles
 from ..operators.rolling import trailing_stats
-from ..operators.scale import along_series, ensure_checkpoint_dir, row_positions
+from ..operators.scale import (
+    along_series, ensure_checkpoint_dir, longest_series, row_positions,
+)
 from ..plans.clean import clean_panel, clean_series
 from ..plans.experiment import fold_predictions, model_scores, run_experiment
 from ..plans.monitor import latest_risk, recent_risk
@@ -40,10 +42,17 @@ def query(f: Query) -> Query:
     return f
 
 
+OFF_TIE = 3.3e-10
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six digits, so that both engines show the same value."""
+    """Doubles rounded to six digits, so that both engines show the same value.
+
+    Means of cents over small counts often end exactly on a half; a shift far below the shown
+    digits decides those the same way everywhere.
+    """
     return df.select(*[
-        F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        F.round(F.col(f.name) + OFF_TIE, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema])
 
 
@@ -57,8 +66,21 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
     return clean_series(fx.readings(spark, d), fx.weather(spark, d), "station")
 
 
+def _clean_and_bound(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Clean rows and the measured row count of the longest series; cleaning adds no rows."""
+    p = fx.panel(spark, d)
+    bound = longest_series(p, KEY)
+    return clean_panel(p, KEY, rows_bound=bound), bound
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
-    return build_features(clean(spark, d), KEY)
+    rows, bound = _clean_and_bound(spark, d)
+    return build_features(rows, KEY, rows_bound=bound)
+
+
+def features_with_warm_up(spark: SparkSession, d: str) -> DataFrame:
+    rows, bound = _clean_and_bound(spark, d)
+    return all_features(rows, KEY, rows_bound=bound)
 
 
 # ---- sources and sinks -------------------------------------------------------------------
@@ -173,9 +195,9 @@ def drop_incomplete_rows(spark, d):
 @query
 def feature_presence(spark, d):
     """Each feature in model order with the number of rows that have it."""
-    base = clean(spark, d)
-    names = feature_names(base.columns)
-    counts = all_features(base, KEY).agg(*[F.count(n).alias(n) for n in names])
+    wide = features_with_warm_up(spark, d)
+    names = [c for c in wide.columns if c not in ("station", "timestamp", "pm25")]
+    counts = wide.agg(*[F.count(n).alias(n) for n in names])
     cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("feature"),
                                F.col(n).alias("present")) for i, n in enumerate(names)])
     return counts.select(F.explode(cells).alias("c")).select("c.*")
@@ -261,11 +283,9 @@ def stage_accounts(spark, d):
 
 def _two_rules(spark, d) -> DataFrame:
     """Fold predictions of two rules that need no training."""
-    folded = validate.assign_folds(features(spark, d))
-    daily = folded.where("test_fold > 0").select(
-        F.lit("daily").alias("model"), F.col("test_fold").alias("fold"),
-        F.col("pm25").alias("y"), F.col("pm25_lag_24h").alias("yhat"))
-    return validate.persistence_predictions(folded).unionByName(daily)
+    folded = validate.assign_folds(_stored_features(spark, d)[0])
+    return validate.rule_predictions(
+        folded, "pm25", {"persistence": "pm25_lag_1h", "daily": "pm25_lag_24h"})
 
 
 @query
@@ -289,7 +309,7 @@ def guideline_ratio(spark, d):
 
 def _feature_columns(*names: str) -> Query:
     def run(spark, d):
-        return tidy(all_features(clean(spark, d), KEY).select("station", "timestamp", *names))
+        return tidy(features_with_warm_up(spark, d).select("station", "timestamp", *names))
     return run
 
 
@@ -439,7 +459,7 @@ def series_folds(spark, d):
 
 @query
 def persistence_scores(spark, d):
-    folded = validate.assign_folds(features(spark, d))
+    folded = validate.assign_folds(_stored_features(spark, d)[0])
     return validate.fold_summary(validate.error_metrics(
         validate.persistence_predictions(folded)))
 
@@ -585,8 +605,8 @@ def feature_stream(spark, d):
     clean(spark, d).write.parquet(f"{base}/clean")
     landed = spark.read.parquet(f"{base}/clean")
     middle = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    source = spark.readStream.schema(landed.schema).parquet(f"{base}/landed")
     for part in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
         landed.where(part).write.mode("append").parquet(f"{base}/landed")
+        source = spark.readStream.schema(landed.schema).parquet(f"{base}/landed")
         refresh_features(source, f"{base}/out", f"{base}/progress", KEY).awaitTermination()
     return tidy(spark.read.parquet(f"{base}/out/features").drop("batch"))

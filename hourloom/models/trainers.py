@@ -29,23 +29,30 @@ def persistence_model(target: str) -> PipelineModel:
     return PipelineModel(stages=[stage])
 
 
-def ridge_penalty(train: DataFrame, target: str, alpha: float) -> float:
-    """Penalty that makes Spark's solver minimise squared error + alpha * |w|² on scaled inputs.
-
-    Spark averages the squared error over n rows and scales the label by its deviation.
-    """
-    row = train.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("s")).first()
-    return alpha * (row["s"] or 0.0) / row["n"] if row["n"] else 0.0
-
-
 def fit_ridge(train: DataFrame, features: Sequence[str], target: str,
               settings: RidgeSettings = RidgeSettings()) -> PipelineModel:
-    """Least squares with an L2 penalty on standardised features, intercept free of penalty."""
+    """Least squares with an L2 penalty on standardised features, intercept free of penalty.
+
+    Spark averages the squared error over n rows and scales the label by its deviation, so the
+    penalty alpha on |w|² becomes alpha * deviation / n. A feature that is constant in the
+    training rows has weight zero; it is left out because it would make the solver's matrix
+    singular. One pass measures both.
+    """
+    row = train.agg(
+        F.count(target).alias("n"), F.stddev_pop(target).alias("s"),
+        *[(F.min(f) < F.max(f)).alias(f"varies_{f}") for f in features]).first()
+    varying = [f for f in features if row[f"varies_{f}"]]
+    if not row["n"]:
+        raise ValueError("no training rows")
+    if not varying or not row["s"]:
+        mean = train.agg(F.avg(target)).first()[0]
+        return PipelineModel(stages=[SQLTransformer(
+            statement=f"SELECT *, CAST({mean!r} AS DOUBLE) AS {PREDICTION} FROM __THIS__")])
     model = LinearRegression(
         featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION, solver="normal",
         standardization=True, elasticNetParam=0.0,
-        regParam=ridge_penalty(train, target, settings.alpha))
-    return Pipeline(stages=[assembler(features), model]).fit(train)
+        regParam=settings.alpha * row["s"] / row["n"])
+    return Pipeline(stages=[assembler(varying), model]).fit(train)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], target: str,

@@ -26,10 +26,10 @@ def hourly_grid(weather: DataFrame, series: DataFrame, key: str, ts: str = "time
     it is broadcast only if its measured size allows.
     """
     shared = settle(weather)
-    ends = shared.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    if ends["lo"] is None:
+    first, last = shared.agg(F.min(ts), F.max(ts)).first()
+    if first is None:
         return _no_hours(series, key, shared)
-    lo, hi = (F.lit(ends[n].isoformat(sep=" ")).cast("timestamp_ntz") for n in ("lo", "hi"))
+    lo, hi = (F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in (first, last))
     hours = F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR")))
     grid = series.select(key).distinct().select(key, hours.alias(ts))
     return attach(grid, shared, [ts], scale, "inner")

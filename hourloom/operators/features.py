@@ -63,7 +63,7 @@ def row_features(df: DataFrame, ts: str = "timestamp",
     """All columns that need only their own row."""
     u, v = wind_vector(F.col("wind_speed"), F.col("wind_dir"))
     return df.withColumns({
-        **calendar_parts(F.col(ts)), **cyclic_calendar(F.col(ts)),
+        "is_weekend": calendar_parts(F.col(ts))["is_weekend"], **cyclic_calendar(F.col(ts)),
         "wind_u": u, "wind_v": v,
         "temp_sq": temp_squared(F.col("temp")),
         "temp_x_humidity": temp_humidity(F.col("temp"), F.col("humidity")),
@@ -73,9 +73,12 @@ def row_features(df: DataFrame, ts: str = "timestamp",
 
 def all_features(df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp",
                  target: str = "pm25", settings: FeatureSettings = FeatureSettings(),
-                 scale: ScaleSettings = ScaleSettings(),
-                 rows_bound: int | None = None) -> DataFrame:
-    """Every feature for every row, warm-up rows included. Without ``keys``: one series."""
+                 scale: ScaleSettings = ScaleSettings(), rows_bound: int | None = None,
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """Every feature for every row, warm-up rows included. Without ``keys``: one series.
+
+    ``keep`` names further input columns to pass on.
+    """
     clean = nan_free(df)
     keys_used = list(keys) or ["__one"]
     if not keys:
@@ -84,7 +87,8 @@ def all_features(df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp",
         clean, keys_used, [ts], settings.reach,
         lambda d, w: window_features(d, w, target, settings), scale, rows_bound)
     names = feature_names(df.columns, target, settings)
-    return row_features(wide, ts, settings).select(*keys, ts, *names, target)
+    return row_features(wide, ts, settings).select(
+        *keys, ts, *names, target, *keep)
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

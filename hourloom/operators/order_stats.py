@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ScaleSettings
-from .scale import LongSeries, attach, settle, split_long
+from .scale import LongSeries, attach, longest_series, settle, split_long
 
 
 def quantile_name(column: str, prob: float) -> str:
@@ -22,6 +22,8 @@ def quantile_name(column: str, prob: float) -> str:
 
 
 def _long_groups(df: DataFrame, by: Sequence[str], scale: ScaleSettings) -> LongSeries | None:
+    if longest_series(df, by) <= scale.max_group_rows:
+        return None
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     found = settle(counts.where(F.col("__n") > scale.max_group_rows))
     return None if found.isEmpty() else LongSeries(tuple(by), found)

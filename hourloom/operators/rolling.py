@@ -52,6 +52,9 @@ def trailing_stats(df: DataFrame, window: WindowSpec, column: str, means: dict[i
     temporary: list[str] = []
     pending = dict(extra or {})
     plan = block_plan([*means, *stds])
+    # Means are computed under their final name: a later rename would make the optimizer carry
+    # every constraint twice per renamed column.
+    name_of = {n: means.get(n, f"__mean_{n}") for n, _ in plan}
     for n, block in plan:
         if block > 0:
             continue
@@ -60,28 +63,28 @@ def trailing_stats(df: DataFrame, window: WindowSpec, column: str, means: dict[i
     for n, block in plan:
         if block == 0:
             continue
-        m, d = f"__mean_{n}", f"__dev_{n}"
+        m, d = name_of[n], f"__dev_{n}"
         if block == 1:
             lags = {f"__row_{n}_{j}": F.lag(column, j).over(window) for j in range(1, n + 1)}
             df = df.withColumns({**pending, **lags})
             parts, deviations = [F.col(c) for c in lags], None
         else:
-            bm, bd = f"__mean_{block}", f"__dev_{block}"
+            bm, bd = name_of[block], f"__dev_{block}"
             steps = range(block, n, block)
-            lags = {f"{bm}_{n}_{j}": F.lag(bm, j).over(window) for j in steps}
-            lags |= {f"{bd}_{n}_{j}": F.lag(bd, j).over(window) for j in steps}
+            back = {j: (f"__mean_{n}_{j}", f"__dev_{n}_{j}") for j in steps}
+            lags = {a: F.lag(bm, j).over(window) for j, (a, _) in back.items()}
+            lags |= {b: F.lag(bd, j).over(window) for j, (_, b) in back.items()}
             df = df.withColumns({**pending, **lags})
-            parts = [F.col(bm), *(F.col(f"{bm}_{n}_{j}") for j in steps)]
-            deviations = [F.col(bd), *(F.col(f"{bd}_{n}_{j}") for j in steps)]
+            parts = [F.col(bm), *(F.col(a) for a, _ in back.values())]
+            deviations = [F.col(bd), *(F.col(b) for _, b in back.values())]
         pending = {}
-        temporary += [*lags, m, d]
+        temporary += [*lags, d, *([] if n in means else [m])]
         df = df.withColumn(m, reduce(add, parts) / F.lit(float(len(parts))))
         spread = reduce(add, [(p - F.col(m)) * (p - F.col(m)) for p in parts]) * float(block)
         df = df.withColumn(d, spread if deviations is None else spread + reduce(add, deviations))
     if pending:
         df = df.withColumns(pending)
-    out = {means[n]: F.col(f"__mean_{n}") for n, b in plan if b > 0 and n in means}
-    out |= {stds[n]: F.sqrt(F.col(f"__dev_{n}") / F.lit(float(n - 1)))
+    out = {stds[n]: F.sqrt(F.col(f"__dev_{n}") / F.lit(float(n - 1)))
             for n, b in plan if b > 0 and n in stds}
     return df.withColumns(out).drop(*temporary)
 

@@ -100,15 +100,22 @@ class LongSeries:
     table: DataFrame
 
 
+def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the longest series; counted before the shuffle, reads only the keys."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.agg(F.max("__n")).first()[0] or 0
+
+
 def find_long(df: DataFrame, keys: Sequence[str], lead: str, scale: ScaleSettings,
               rows_bound: int | None = None) -> LongSeries | None:
     """Series with more rows than one task should hold; ``None`` when there is none.
 
-    ``rows_bound`` is a bound the caller has proved; at or under the limit nothing is measured.
-    The count is combined before the shuffle and reads only the key and the order column. The
-    result has at most total rows / limit rows.
+    ``rows_bound`` is a bound the caller has measured or proved; without it the longest series
+    is counted. The result has at most total rows / limit rows.
     """
-    if rows_bound is not None and rows_bound <= scale.max_group_rows:
+    if rows_bound is None:
+        rows_bound = longest_series(df, keys)
+    if rows_bound <= scale.max_group_rows:
         return None
     at = order_number(df, lead)
     per_series = df.groupBy(*keys).agg(

@@ -117,9 +117,16 @@ def best_model(summary: DataFrame) -> DataFrame:
                       F.min("mae").alias("mae"))
 
 
+def rule_predictions(folded: DataFrame, target: str, rules: dict[str, str]) -> DataFrame:
+    """Predictions of rules that are columns already; all rules in one pass over the rows."""
+    cells = F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).alias("yhat"))
+                      for name, c in rules.items()])
+    return folded.where(F.col("test_fold") > 0).select(
+        F.col("test_fold").alias("fold"), F.col(target).alias("y"),
+        F.explode(cells).alias("c")).select("c.model", "fold", "y", "c.yhat")
+
+
 def persistence_predictions(folded: DataFrame, target: str = "pm25",
                             name: str = "persistence") -> DataFrame:
     """The previous row's value as prediction; needs no training."""
-    return folded.where(F.col("test_fold") > 0).select(
-        F.lit(name).alias("model"), F.col("test_fold").alias("fold"),
-        F.col(target).alias("y"), F.col(f"{target}_lag_1h").alias("yhat"))
+    return rule_predictions(folded, target, {name: f"{target}_lag_1h"})

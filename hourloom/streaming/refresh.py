@@ -18,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..config import FeatureSettings, ScaleSettings
 from ..operators.features import all_features, complete_rows, feature_names
-from ..operators.scale import attach, settle
+from ..operators.scale import settle
 from ..operators.summary import last_rows
 
 
@@ -46,17 +46,16 @@ def refresh_batch(new: DataFrame, batch: int, base: str, keys: Sequence[str],
     spark = new.sparkSession
     old = settle(_carried(spark, base, batch, new.schema))
     seen = old.groupBy(*keys).agg(F.max(ts).alias("__last"))
-    starts = settle(new.groupBy(*keys).agg(F.min(ts).alias("__first")))
+    starts = new.groupBy(*keys).agg(F.min(ts).alias("__first"))
     if not starts.join(seen, list(keys)).where("__first <= __last").isEmpty():
         raise ValueError("a batch holds rows that are not later than the rows already stored")
-    rows = old.unionByName(new)
-    wide = all_features(rows, keys, ts, target, settings, scale)
+    rows = old.withColumn("__new", F.lit(False)).unionByName(
+        new.withColumn("__new", F.lit(True)))
+    wide = all_features(rows, keys, ts, target, settings, scale, keep=["__new"])
     names = feature_names(new.columns, target, settings)
-    fresh = attach(wide, starts, keys, scale, "inner").where(
-        F.col(ts) >= F.col("__first")).drop("__first")
-    complete_rows(fresh, [*names, target, ts]).write.mode("overwrite").parquet(
-        f"{base}/features/batch={batch}")
-    last_rows(rows, settings.reach, keys, ts).withColumn(
+    fresh = complete_rows(wide.where("__new").drop("__new"), [*names, target, ts])
+    fresh.write.mode("overwrite").parquet(f"{base}/features/batch={batch}")
+    last_rows(rows.drop("__new"), settings.reach, keys, ts).withColumn(
         "__batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(
         f"{base}/carry/slot_{batch % 2}")
 
