@@ -56,10 +56,9 @@ def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 
 def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
     """Bin number that never decreases with ``v``: 0 under the bracket, bins + 1 over it."""
-    inside = F.least(F.lit(bins).cast("bigint"),
-                     1 + F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * bins))
-    return (F.when(v < low, F.lit(0)).when(v > high, F.lit(bins + 1))
-            .otherwise(F.coalesce(inside, F.lit(1)))).cast("bigint")
+    share = F.try_divide(v - low, high - low)
+    inside = F.least(F.lit(bins), 1 + F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int"))
+    return F.when(v < low, F.lit(0)).when(v > high, F.lit(bins + 1)).otherwise(inside)
 
 
 def refined_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -83,31 +82,47 @@ def refined_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
                      F.col("__edges")[2 * i].alias("__low"),
                      F.col("__edges")[2 * i + 1].alias("__high"))
             for i, p in enumerate(probs)])).alias("__t")).select(*keys, "__col", "__t.*")
-    group = [*keys, "__col", "__prob"]
-    per_column = settle(targets.groupBy(*keys, "__col").agg(F.collect_list(
-        F.struct("__prob", "__rank", "__low", "__high")).alias("__targets")))
-
-    # Both passes below read every present value once, next to its few targets.
-    paired = attach(present, per_column, [*keys, "__col"], scale, "inner").select(
-        *keys, "__col", "__v", F.explode("__targets").alias("__t")).select(
-        *keys, "__col", "__v", "__t.*")
-    binned = paired.withColumn(
-        "__bin", _bin(F.col("__v"), F.col("__low"), F.col("__high"), scale.quantile_bins))
+    column, group = [*keys, "__col"], [*keys, "__col", "__prob"]
+    brackets_of = settle(targets.groupBy(*column).agg(F.sort_array(F.collect_list(
+        F.struct("__prob", "__rank", "__low", "__high"))).alias("__targets")))
+
+    # One bin number per wanted quantile. Rows are counted by all of them at once: together they
+    # only ever grow with the value, so there are few combinations and no row is copied.
+    binned = attach(present, brackets_of, column, scale, "inner").select(
+        *column, "__v", F.array(*[
+            _bin(F.col("__v"), F.col("__targets")[i]["__low"], F.col("__targets")[i]["__high"],
+                 scale.quantile_bins) for i in range(len(probs))]).alias("__bins"))
+    counted = binned.groupBy(*column, "__bins").agg(F.count(F.lit(1)).alias("__rows"))
+    per_bin = counted.select(
+        *column, "__rows", F.posexplode("__bins").alias("__prob", "__bin")).groupBy(
+        *group, "__bin").agg(F.sum("__rows").alias("__rows"))
+    ranks = brackets_of.select(*column, F.explode("__targets").alias("__t")).select(
+        *column, "__t.__prob", "__t.__rank")
+    ranked = attach(per_bin, ranks, group, scale)
     lower = F.floor("__rank")
     running = Window.partitionBy(*group).orderBy("__bin")
-    bins = (
-        binned.groupBy(*group, "__rank", "__bin").agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__upto", F.sum("__rows").over(
+    holding = (
+        ranked.withColumn("__upto", F.sum("__rows").over(
             running.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("__before", F.col("__upto") - F.col("__rows"))
         .where((F.col("__before") <= lower + 1) & (F.col("__upto") > lower)))
-    wanted = settle(bins.groupBy(*group).agg(
-        F.collect_set("__bin").alias("__bins"), F.min("__before").alias("__skip")))
-
+    wanted = settle(
+        holding.groupBy(*group, "__rank").agg(
+            F.collect_set("__bin").alias("__in"), F.min("__before").alias("__skip"))
+        .groupBy(*column).agg(F.sort_array(F.collect_list(
+            F.struct("__prob", "__rank", "__in", "__skip"))).alias("__wanted")))
+
+    # Only rows of the one or two bins around a wanted rank are ordered.
+    want = F.col("__wanted")
+    hits = F.array(*[
+        F.when(F.array_contains(want[i]["__in"], F.col("__bins")[i]), want[i])
+        for i in range(len(probs))])
     candidates = (
-        attach(binned, wanted, group, scale, "inner")
-        .where(F.array_contains("__bins", F.col("__bin")))
-        .groupBy(*group, "__rank", "__skip", "__v").agg(F.count(F.lit(1)).alias("__rows")))
+        attach(binned, wanted, column, scale, "inner")
+        .select(*column, "__v", F.explode(hits).alias("__w")).where(F.col("__w").isNotNull())
+        .groupBy(*column, F.col("__w.__prob").alias("__prob"), F.col("__w.__rank").alias("__rank"),
+                 F.col("__w.__skip").alias("__skip"), "__v")
+        .agg(F.count(F.lit(1)).alias("__rows")))
     upward = Window.partitionBy(*group).orderBy("__v")
     placed = candidates.withColumn("__upto", F.col("__skip") + F.sum("__rows").over(
         upward.rowsBetween(Window.unboundedPreceding, 0)))
