@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import ScaleSettings
-from .scale import LongSeries, attach, chunk_rows, find_long, settle, split_long
+from .scale import LONG_FIELDS, LongSeries, attach, chunk_rows, find_long, settle, split_long
 
 FIRST, LAST, HERE = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
@@ -95,7 +95,7 @@ def fill_long(hot: DataFrame, keys: Sequence[str], order: Sequence[str], scale:
         out[line_column] = line_value(F.col(line_column), F.col("__at"),
                                       F.col(f"__prev_{line_column}"), F.col("__next"), limit)
     rows = rows.withColumns(out)
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    return rows.select(*[c for c in hot.columns if c not in LONG_FIELDS])
 
 
 def fill_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -92,6 +92,9 @@ def order_number(df: DataFrame, name: str) -> Column:
     return wall_seconds(F.col(name))
 
 
+LONG_FIELDS = ("__n", "__t0", "__step")
+
+
 @dataclass(frozen=True)
 class LongSeries:
     """Settled table of the series over the row limit: keys, row count, first value, step."""
@@ -155,7 +158,7 @@ def _positions_of_long(rows: DataFrame, keys: Sequence[str], order: Sequence[str
     return (
         attach(numbered, starts, [*keys, "__range"], scale)
         .withColumn(name, F.col("__start") + F.col("__in_range") - 1)
-        .drop("__range", "__in_range", "__start", "__n", "__t0", "__step"))
+        .drop("__range", "__in_range", "__start", *LONG_FIELDS))
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],

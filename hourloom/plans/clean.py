@@ -12,7 +12,7 @@ from ..functions.scalars import clip_lower, clip_upper, nan_free
 from ..operators.align import join_on_hour, overlay_last, to_hour
 from ..operators.fences import QUARTILES, clip_to_fences, fence
 from ..operators.fill import fill_long, fill_short
-from ..operators.scale import find_long, split_long
+from ..operators.scale import LONG_FIELDS, find_long, split_long
 
 
 def _clip_short(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str],
@@ -54,7 +54,7 @@ def clean_panel(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp
         filled = short_plan(rows)
     else:
         short, hot = split_long(rows, long, scale)
-        hot_rows = hot.drop("__n", "__t0", "__step")
+        hot_rows = hot.drop(*LONG_FIELDS)
         clipped = clip_to_fences(hot_rows, fenced, used, s.fence_factor, scale, long)
         _, again = split_long(clipped, long, scale)
         filled = short_plan(short).unionByName(
