@@ -6,17 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import CRITICAL_LIMIT, GUIDELINE_LIMIT, ScaleSettings
 from .order_stats import quantile_name, quantiles
 from .scale import settle
 
+FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType,
+               T.TimestampNTZType)
+
 
 def latest_rows(df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
-    """Row with the greatest time per series; combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("__row"))
-    return picked.select(*keys, "__row.*").select(*df.columns)
+    """Row with the greatest time per series; combined before the shuffle.
+
+    Columns of fixed width are picked one by one: such buffers stay in a hash aggregation,
+    whereas a struct makes Spark sort every input row first. All of them see the rows in the
+    same order, so they pick the same row.
+    """
+    rest = [c for c in df.columns if c not in (*keys, ts)]
+    fixed = all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in rest)
+    if fixed and rest:
+        picked = df.groupBy(*keys).agg(
+            F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in rest])
+    else:
+        picked = df.groupBy(*keys).agg(F.max_by(F.struct(ts, *rest), F.col(ts)).alias("__row"))
+        picked = picked.select(*keys, "__row.*")
+    return picked.select(*df.columns)
 
 
 def last_rows(df: DataFrame, n: int, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:

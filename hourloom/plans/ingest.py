@@ -27,15 +27,19 @@ def one_per_hour(readings: DataFrame, key: str = "station", ts: str = "timestamp
 def run_ingest(spark: SparkSession, station_path: str, weather_path: str, history_path: str,
                as_of: date, days: int, out: str | None = None, key: str = "station",
                settings: CleanSettings = CleanSettings(),
-               scale: ScaleSettings = ScaleSettings()) -> DataFrame:
+               scale: ScaleSettings = ScaleSettings(),
+               weather_per_series: bool = False) -> DataFrame:
     """Parse, bound, splice, clean, and write under the run date.
 
     Station and weather payloads are landed JSON lines; history is a parquet table of readings.
+    Weather is shared by all series unless its payloads are said to belong to one series each.
     With ``out`` the returned frame reads the written date, so nothing is computed twice.
     """
     live = station_rows(read_payloads(spark, station_path, key), key=key)
     history = bounded_history(spark.read.parquet(history_path), as_of, days)
-    weather = bounded_history(weather_rows(read_payloads(spark, weather_path, key)), as_of, days)
+    landed = read_payloads(spark, weather_path, key)
+    weather = bounded_history(
+        weather_rows(landed, keep=(key,) if weather_per_series else ()), as_of, days)
     readings = one_per_hour(splice_history(history, live), key)
     clean = clean_series(readings, weather, key, settings=settings, scale=scale)
     if out is None:
