@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -29,29 +31,73 @@ def persistence_model(target: str) -> PipelineModel:
     return PipelineModel(stages=[stage])
 
 
+@dataclass(frozen=True)
+class TrainStats:
+    """What ridge has to know about its training rows before the fit."""
+
+    n: int
+    mean: float
+    squares: float  # squared deviations of the target from its mean
+    low: tuple
+    high: tuple
+
+    def merge(self, other: TrainStats) -> TrainStats:
+        n, gap = self.n + other.n, other.mean - self.mean
+        return TrainStats(
+            n, self.mean + gap * other.n / n,
+            self.squares + other.squares + gap * gap * self.n * other.n / n,
+            tuple(map(min, self.low, other.low)), tuple(map(max, self.high, other.high)))
+
+
+def _stat_columns(features: Sequence[str], target: str) -> list:
+    return [F.count(target).alias("n"), F.avg(target).alias("mean"),
+            F.var_pop(target).alias("var"), F.array(*[F.min(f) for f in features]).alias("low"),
+            F.array(*[F.max(f) for f in features]).alias("high")]
+
+
+def _stats(row) -> TrainStats:
+    return TrainStats(row["n"], row["mean"], row["var"] * row["n"], tuple(row["low"]),
+                      tuple(row["high"]))
+
+
+def train_stats(train: DataFrame, features: Sequence[str], target: str) -> TrainStats:
+    row = train.agg(*_stat_columns(features, target)).first()
+    if not row["n"]:
+        raise ValueError("no training rows")
+    return _stats(row)
+
+
+def stats_before_folds(folded: DataFrame, features: Sequence[str], target: str
+                       ) -> dict[int, TrainStats]:
+    """Statistics of the training rows of every fold from one pass.
+
+    A training set is the previous one plus one more fold, so one row per fold is enough.
+    """
+    rows = folded.groupBy("test_fold").agg(*_stat_columns(features, target)).collect()
+    per_fold = {r["test_fold"]: _stats(r) for r in rows}
+    return {i + 1: reduce(TrainStats.merge, [per_fold[f] for f in sorted(per_fold) if f <= i])
+            for i in per_fold}
+
+
 def fit_ridge(train: DataFrame, features: Sequence[str], target: str,
-              settings: RidgeSettings = RidgeSettings()) -> PipelineModel:
+              settings: RidgeSettings = RidgeSettings(), stats: TrainStats | None = None
+              ) -> PipelineModel:
     """Least squares with an L2 penalty on standardised features, intercept free of penalty.
 
     Spark averages the squared error over n rows and scales the label by its deviation, so the
     penalty alpha on |w|² becomes alpha * deviation / n. A feature that is constant in the
     training rows has weight zero; it is left out because it would make the solver's matrix
-    singular. One pass measures both.
+    singular.
     """
-    row = train.agg(
-        F.count(target).alias("n"), F.stddev_pop(target).alias("s"),
-        *[(F.min(f) < F.max(f)).alias(f"varies_{f}") for f in features]).first()
-    varying = [f for f in features if row[f"varies_{f}"]]
-    if not row["n"]:
-        raise ValueError("no training rows")
-    if not varying or not row["s"]:
-        mean = train.agg(F.avg(target)).first()[0]
+    stats = stats or train_stats(train, features, target)
+    varying = [f for f, a, b in zip(features, stats.low, stats.high, strict=True) if a < b]
+    deviation = (stats.squares / stats.n) ** 0.5
+    if not varying or not deviation:
         return PipelineModel(stages=[SQLTransformer(
-            statement=f"SELECT *, CAST({mean!r} AS DOUBLE) AS {PREDICTION} FROM __THIS__")])
+            statement=f"SELECT *, CAST({stats.mean!r} AS DOUBLE) AS {PREDICTION} FROM __THIS__")])
     model = LinearRegression(
         featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION, solver="normal",
-        standardization=True, elasticNetParam=0.0,
-        regParam=settings.alpha * row["s"] / row["n"])
+        standardization=True, elasticNetParam=0.0, regParam=settings.alpha * deviation / stats.n)
     return Pipeline(stages=[assembler(varying), model]).fit(train)
 
 
@@ -87,12 +133,16 @@ def fit_boosting(train: DataFrame, features: Sequence[str], target: str,
 
 def fit(name: str, train: DataFrame, features: Sequence[str], target: str,
         settings: ExperimentSettings = ExperimentSettings(), ts: str = "timestamp",
-        final: bool = False, scale: ScaleSettings = ScaleSettings()) -> PipelineModel:
-    """Train one named model. The final fit of the boosted trees runs all its rounds."""
+        final: bool = False, scale: ScaleSettings = ScaleSettings(),
+        stats: TrainStats | None = None) -> PipelineModel:
+    """Train one named model. The final fit of the boosted trees runs all its rounds.
+
+    ``stats`` saves ridge a pass where the caller has them.
+    """
     if name == "persistence":
         return persistence_model(target)
     if name == "ridge":
-        return fit_ridge(train, features, target, settings.ridge)
+        return fit_ridge(train, features, target, settings.ridge, stats)
     if name == "forest":
         return fit_forest(train, features, target, settings.forest)
     if name == "boosting":

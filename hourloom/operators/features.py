@@ -24,6 +24,7 @@ def feature_names(columns: Sequence[str], target: str = "pm25",
                   settings: FeatureSettings = FeatureSettings()) -> list[str]:
     """The features in model order; optional ones only if their source column exists."""
     s = settings
+    # Names and order of the features, as stored models expect them.
     names = ["hour_sin", "hour_cos", "month_sin", "month_cos", "dow_sin", "dow_cos", "is_weekend"]
     names += target_lag_names(target, s)
     names += [f"{target}_rolling_{tag}" for _, tag in s.mean_windows]

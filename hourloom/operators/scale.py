@@ -134,10 +134,10 @@ def find_long(df: DataFrame, keys: Sequence[str], lead: str, scale: ScaleSetting
 def split_long(df: DataFrame, long: LongSeries, scale: ScaleSettings
                ) -> tuple[DataFrame, DataFrame]:
     """``(short, long)`` rows of ``df``; the long part carries the fields of the table."""
-    keys = long.keys
-    cold = attach(df, long.table.select(*keys, F.lit(True).alias("__long")), keys, scale)
-    short = cold.where(F.col("__long").isNull()).drop("__long")
-    return short, attach(df, long.table, keys, scale, "inner")
+    marked = attach(df, long.table, long.keys, scale)
+    fields = [c for c in long.table.columns if c not in long.keys]
+    return (marked.where(F.col("__n").isNull()).drop(*fields),
+            marked.where(F.col("__n").isNotNull()))
 
 
 def _positions_of_long(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExperimentSettings, ScaleSettings
 from ..models.bundle import Bundle, save_bundle
-from ..models.trainers import PREDICTION, fit
+from ..models.trainers import PREDICTION, fit, stats_before_folds
 from ..operators.validate import (
     assign_folds, best_model, error_metrics, fold_summary, leaderboard,
     persistence_predictions,
@@ -32,10 +32,11 @@ def fold_predictions(folded: DataFrame, model: str, features: Sequence[str], tar
     """``(model, fold, y, yhat)`` of every tested row; fold i is trained on ``test_fold < i``."""
     if model == "persistence":
         return persistence_predictions(folded, target)
+    stats = stats_before_folds(folded, features, target) if model == "ridge" else {}
     parts = []
     for i in range(1, settings.n_splits + 1):
         trained = fit(model, folded.where(F.col("test_fold") < i), features, target, settings,
-                      ts, scale=scale)
+                      ts, scale=scale, stats=stats.get(i))
         tested = trained.transform(folded.where(F.col("test_fold") == i))
         parts.append(tested.select(F.lit(model).alias("model"), F.lit(i).alias("fold"),
                                    F.col(target).alias("y"), F.col(PREDICTION).alias("yhat")))

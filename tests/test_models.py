@@ -10,8 +10,11 @@ from hourloom.config import (
     BoostingSettings, ExperimentSettings, ForestSettings,
 )
 from hourloom.models.bundle import Bundle, align_features, load_bundle, save_bundle, score_recent
-from hourloom.models.trainers import fit, fit_ridge, importances, top_importances
+from hourloom.models.trainers import (
+    fit, fit_ridge, importances, stats_before_folds, top_importances, train_stats,
+)
 from hourloom.operators.scale import settle
+from hourloom.operators.validate import assign_folds
 from hourloom.plans.experiment import run_experiment
 
 NAMES = ["pm25_lag_1h", "x", "const"]
@@ -41,6 +44,16 @@ def test_ridge_equals_closed_form(rows):
     assert got == pytest.approx(list(z @ w + y.mean()), abs=1e-9)
 
 
+def test_one_pass_gives_the_statistics_of_every_training_set(rows):
+    folded = assign_folds(rows, 3)
+    found = stats_before_folds(folded, NAMES, "pm25")
+    for i in (1, 2, 3):
+        alone = train_stats(folded.where(F.col("test_fold") < i), NAMES, "pm25")
+        assert (found[i].n, found[i].low, found[i].high) == (alone.n, alone.low, alone.high)
+        assert found[i].mean == pytest.approx(alone.mean)
+        assert found[i].squares == pytest.approx(alone.squares)
+
+
 def test_ridge_on_constant_target(rows):
     model = fit_ridge(rows.withColumn("pm25", F.lit(2.5)), NAMES, "pm25")
     assert {r["prediction"] for r in model.transform(rows).collect()} == {2.5}
