@@ -106,7 +106,7 @@ def fill_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Edge fill (last, else first known value) and bounded interpolation along each series."""
     edge_columns = [c for c in edge_columns if c in df.columns]
     if long == "measure":
-        long = find_long(df, keys, order[0], scale, rows_bound)
+        long = find_long(df, keys, scale, rows_bound)
     if long is None:
         return fill_short(df, keys, order, edge_columns, line_column, limit)
     short, hot = split_long(df, long, scale)

@@ -14,21 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ScaleSettings
-from .scale import LongSeries, attach, longest_series, settle, split_long
+from .scale import LongSeries, attach, find_long, settle, split_long
 
 
 def quantile_name(column: str, prob: float) -> str:
     return f"{column}_p{prob * 100:g}".replace(".", "_")
 
 
-def _long_groups(df: DataFrame, by: Sequence[str], scale: ScaleSettings) -> LongSeries | None:
-    if longest_series(df, by) <= scale.max_group_rows:
-        return None
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    found = settle(counts.where(F.col("__n") > scale.max_group_rows))
-    return None if found.isEmpty() else LongSeries(tuple(by), found)
-
-
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               by: Sequence[str] = (), scale: ScaleSettings = ScaleSettings(),
               long: LongSeries | None | str = "measure") -> DataFrame:
@@ -36,7 +28,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     keys = list(by) or ["__all"]
     rows = df.select(*by, *columns) if by else df.select(F.lit(0).alias("__all"), *columns)
     if long == "measure":
-        long = _long_groups(rows, keys, scale)
+        long = find_long(rows, keys, scale)
     if long is None:
         return _built_in(rows, columns, probs, keys).drop("__all")
     short, hot = split_long(rows, long, scale)

@@ -54,6 +54,8 @@ def table_bytes(small: DataFrame) -> int:
     for f in small.schema:
         if isinstance(f.dataType, T.StringType):
             texts.append(F.sum(F.octet_length(f.name)))
+        elif isinstance(f.dataType, T.StructType):
+            fixed += 8 * len(f.dataType)
         elif isinstance(f.dataType, T.ArrayType):
             texts.append(F.sum(F.size(f.name)) * 8)
         fixed += 8
@@ -85,19 +87,22 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], scale: ScaleSet
     return joined.drop("__salt", "__salt_r", *[f"__k_{k}" for k in keys])
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """The leading order column as a number, for cutting a long series into ranges."""
-    if isinstance(df.schema[name].dataType, (T.NumericType,)):
+def order_number(df: DataFrame, name: str) -> Column | None:
+    """An order column as a number that never decreases along the order, if it has one."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
-    return wall_seconds(F.col(name))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return wall_seconds(F.col(name))
+    return None
 
 
-LONG_FIELDS = ("__n", "__t0", "__step")
+LONG_FIELDS = ("__n",)
 
 
 @dataclass(frozen=True)
 class LongSeries:
-    """Settled table of the series over the row limit: keys, row count, first value, step."""
+    """Settled table of the series over the row limit: keys and row count."""
 
     keys: tuple[str, ...]
     table: DataFrame
@@ -109,7 +114,7 @@ def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("__n")).first()[0] or 0
 
 
-def find_long(df: DataFrame, keys: Sequence[str], lead: str, scale: ScaleSettings,
+def find_long(df: DataFrame, keys: Sequence[str], scale: ScaleSettings,
               rows_bound: int | None = None) -> LongSeries | None:
     """Series with more rows than one task should hold; ``None`` when there is none.
 
@@ -120,14 +125,8 @@ def find_long(df: DataFrame, keys: Sequence[str], lead: str, scale: ScaleSetting
         rows_bound = longest_series(df, keys)
     if rows_bound <= scale.max_group_rows:
         return None
-    at = order_number(df, lead)
-    per_series = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(at).alias("__t0"), F.max(at).alias("__t1"))
-    # A quarter chunk per range on average, so ranges stay small where rows bunch up.
-    step = (F.col("__t1") - F.col("__t0")) * (scale.max_group_rows / 4.0) / F.col("__n")
-    found = settle(
-        per_series.where(F.col("__n") > scale.max_group_rows)
-        .select(*keys, "__n", "__t0", F.when(step > 0, step).otherwise(F.lit(1.0)).alias("__step")))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    found = settle(counts.where(F.col("__n") > scale.max_group_rows))
     return None if found.isEmpty() else LongSeries(tuple(keys), found)
 
 
@@ -140,32 +139,82 @@ def split_long(df: DataFrame, long: LongSeries, scale: ScaleSettings
             marked.where(F.col("__n").isNotNull()))
 
 
+def _cut_on(i: int, scale: ScaleSettings) -> Column:
+    """How to cut a range on order column i; missing if that column is constant in the range.
+
+    Rows without a value go to a range of their own, before the others.
+    """
+    low, known = F.col(f"__lo_{i}"), F.col(f"__known_{i}")
+    pieces = F.ceil(4 * F.col("__rows") / F.lit(scale.max_group_rows))
+    even = (F.col(f"__hi_{i}") - low) / pieces
+    some_missing = (known > 0) & (known < F.col("__rows"))
+    def plan(step: Column) -> Column:
+        return F.struct(F.lit(i).alias("column"), low.alias("low"), step.alias("step"))
+    return F.when(F.col(f"__varies_{i}"), plan(even)).when(some_missing, plan(F.lit(1.0)))
+
+
+def _split_into_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
+                       scale: ScaleSettings) -> tuple[DataFrame, list[str], DataFrame]:
+    """Cut long series into ranges of their order until no range is over the row limit.
+
+    Returns the rows, the range columns (their order is the row order), and the settled table of
+    ranges. A range over the limit is cut along the first order column that varies inside it;
+    all earlier ones are constant there, so the cut keeps the order. This holds where most rows
+    share one time, or where one stray time stretches the span. Each round counts before the
+    shuffle; there are about 4 * rows / limit ranges.
+    """
+    numbers: list[Column] = []
+    for c in order:  # a column without a number ends the list: nothing after it may be cut on
+        number = order_number(rows, c)
+        if number is None:
+            break
+        numbers.append(number)
+    parts: list[str] = []
+    while True:
+        ranges = settle(rows.groupBy(*keys, *parts).agg(
+            F.count(F.lit(1)).alias("__rows"),
+            *[F.count(c).alias(f"__known_{i}") for i, c in enumerate(order[:len(numbers)])],
+            *[(F.min(c) < F.max(c)).alias(f"__varies_{i}")
+              for i, c in enumerate(order[:len(numbers)])],
+            *[F.min(n).alias(f"__lo_{i}") for i, n in enumerate(numbers)],
+            *[F.max(n).alias(f"__hi_{i}") for i, n in enumerate(numbers)]))
+        if not numbers:
+            return rows, parts, ranges.select(*keys, *parts, "__rows")
+        cut = F.coalesce(*[_cut_on(i, scale) for i in range(len(numbers))])
+        wide = ranges.where(F.col("__rows") > scale.max_group_rows).withColumn("__cut", cut)
+        usable = (F.col("__cut.step") > 0) & (F.col("__cut.step") < float("inf"))
+        wide = wide.where(usable).select(*keys, *parts, "__cut")
+        if wide.isEmpty():
+            return rows, parts, ranges.select(*keys, *parts, "__rows")
+        rows = attach(rows, wide, [*keys, *parts], scale)
+        chosen = F.coalesce(*[F.when(F.col("__cut.column") == i, n)
+                              for i, n in enumerate(numbers)])
+        piece = f"__range_{len(parts)}"
+        rows = rows.withColumn(
+            piece, F.floor((chosen - F.col("__cut.low")) / F.col("__cut.step"))).drop("__cut")
+        parts.append(piece)
+
+
 def _positions_of_long(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                        scale: ScaleSettings) -> DataFrame:
     """Exact 0-based row position in long series, without sorting a series in one task."""
-    lead = order_number(rows, order[0])
-    ranged = rows.withColumn(
-        "__range", F.coalesce(F.floor((lead - F.col("__t0")) / F.col("__step")),
-                              F.lit(-1).cast("bigint")))
-    along = Window.partitionBy(*keys).orderBy("__range")
-    starts = settle(
-        ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*keys, "__range",
-                F.coalesce(F.sum("__rows").over(along.rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)).alias("__start")))
-    within = Window.partitionBy(*keys, "__range").orderBy(*order)
-    numbered = ranged.withColumn("__in_range", F.row_number().over(within))
+    cut, parts, ranges = _split_into_ranges(rows.drop(*LONG_FIELDS), keys, order, scale)
+    before = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(ranges.select(
+        *keys, *parts, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start")))
+    within = Window.partitionBy(*keys, *parts).orderBy(*order)
+    numbered = cut.withColumn("__in_range", F.row_number().over(within))
     return (
-        attach(numbered, starts, [*keys, "__range"], scale)
+        attach(numbered, starts, [*keys, *parts], scale)
         .withColumn(name, F.col("__start") + F.col("__in_range") - 1)
-        .drop("__range", "__in_range", "__start", *LONG_FIELDS))
+        .drop(*parts, "__in_range", "__start"))
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   name: str = "position", scale: ScaleSettings = ScaleSettings(),
                   rows_bound: int | None = None) -> DataFrame:
     """0-based position of every row in its series."""
-    long = find_long(df, keys, order[0], scale, rows_bound)
+    long = find_long(df, keys, scale, rows_bound)
     plain = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint")
     if long is None:
         return df.withColumn(name, plain)
@@ -192,7 +241,7 @@ def along_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach
 
     ``step`` receives a window over one series (or one chunk of it) in row order.
     """
-    long = find_long(df, keys, order[0], scale, rows_bound)
+    long = find_long(df, keys, scale, rows_bound)
     window = Window.partitionBy(*keys).orderBy(*order)
     if long is None:
         return step(df, window)

@@ -44,7 +44,7 @@ def clean_panel(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp
     used = list(keys) or ["__one"]
     if not keys:
         rows = rows.withColumn("__one", F.lit(1))
-    long = find_long(rows, used, ts, scale, rows_bound)
+    long = find_long(rows, used, scale, rows_bound)
 
     def short_plan(d: DataFrame) -> DataFrame:
         clipped = _clip_short(d, used, ts, fenced, s.fence_factor)

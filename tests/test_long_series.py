@@ -32,6 +32,36 @@ def test_positions(spark, folder):
                                    scale=ScaleSettings(max_group_rows=60)))
 
 
+def test_positions_when_most_rows_share_one_time_and_one_is_far_off(spark):
+    rows = spark.range(4000).select(
+        F.lit("a").alias("k"),
+        F.when(F.col("id") == 7, "2999-01-01").when(F.col("id") == 8, None)
+        .when(F.col("id") % 4 < 3, "2024-01-01 05:00:00").otherwise(
+            F.concat(F.lit("2024-01-01 05:00:00."), (F.col("id") + 1000).cast("string")))
+        .cast("timestamp_ntz").alias("ts"),
+        (F.xxhash64("id") % 10**6).alias("second"), "id")
+    order = ["ts", "second", "id"]
+    same_rows(row_positions(rows, ["k"], order),
+              row_positions(rows, ["k"], order, scale=ScaleSettings(max_group_rows=90)))
+
+
+def test_positions_with_missing_and_close_large_values(spark):
+    rows = spark.range(1200).select(
+        F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, 5.0).alias("ts"),
+        (F.lit(2**60) + F.col("id") % 3).alias("big"), (1200 - F.col("id")).alias("id"))
+    for order in (["ts", "id"], ["big", "id"], ["ts", "big", "id"]):
+        same_rows(row_positions(rows, ["k"], order),
+                  row_positions(rows, ["k"], order, scale=ScaleSettings(max_group_rows=70)))
+
+
+def test_positions_with_a_text_in_the_order(spark):
+    rows = spark.range(900).select(F.lit("a").alias("k"), (F.col("id") % 3).alias("ts"),
+                                   F.sha2(F.col("id").cast("string"), 256).alias("name"), "id")
+    same_rows(row_positions(rows, ["k"], ["ts", "name", "id"]),
+              row_positions(rows, ["k"], ["ts", "name", "id"],
+                            scale=ScaleSettings(max_group_rows=50)))
+
+
 def test_cleaning(panel):
     same_rows(clean_panel(panel, ["station"]), clean_panel(panel, ["station"], scale=CUT))
 
