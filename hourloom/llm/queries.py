@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import mix, shards
+from hourloom.llm import mix, shards, tokens
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,11 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.new_folder(spark)
+    tokens.write_token_files(table(spark, sf_dir, "documents"), path,
+                             public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokens.token_digests(tokens.read_token_files(spark, path))
