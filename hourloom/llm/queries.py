@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import mix, shards, tokens
+from hourloom.llm import mix, score, shards, tokens
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens.write_token_files(table(spark, sf_dir, "documents"), path,
                              public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokens.token_digests(tokens.read_token_files(spark, path))
+
+
+@query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score_documents(table(spark, sf_dir, "documents"))
