@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import mix, score, shards, tokens
+from hourloom.llm import decontaminate, mix, score, shards, tokens
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.mark_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"))
