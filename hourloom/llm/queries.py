@@ -44,7 +44,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.new_folder(spark)
     tokens.write_token_files(table(spark, sf_dir, "documents"), path,
                              public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return tokens.token_digests(tokens.read_token_files(spark, path))
+    return tokens.read_token_files(spark, path, digest=True)
 
 
 @query

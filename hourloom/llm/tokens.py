@@ -31,7 +31,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
         end, pack = np.array([end_id], words.dtype).tobytes(), zstandard.ZstdCompressor(1).compress
         for batch in batches:
             for piece in pieces(batch, "__text"):
-                ids = [pack(words.encode(t or "") + end) for t in piece.column("__text").to_pylist()]
+                ids = [pack(i + end) for i in words.encode([t or "" for t in piece.column("__text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([piece.column("__key"), pa.array(ids, pa.binary())], ["__key", "__ids"])
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     """
     spark = docs.sparkSession
     words = encoder(tokenizer)
-    dtype, size = words.dtype.str, words.tokenizer.get_vocab_size() + 1
+    dtype, size = words.dtype, words.tokenizer.get_vocab_size() + 1
     packed = stored(encode_texts(docs, key, text, tokenizer, end_id), "ids")
     shares = frequencies(count_ids(packed, dtype, max(size, end_id + 1)))
     table = spark.createDataFrame([(json.dumps({"dtype": dtype, "shares": shares.tolist()}),)], "table string")
@@ -118,10 +118,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int,
      .mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/ids"))
 
 
-def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
     """One row per document of a folder: its key, start (ids of all documents before it),
-    n_tokens and ids (bytes of little-endian unsigned 32-bit integers). Containers are decoded
-    wherever Spark puts them; block checksums are verified."""
+    n_tokens and ids (bytes of little-endian unsigned 32-bit integers), or with `digest` their
+    unsigned CRC-32 as ids_crc32. Containers are decoded wherever Spark puts them; block checksums
+    are verified."""
     row = spark.read.parquet(f"{path}/shares").first()
     shares = np.array(json.loads(row["table"])["shares"])
     shared = spark.sparkContext.broadcast(shares)
@@ -144,31 +145,20 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                 keys = batch.column("keys")[i].values
                 for low in range(0, len(counts), 4096):
                     part = slice(low, low + 4096)
+                    own = [data[4 * a:4 * b] for a, b in zip(begin[part].tolist(), ends[part].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [keys[part], pa.array(begin[part] + base), pa.array(counts[part]),
-                         pa.array([data[4 * a:4 * b] for a, b in zip(begin[part].tolist(), ends[part].tolist())], pa.binary())],
-                        ["key", "start", "n_tokens", "ids"])
+                         pa.array([zlib.crc32(o) for o in own], pa.int64()) if digest else pa.array(own, pa.binary())],
+                        [f.name for f in schema])
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("start", T.LongType()),
-                           T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+                           T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())])
     placed = spark.createDataFrame(starts, "part long, before long")
     return (files.join(F.broadcast(placed), "part")
             .select("keys", "counts", "blocks", (F.col("before") + F.col("first")).alias("start"))
             .mapInArrow(run, schema).withColumnRenamed("key", key))
 
 
-def token_digests(read: DataFrame) -> DataFrame:
-    """The rows of read_token_files with a checksum in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(b) for b in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())],
-                                             [*batch.schema.names[:3], "ids_crc32"])
-
-    fields = [*read.schema.fields[:3], T.StructField("ids_crc32", T.LongType())]
-    return read.mapInArrow(run, T.StructType(fields))
-
-
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"

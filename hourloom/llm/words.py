@@ -4,41 +4,32 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: Words kept in each of the two generations of a memory; longer words than this aren't kept.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+#: Words and pre-tokens that are remembered, about; longer ones than this aren't.
+KEPT_WORDS, KEPT_PARTS, KEPT_LENGTH = 200_000, 800_000, 64
 #: str.split() also cuts at these, the tokenizer's white space doesn't.
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile(r"([a-z]+)([!-/:-@\[-`{-~]*)")
-
+#: Letters that Unicode neither composes nor lower-cases further, then ASCII signs.
+_PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-ɏ]+)([!-/:-@\[-`{-~]*)")
 
-class Memory(dict):
-    """A dict that computes what it lacks and forgets the older half when it is full."""
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, word: str):
-        value = self.old.get(word)
-        if value is None:
-            value = self.make(word)
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = value
-        return value
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the UTF-8 bytes of a character beyond ASCII: a printable
+    Latin-1 byte as itself, the others as the letters from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
 
 
 class WordEncoder:
     """Ids of whole texts as bytes of a little-endian unsigned type.
 
-    For a tokenizer that lower-cases, cuts at white space and drops it, so that a text's ids are
-    those of its words one after another. A word of ASCII letters, with ASCII signs after it, is two
-    pre-tokens; their ids are kept apart, as the letters come back with other signs.
+    For a byte-level tokenizer that lower-cases, cuts at white space and drops it, so that a text's
+    ids are those of its words one after another. A word of plain letters, with ASCII signs after
+    it, is two pre-tokens; the library's model gets those directly, and their ids are kept apart, as
+    the letters come back with other signs. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -46,29 +37,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.parts = Memory(self._part)
-        self.words = Memory(self._word)
+        self.model = self.tokenizer.model
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        if part.isalpha():
-            return np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.dtype).tobytes()
-        return self._ids(part)
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.translate(self.letters)
+            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(self.parts) >= KEPT_PARTS:
+                self.parts.clear()
+            if len(part) <= KEPT_LENGTH:
+                self.parts[part] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word.lower()) if word.isascii() else None
+        plain = _PLAIN.fullmatch(word.lower())
         if not plain:
             return self._ids(word)
         letters, signs = plain.groups()
-        return self.parts[letters] + self.parts[signs] if signs else self.parts[letters]
-
-    def encode(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text):
-            return self._ids(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self._part(letters) + self._part(signs) if signs else self._part(letters)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
+        split = [() if i in odd else t.split() for i, t in enumerate(texts)]
+        here = set().union(*split)
+        known = self.words
+        if len(known) > KEPT_WORDS:  # go on with the words at hand
+            known = self.words = {w: known[w] for w in here if w in known}
+        passing = {}
+        for word in here.difference(known):
+            (known if len(word) <= KEPT_LENGTH else passing)[word] = self._word(word)
+        get = ({**passing, **{w: known[w] for w in here if w in known}} if passing else known).__getitem__
+        return [self._ids(t) if i in odd else b"".join(map(get, words))
+                for i, (t, words) in enumerate(zip(texts, split))]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
