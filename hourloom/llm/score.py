@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from hourloom.llm.common import pieces, stored
 
-#: A filter entry takes so many bits and is probed at so many places: 2.2 % of lookups find what isn't there.
-ENTRY_BITS, PROBES = 8, 5
+#: A filter entry takes so many bits in the mean and sets so many of one 64-bit word, so that a lookup
+#: touches memory once; about 3 % of lookups find what isn't there.
+ENTRY_BITS, PROBES = 10, 4
 #: Counts are kept as powers of this.
 STEP = 1.5
 #: Words of the unigram model that count as much as the pairs seen after a word.
@@ -24,11 +25,11 @@ PRIOR = 200.0
 #: A pair that is rarer is not kept; 1 keeps all.
 LEAST_COUNT = 1
 #: Words counted in a task before they are sent, and n-grams a segment of the model has at most, about.
-FLUSH_WORDS, SEGMENT_GRAMS = 3_000_000, 2_000_000
+FLUSH_WORDS, SEGMENT_GRAMS = 2_000_000, 2_000_000
 #: Bytes of the model that are broadcast at once; a larger model is applied block by block.
 BLOCK_BYTES = 128 << 20
 #: Different words that a worker keeps numbers for.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 _END, _BEGIN = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b"\n")
 _U = np.uint64
@@ -55,24 +56,20 @@ class Words:
         self.numbers: dict[bytes, bytes] = {b"": (0).to_bytes(4, "little")}  # the end of a text
         self.hashes = [_END]
 
-    def of(self, text: str | None) -> bytes:
-        numbers, out = self.numbers, []
-        for word in (text or "").encode().lower().split():  # bytes: A-Z and ASCII white space alone
-            n = numbers.get(word)
-            if n is None:
-                n = numbers[word] = len(self.hashes).to_bytes(4, "little")
-                self.hashes.append(xxhash.xxh3_64_intdigest(word))
-            out.append(n)
-        out.append(numbers[b""])
-        return b"".join(out)
-
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words, an end after each text, and where each text begins."""
         if len(self.hashes) > KEPT_WORDS:
             self.reset()
-        numbers = [self.of(t) for t in texts]
-        begins = np.concatenate([[0], np.cumsum([len(n) // 4 for n in numbers])[:-1]]).astype(np.int64)
-        return np.frombuffer(b"".join(numbers), "<u4"), begins
+        numbers, hashes = self.numbers, self.hashes
+        split = [(t or "").encode().lower().split() for t in texts]  # bytes: A-Z and ASCII white space alone
+        for word in set().union(*split).difference(numbers):
+            numbers[word] = len(hashes).to_bytes(4, "little")
+            hashes.append(xxhash.xxh3_64_intdigest(word))
+        for words in split:
+            words.append(b"")
+        begins = np.concatenate([[0], np.cumsum([len(words) for words in split])[:-1]]).astype(np.int64)
+        get = numbers.__getitem__
+        return np.frombuffer(b"".join([b"".join(map(get, words)) for words in split]), "<u4"), begins
 
 
 def _before(words: np.ndarray, begins: np.ndarray, first) -> np.ndarray:
@@ -129,12 +126,13 @@ def gram_counts(docs: DataFrame, text: str, bits: int) -> DataFrame:
     return docs.select(F.col(text).alias("__text")).mapInArrow(run, _PART)
 
 
-def filter_places(grams: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
-    """The bits of the entries (gram, level) in filters of the given sizes, one array per probe."""
+def filter_entry(grams: np.ndarray, level: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word and the bits in it of the entries (gram, level), in filters of so many words."""
     x = _mixed(grams + _U(level * 0xD1B54A32D192ED03 % (1 << 64)))
-    step, at = (x >> _U(32)) | _U(1), x & _U(0xFFFFFFFF)
+    at, bits = ((x >> _U(32)) * words) >> _U(32), np.zeros(len(x), np.uint64)
     for k in range(PROBES):
-        yield ((at + _U(k) * step & _U(0xFFFFFFFF)) * size) >> _U(32)
+        bits |= _U(1) << (x >> _U(6 * k) & _U(63))
+    return at, bits
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -157,17 +155,16 @@ def _segment(table: pa.Table) -> pa.Table:
     grams, counts = grams[first], np.add.reduceat(counts, first)
     kind, total, size = table.column("__kind")[0].as_py(), int(counts.sum()), 0
     if kind == 1:
-        data, more = grams.tobytes(), counts.astype("<u8").tobytes()
+        data, more = grams.tobytes(), counts.astype("<u4" if counts.max() < 1 << 32 else "<u8").tobytes()
     else:
         grams, counts = grams[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
         level = levels(np.maximum(counts, 1))
-        size = max(64, int(level.sum()) * ENTRY_BITS)
-        bits, most = np.zeros(-(-size // 8) * 8, bool), int(level.max(initial=0))
-        for j in range(1, most + 1):
-            own = grams[level >= j]
-            for place in filter_places(own, j, _U(size)):
-                bits[place] = True
-        data, more = np.packbits(bits, bitorder="little").tobytes(), b""
+        size = max(1, -(-int(level.sum()) * ENTRY_BITS // 64))
+        filled = np.zeros(size, np.uint64)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            at, bits = filter_entry(grams[level >= j], j, _U(size))
+            np.bitwise_or.at(filled, at.astype(np.int64), bits)
+        data, more = filled.astype("<u8").tobytes(), b""
     return pa.table({"kind": pa.array([kind], pa.int32()), "segment": table.column("__segment").slice(0, 1),
                      "size": [size], "grams": [len(grams)], "total": [total],
                      "bytes": [len(data) + len(more)], "data": pa.array([data], pa.binary()),
@@ -184,14 +181,15 @@ class Block:
         self.bits, self.low, self.high = bits, low, high
         words = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["segment"])
         self.words = np.frombuffer(b"".join(r["data"] for r in words), "<u8")
-        self.counts = np.frombuffer(b"".join(r["more"] for r in words), "<u8")
+        self.counts = np.concatenate([np.zeros(0, np.uint32), *(
+            np.frombuffer(r["more"], f"<u{len(r['more']) // r['grams']}") for r in words)])
         self.sizes, self.offsets = np.zeros(high - low, np.uint64), np.zeros(high - low, np.uint64)
         parts, at = [], 0
         for r in (r for r in rows if r["kind"] == 2):
-            self.sizes[r["segment"] - low], self.offsets[r["segment"] - low] = r["size"], at * 8
+            self.sizes[r["segment"] - low], self.offsets[r["segment"] - low] = r["size"], at
             parts.append(r["data"])
-            at += len(r["data"])
-        self.filter = np.frombuffer(b"".join(parts), np.uint8)
+            at += r["size"]
+        self.filter = np.frombuffer(b"".join(parts), "<u8")
 
     def word_counts(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -201,22 +199,21 @@ class Block:
 
     def pair_levels(self, pairs: np.ndarray) -> np.ndarray:
         """Level by level, until a probe finds a bit that isn't set. 0 outside of the block."""
+        pairs, back = np.unique(pairs, return_inverse=True)
         out = np.zeros(len(pairs), np.uint8)
         segment = _segments(pairs, self.bits)
         live = np.flatnonzero((segment >= self.low) & (segment < self.high))
-        live = live[self.sizes[segment[live] - self.low] > 0]
-        level = 0
-        while len(live):
-            level += 1
-            own = segment[live] - self.low
-            grams, size, offset = pairs[live], self.sizes[own], self.offsets[own]
-            found = np.ones(len(live), bool)
-            for place in filter_places(grams, level, size):
-                at = place + offset
-                found &= (self.filter[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-            live = live[found]
+        own = segment[live] - self.low
+        grams, size, offset = pairs[live], self.sizes[own], self.offsets[own]
+        found, level = size > 0, 0
+        while True:
+            live, grams, size, offset = live[found], grams[found], size[found], offset[found]
             out[live] = level
-        return out
+            if not len(live):
+                return out[back]
+            level += 1
+            at, bits = filter_entry(grams, level, size)
+            found = self.filter[(at + offset).astype(np.int64)] & bits == bits
 
 
 def _scored(docs: DataFrame, block, last: bool, total: int, known: int, begun: int) -> DataFrame:
@@ -289,7 +286,7 @@ def score(docs: DataFrame, model: DataFrame, bits: int, texts: int,
     NULL and empty texts are the end alone; an empty training set gives base (0.5 / 0.5).
 
     The model is broadcast in blocks of at most BLOCK_BYTES; every block is one narrow pass over
-    the texts, which hands on what is known so far. Nothing is dropped.
+    the texts, which stores what is known so far for the next. Nothing is dropped.
     """
     spark = docs.sparkSession
     sums = {r["kind"]: r for r in model.groupBy("kind").agg(
@@ -304,6 +301,8 @@ def score(docs: DataFrame, model: DataFrame, bits: int, texts: int,
         shared = spark.sparkContext.broadcast(Block(rows, bits, low, high))
         del rows
         out = _scored(out, shared, b == blocks - 1, total, known, texts)
+        if b < blocks - 1:
+            out = stored(out, "scored")  # each pass with workers of its own, one block in memory
     return out.select(F.col("__key").alias(key), F.col("__held").alias("held_out"), "n_tokens", "n_known",
                       F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
