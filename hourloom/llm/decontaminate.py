@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import pieces, settled
+from hourloom.llm.common import pieces, settled, stored
 
 #: Consecutive words of a window; an item of fewer words is one window.
 WINDOW_WORDS = 10
@@ -173,7 +173,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, columns: list[str], te
     one item key are one item; an empty benchmark leaves every row without hits.
 
     Windows are broadcast in blocks of at most BLOCK_BYTES; every block is one narrow pass over the
-    documents, which hands on what is found so far.
+    documents, which stores what is found so far for the next.
     """
     spark = docs.sparkSession
     windows = settled(benchmark_windows(items, item_key, item_text))
@@ -185,7 +185,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, columns: list[str], te
         rows = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()
         out = _searched(out, spark.sparkContext.broadcast(Windows([(r["item"], r["window"]) for r in rows])))
         if b < blocks - 1:
-            out = out.drop("__n_words", "__n_hit")
+            out = stored(out.drop("__n_words", "__n_hit"), "searched")  # one block in memory at a time
     return out.select(*[F.col("__row").getField(c).alias(c) for c in columns], "__n_words", "__n_hit", "__items")
 
 
