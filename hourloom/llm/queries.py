@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, mix, score, shards, tokens
+from hourloom.llm import decontaminate, mix, score, shards, simhash, tokens
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,8 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"),
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
