@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import chat, decontaminate, embeddings, mix, score, shards, simhash, tokens
+from hourloom.llm import chat, decontaminate, embeddings, extract, mix, score, shards, simhash, tokens
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)],
                               "conv_id long, turn long, role string, text string"))
     return chat.digests(chat.stored_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
