@@ -28,6 +28,8 @@ LEAST_COUNT = 1
 FLUSH_WORDS, SEGMENT_GRAMS = 2_000_000, 2_000_000
 #: Bytes of the model that are broadcast at once; a larger model is applied block by block.
 BLOCK_BYTES = 128 << 20
+#: Segments of a block that the driver collects at once, and bytes of text that a task scores at once.
+COLLECTED, SCORED_BYTES = 16, 2 << 20
 #: Different words that a worker keeps numbers for.
 KEPT_WORDS = 150_000
 
@@ -175,45 +177,50 @@ _MODEL = "kind int, segment long, size long, grams long, total long, bytes long,
 
 
 class Block:
-    """Consecutive segments of the model, low <= segment < high."""
+    """Consecutive segments of the model, low <= segment < high, as they were stored."""
 
-    def __init__(self, rows: list, bits: int, low: int, high: int):
+    def __init__(self, bits: int, low: int, high: int):
         self.bits, self.low, self.high = bits, low, high
-        words = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["segment"])
-        self.words = np.frombuffer(b"".join(r["data"] for r in words), "<u8")
-        self.counts = np.concatenate([np.zeros(0, np.uint32), *(
-            np.frombuffer(r["more"], f"<u{len(r['more']) // r['grams']}") for r in words)])
-        self.sizes, self.offsets = np.zeros(high - low, np.uint64), np.zeros(high - low, np.uint64)
-        parts, at = [], 0
-        for r in (r for r in rows if r["kind"] == 2):
-            self.sizes[r["segment"] - low], self.offsets[r["segment"] - low] = r["size"], at
-            parts.append(r["data"])
-            at += r["size"]
-        self.filter = np.frombuffer(b"".join(parts), "<u8")
+        self.words: list[tuple[bytes, bytes] | None] = [None] * (high - low)
+        self.filters: list[bytes | None] = [None] * (high - low)
+
+    def add(self, row: dict) -> None:
+        at = row["segment"] - self.low
+        if row["kind"] == 1:
+            self.words[at] = row["data"], row["more"]
+        else:
+            self.filters[at] = row["data"]
+
+    def _slices(self, grams: np.ndarray, have: list) -> Iterator[tuple[slice, object]]:
+        """The part of sorted grams in each segment that the block has."""
+        segment = np.arange(self.low, self.high)
+        cuts = np.searchsorted(_segments(grams, self.bits), np.append(segment, self.high)).tolist()
+        return ((slice(a, b), own) for a, b, own in zip(cuts, cuts[1:], have) if a < b and own)
 
     def word_counts(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words))
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.counts[at], 0).astype(float)
+        out, order = np.zeros(len(words)), np.argsort(words)
+        words = words[order]
+        for part, (known, counts) in self._slices(words, self.words):
+            known = np.frombuffer(known, "<u8")
+            counts = np.frombuffer(counts, f"<u{len(counts) // len(known)}")
+            at = np.minimum(np.searchsorted(known, words[part]), len(known) - 1)
+            out[order[part]] = np.where(known[at] == words[part], counts[at], 0)
+        return out
 
     def pair_levels(self, pairs: np.ndarray) -> np.ndarray:
         """Level by level, until a probe finds a bit that isn't set. 0 outside of the block."""
         pairs, back = np.unique(pairs, return_inverse=True)
         out = np.zeros(len(pairs), np.uint8)
-        segment = _segments(pairs, self.bits)
-        live = np.flatnonzero((segment >= self.low) & (segment < self.high))
-        own = segment[live] - self.low
-        grams, size, offset = pairs[live], self.sizes[own], self.offsets[own]
-        found, level = size > 0, 0
-        while True:
-            live, grams, size, offset = live[found], grams[found], size[found], offset[found]
-            out[live] = level
-            if not len(live):
-                return out[back]
-            level += 1
-            at, bits = filter_entry(grams, level, size)
-            found = self.filter[(at + offset).astype(np.int64)] & bits == bits
+        for part, filled in self._slices(pairs, self.filters):
+            filled = np.frombuffer(filled, "<u8")
+            grams, live, level = pairs[part], np.arange(part.start, part.stop), 0
+            while len(live):
+                level += 1
+                at, bits = filter_entry(grams, level, _U(len(filled)))
+                found = filled[at.astype(np.int64)] & bits == bits
+                live, grams = live[found], grams[found]
+                out[live] = level
+        return out[back]
 
 
 def _scored(docs: DataFrame, block, last: bool, total: int, known: int, begun: int) -> DataFrame:
@@ -224,7 +231,7 @@ def _scored(docs: DataFrame, block, last: bool, total: int, known: int, begun: i
         own: Block = block.value
         pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", SCORED_BYTES):
                 numbers, begins = words.read(piece.column("__text").to_pylist())
                 if have is not words.numbers:
                     have, counts = words.numbers, np.zeros(0)
@@ -297,9 +304,13 @@ def score(docs: DataFrame, model: DataFrame, bits: int, texts: int,
                       F.col(text).alias("__text"), F.lit(None).cast("binary").alias("__state"))
     for b in range(blocks):
         low, high = (1 << bits) * b // blocks, (1 << bits) * (b + 1) // blocks
-        rows = model.filter((F.col("segment") >= low) & (F.col("segment") < high)).toArrow().to_pylist()
-        shared = spark.sparkContext.broadcast(Block(rows, bits, low, high))
-        del rows
+        block = Block(bits, low, high)
+        for at in range(low, high, COLLECTED):
+            for row in model.filter(F.col("segment").between(at, min(at + COLLECTED, high) - 1)).select(
+                    "kind", "segment", "data", "more").collect():
+                block.add(row.asDict())
+        shared = spark.sparkContext.broadcast(block)
+        del block
         out = _scored(out, shared, b == blocks - 1, total, known, texts)
         if b < blocks - 1:
             out = stored(out, "scored")  # each pass with workers of its own, one block in memory
