@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import chat, decontaminate, embeddings, extract, mix, score, shards, simhash, tokens
+from hourloom.llm import chat, decontaminate, embeddings, extract, language, mix, score, shards, simhash, tokens
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,14 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language.train(docs, "text", "lang", "doc_id")
+    found = [F.col("__language").alias("language"), F.col("__chance").alias("chance"), F.col("__accepted").alias("accepted")]
+    return language.identify_documents(docs, model, ["doc_id"]).select(
+        F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), *found).union(
+        language.identify_pages(pages, model, ["page_id"]).select(
+            F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", *found))
