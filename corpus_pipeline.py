@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.llm import mix, shards
+from hourloom.llm import decontaminate, language, mix, shards, simhash
 from hourloom.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is accepted; empty ones and such in no known language go."""
+    return language.accepted_documents(docs)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.without_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mix.mixed_documents(docs)
@@ -23,6 +38,9 @@ def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", keep_known_languages),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
     ("mix", mix_sources),
     ("shards", place_in_shards),
 ]
