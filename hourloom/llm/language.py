@@ -48,9 +48,10 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(data) < 3:
         return np.zeros(0, np.int64), sizes
     grams = (data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(0x9E3779B1) >> np.uint32(16)
-    ends = np.cumsum([len(p) for p in parts])
-    inside = np.ones(len(data), bool)  # not across texts
-    inside[np.clip(ends - 1, 0, None)] = inside[np.clip(ends - 2, 0, None)] = False
+    lengths = np.array([len(p) for p in parts])
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(data), bool)  # no trigram starts at the last two bytes of a text
+    inside[ends[lengths > 0] - 1] = inside[ends[lengths > 1] - 2] = False
     return grams[inside[:-2]].astype(np.int64), sizes
 
 
