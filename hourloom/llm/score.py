@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import pieces, stored
+from hourloom.llm.common import pieces, small_batches, stored
 
 #: A filter entry takes so many bits in the mean and sets so many of one 64-bit word, so that a lookup
-#: touches memory once; about 3 % of lookups find what isn't there.
-ENTRY_BITS, PROBES = 10, 4
+#: touches memory once; about 5 % of lookups find what isn't there.
+ENTRY_BITS, PROBES = 8, 3
 #: Counts are kept as powers of this.
 STEP = 1.5
 #: Words of the unigram model that count as much as the pairs seen after a word.
@@ -28,10 +28,10 @@ LEAST_COUNT = 1
 FLUSH_WORDS, SEGMENT_GRAMS = 2_000_000, 2_000_000
 #: Bytes of the model that are broadcast at once; a larger model is applied block by block.
 BLOCK_BYTES = 128 << 20
-#: Segments of a block that the driver collects at once, and bytes of text that a task scores at once.
-COLLECTED, SCORED_BYTES = 16, 2 << 20
+#: Segments of a block that the driver collects at once, and bytes of text that a task works on at once.
+COLLECTED, READ_BYTES = 16, 2 << 20
 #: Different words that a worker keeps numbers for.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 _END, _BEGIN = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b"\n")
 _U = np.uint64
@@ -114,7 +114,7 @@ def gram_counts(docs: DataFrame, text: str, bits: int) -> DataFrame:
                         ["__kind", "__segment", "__grams", "__counts"])
 
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", READ_BYTES):
                 numbers, begins = words.read(piece.column(0).to_pylist())
                 hashes = np.array(words.hashes, np.uint64)[numbers]
                 held.append((hashes, _pairs(_before(hashes, begins, _BEGIN), hashes)))
@@ -157,7 +157,8 @@ def _segment(table: pa.Table) -> pa.Table:
     grams, counts = grams[first], np.add.reduceat(counts, first)
     kind, total, size = table.column("__kind")[0].as_py(), int(counts.sum()), 0
     if kind == 1:
-        data, more = grams.tobytes(), counts.astype("<u4" if counts.max() < 1 << 32 else "<u8").tobytes()
+        narrow = next(n for n in (1, 2, 4, 8) if counts.max() < 1 << 8 * n)
+        data, more = grams.tobytes(), counts.astype(f"<u{narrow}").tobytes()
     else:
         grams, counts = grams[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
         level = levels(np.maximum(counts, 1))
@@ -231,7 +232,7 @@ def _scored(docs: DataFrame, block, last: bool, total: int, known: int, begun: i
         own: Block = block.value
         pack, unpack = zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for piece in pieces(batch, "__text", SCORED_BYTES):
+            for piece in pieces(batch, "__text", READ_BYTES):
                 numbers, begins = words.read(piece.column("__text").to_pylist())
                 if have is not words.numbers:
                     have, counts = words.numbers, np.zeros(0)
@@ -274,6 +275,7 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
     """The model of all given texts: a row per segment and kind, the bits that name a segment, and
     how many texts there were."""
+    small_batches(docs.sparkSession)
     size, texts = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     bits = min(40, max(0, math.ceil(math.log2(max(1, (size or 0) / 5 / SEGMENT_GRAMS)))))
     model = (gram_counts(docs, text, bits).groupBy("__kind", "__segment")
@@ -296,6 +298,7 @@ def score(docs: DataFrame, model: DataFrame, bits: int, texts: int,
     the texts, which stores what is known so far for the next. Nothing is dropped.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sums = {r["kind"]: r for r in model.groupBy("kind").agg(
         F.sum("total").alias("total"), F.sum("grams").alias("grams"), F.sum("bytes").alias("bytes")).collect()}
     total, known = (int(sums[1]["total"]), int(sums[1]["grams"])) if 1 in sums else (0, 0)
