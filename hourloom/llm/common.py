@@ -50,8 +50,8 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Texts go to Python in batches of a few MB from now on, as rows may be long; a smaller limit
     that the session has stays."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(setting, "").rstrip("bB")
-    if not now.isdigit() or int(now) > limit:
+    now = spark.conf.get(setting).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= limit:
         spark.conf.set(setting, str(limit))
 
 
