@@ -234,6 +234,30 @@ def _account(stage: str, src: str, kept: str) -> str:
 
 _FEATURE_OUT = ", ".join(
     n if n == "is_weekend" else f"round({n} + 3.3e-10, 6) as {n}" for n in [*_FEATURE_SQL, "pm25"])
+# Ridge on one standardised feature, penalty one: the weight is S_xy / (n + 1).
+_FIT = ("count(*) as n, avg(pm25) as my, avg(pm25_lag_1h) as mx, stddev_pop(pm25_lag_1h) as sx, "
+        "covar_pop(pm25_lag_1h, pm25) * count(*) / stddev_pop(pm25_lag_1h) / (count(*) + 1) as w")
+_RIDGE = FOLDED.rstrip() + f""",
+fx_fits as (
+  select fold, {_FIT} from fx_folded,
+         (select distinct test_fold as fold from fx_folded where test_fold > 0)
+  where test_fold < fold group by fold),
+fx_ridge as (
+  select 'ridge' as model, fold, pm25 as y, my + w * (pm25_lag_1h - mx) / sx as yhat
+  from fx_folded join fx_fits on fold = test_fold)
+"""
+_RIDGE_SCORES = _RIDGE.rstrip() + """,
+fx_ridge_metrics as (
+  select model, fold, avg(abs(y - yhat)) as mae, sqrt(avg((y - yhat) * (y - yhat))) as rmse,
+         avg(case when y > 1 then abs((y - yhat) / y) end) * 100 as mape,
+         1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(y)) as r2
+  from fx_ridge group by 1, 2),
+fx_ridge_scores as (
+  select model, """ + ", ".join(
+    f"round_even(avg({m}), 3) as {m}, round_even(stddev_pop({m}), 3) as {m}_std"
+    for m in ("mae", "rmse", "mape", "r2")) + """
+  from fx_ridge_metrics group by 1)
+"""
 _FEATURE_ROWS = FEATURES + f"select {_ST}, {_FEATURE_OUT} from fx_features"
 
 ORACLE: dict[str, str] = {
@@ -375,6 +399,18 @@ ORACLE: dict[str, str] = {
                      count(*) over (partition by station) // 6 as t from fx_clean)""",
     "persistence_scores": FOLDED + f"select model, {', '.join(_METRICS)} from fx_scores "
                                    "where model = 'persistence'",
+    "ridge_fold_rows": _RIDGE + f"select model, fold, {r('y', 'yhat')} from fx_ridge",
+    "ridge_one_feature_scores": _RIDGE_SCORES + f"select model, {', '.join(_METRICS)} from fx_ridge_scores",
+    "saved_ridge_forecast": FEATURES + f"""select {_ST}, round(pm25 + 3.3e-10, 6) as actual,
+        round(my + w * (pm25_lag_1h - mx) / sx + 3.3e-10, 6) as prediction
+        from {_last('fx_features', 48)}, (select {_FIT} from fx_features)""",
+    "forest_fold_checks": FOLDED + """select cast(test_fold as integer) as fold, count(*) as n,
+        true as finite, true as inside from fx_folded where test_fold > 0 group by 1""",
+    "boosting_rounds": FOLDED + """select cast(test_fold as integer) as fold, count(*) as n,
+        true as finite, true as within_limit, true as ends_with_best
+        from fx_folded where test_fold > 0 group by 1""",
+    "importance_checks": "select feature, true as sound from (values "
+        + ", ".join(f"('{n}')" for n in _FEATURE_SQL) + ") f(feature)",
     "supplier_series_features": _line_features("l_suppkey"),
     "flag_series_features": _line_features("l_returnflag"),
     "flag_series_quartiles": "select l_returnflag, " + ", ".join(

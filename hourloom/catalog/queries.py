@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ from .. import fixtures as fx
 from ..config import ExperimentSettings, ScaleSettings
 from ..functions import risk, scalars
 from ..models.bundle import Bundle, load_bundle, save_bundle, score_recent
-from ..models.trainers import fit, top_importances
+from ..models.trainers import fit, importances, tail_errors, top_importances
 from ..operators import align, fences, summary, validate
 from ..operators.features import all_features, build_features, complete_rows
 from ..operators.fill import fill_series
@@ -24,7 +25,7 @@ from ..operators.scale import (
     along_series, ensure_checkpoint_dir, longest_series, row_positions,
 )
 from ..plans.clean import clean_panel, clean_series
-from ..plans.experiment import fold_predictions, model_scores, run_experiment
+from ..plans.experiment import fold_models, fold_predictions, model_scores, run_experiment
 from ..plans.monitor import latest_risk, recent_risk
 from ..sources.payloads import station_rows, weather_rows
 from ..sources.tables import bounded_history, read_dated, write_dated, write_records
@@ -475,7 +476,8 @@ def _stored_features(spark, d) -> tuple[DataFrame, list[str]]:
 def _scores(model: str) -> Query:
     def run(spark, d):
         rows, names = _stored_features(spark, d)
-        return model_scores(validate.assign_folds(rows), [model], names, "pm25")
+        folded = validate.assign_folds(rows).persist()
+        return model_scores(folded, [model], names, "pm25")
     return run
 
 
@@ -493,8 +495,73 @@ def fold_rows_ridge(spark, d):
 @query
 def experiment(spark, d):
     rows, names = _stored_features(spark, d)
-    chosen = ExperimentSettings(models=("persistence", "ridge"))
-    return run_experiment(rows, names, settings=chosen, out=scratch(spark)).scores
+    return run_experiment(rows, names, out=scratch(spark)).scores
+
+
+ONE = ["pm25_lag_1h"]  # with one feature the fit has a closed form that SQL can state
+
+
+@query
+def ridge_fold_rows(spark, d):
+    folded = validate.assign_folds(_stored_features(spark, d)[0]).persist()
+    return tidy(fold_predictions(folded, "ridge", ONE, "pm25"))
+
+
+@query
+def ridge_one_feature_scores(spark, d):
+    folded = validate.assign_folds(_stored_features(spark, d)[0]).persist()
+    return model_scores(folded, ["ridge"], ONE, "pm25")
+
+
+@query
+def saved_ridge_forecast(spark, d):
+    rows, path = _stored_features(spark, d)[0], scratch(spark)
+    save_bundle(spark, Bundle(fit("ridge", rows, ONE, "pm25"), "ridge", tuple(ONE), "pm25"), path)
+    return tidy(score_recent(load_bundle(spark, path), rows, 48, KEY))
+
+
+def _finite(column: str) -> Column:
+    p = F.col(column)
+    return p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
+
+
+@query
+def forest_fold_checks(spark, d):
+    """Of each tested fold: its rows, whether all predictions are numbers, and within the training
+    targets, which a forest averages."""
+    rows, names = _stored_features(spark, d)
+    folded, parts = validate.assign_folds(rows).persist(), []
+    for i, trained in fold_models(folded, "forest", names, "pm25").items():
+        low, high = folded.where(F.col("test_fold") < i).agg(F.min("pm25"), F.max("pm25")).first()
+        parts.append(trained.transform(folded.where(F.col("test_fold") == i)).agg(
+            F.lit(i).alias("fold"), F.count("*").alias("n"), F.every(_finite("prediction")).alias("finite"),
+            F.every(F.col("prediction").between(low - 1e-9, high + 1e-9)).alias("inside")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def boosting_rounds(spark, d):
+    """Of each tested fold: its rows, whether all predictions are numbers, and whether the rounds are
+    within the limit and end with the best one on the tail."""
+    rows, names = _stored_features(spark, d)
+    folded, parts = validate.assign_folds(rows).persist(), []
+    limit = ExperimentSettings().boosting.rounds
+    for i, trained in fold_models(folded, "boosting", names, "pm25").items():
+        errors = tail_errors(trained, folded.where(F.col("test_fold") < i), "pm25")
+        parts.append(trained.transform(folded.where(F.col("test_fold") == i)).agg(
+            F.lit(i).alias("fold"), F.count("*").alias("n"), F.every(_finite("prediction")).alias("finite"),
+            F.lit(1 <= len(errors) <= limit).alias("within_limit"),
+            F.lit(min(errors) == errors[-1]).alias("ends_with_best")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def importance_checks(spark, d):
+    """The whole importance table: every feature once, no negative weight, a sum of one."""
+    rows, names = _stored_features(spark, d)
+    table = importances(fit("forest", rows, names, "pm25"), names, spark)
+    total = table.agg(F.abs(F.sum("importance") - 1) < 1e-9).first()[0]
+    return table.select("feature", ((F.col("importance") >= 0) & F.lit(total)).alias("sound"))
 
 
 @query

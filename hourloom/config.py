@@ -11,17 +11,17 @@ READING_COLUMNS = ("pm25", "aqi", "no2", "o3")
 # Half-open risk bands [low, high); anything unmatched takes the last band.
 RISK_BANDS = (
     {"band": 1, "label": "Clean", "low": 0.0, "high": 12.0, "color": "#2ecc71",
-     "audience": "Municipality",
-     "action": "No restriction is needed."},
+     "audience": "Everyone",
+     "action": "Nothing to do."},
     {"band": 2, "label": "Moderate", "low": 12.0, "high": 35.0, "color": "#f1c40f",
-     "audience": "Schools",
-     "action": "Warn sensitive groups."},
+     "audience": "Sensitive groups",
+     "action": "Tell people at risk to take it easy outside."},
     {"band": 3, "label": "High", "low": 35.0, "high": 55.0, "color": "#e67e22",
-     "audience": "Municipality, Health",
-     "action": "Limit traffic. Cancel outdoor events."},
+     "audience": "City and clinics",
+     "action": "Reduce car traffic and move events indoors."},
     {"band": 4, "label": "Critical", "low": 55.0, "high": 999.0, "color": "#e74c3c",
-     "audience": "Ministry, Industry",
-     "action": "Reduce industrial activity. Stop outdoor activity."},
+     "audience": "Government and plants",
+     "action": "Throttle emitters and keep people inside."},
 )
 
 # Annual guideline for the ratio, and the two limits of the trailing statistics.
@@ -66,17 +66,16 @@ class ScaleSettings:
     """Limits that decide between the one-task-per-series plan and the split plan.
 
     A series with more than ``max_group_rows`` rows is cut into chunks of that many rows.
-    A lookup table is broadcast only when its measured size is at most ``broadcast_bytes``;
-    a larger one is joined with ``salts`` copies so that no join key is hot.
+    A lookup table is broadcast only when its measured size is at most ``broadcast_bytes``.
     """
 
     max_group_rows: int = 1_000_000
     broadcast_bytes: int = 64 << 20
-    salts: int = 64
     quantile_bins: int = 4096
     sketch_accuracy: int = 10_000
 
 
+# The hyperparameters of the models.
 @dataclass(frozen=True)
 class RidgeSettings:
     alpha: float = 1.0
@@ -87,6 +86,7 @@ class ForestSettings:
     trees: int = 200
     depth: int = 12
     min_leaf: int = 5
+    bins: int = 255
     seed: int = 42
 
 
@@ -99,6 +99,8 @@ class BoostingSettings:
     row_share: float = 0.8
     column_share: float = 0.8
     tail_share: float = 0.1
+    patience: int = 50
+    bins: int = 255
     seed: int = 42
 
 

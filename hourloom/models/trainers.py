@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -108,7 +109,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], target: str,
     model = RandomForestRegressor(
         featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION,
         numTrees=settings.trees, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
-        featureSubsetStrategy=str(per_split), seed=settings.seed)
+        featureSubsetStrategy=str(per_split), maxBins=settings.bins, seed=settings.seed)
     return Pipeline(stages=[assembler(features), model]).fit(train)
 
 
@@ -116,19 +117,50 @@ def fit_boosting(train: DataFrame, features: Sequence[str], target: str,
                  settings: BoostingSettings = BoostingSettings(), ts: str = "timestamp",
                  stop_early: bool = True, scale: ScaleSettings = ScaleSettings()
                  ) -> PipelineModel:
-    """Boosted trees. Rounds stop once the last tenth of the *training* times gets no better;
-    the test fold is never looked at while training."""
-    options = {}
-    if stop_early:
-        cut = time_literal(tail_start(train, ts, settings.tail_share, scale))
-        train = train.withColumn("__tail", F.col(ts) >= cut)
-        options["validationIndicatorCol"] = "__tail"
-    model = GBTRegressor(
-        featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION,
-        maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.depth,
-        minInstancesPerNode=settings.min_leaf, subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.column_share), seed=settings.seed, **options)
-    return Pipeline(stages=[assembler(features), model]).fit(train)
+    """Boosted trees. With ``stop_early`` the last tenth of the *training* times judges the rounds:
+    the model has the rounds with the least squared error there, once ``patience`` further ones
+    were no better. The test fold is never looked at while training.
+
+    Rounds are added in runs, each twice the last, until that is known; round m is the same in
+    every run, because its rows and columns are drawn with seed + m.
+    """
+    def boosted(rounds: int) -> GBTRegressor:
+        return GBTRegressor(
+            featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION, maxIter=rounds,
+            stepSize=settings.step, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
+            subsamplingRate=settings.row_share, maxBins=settings.bins,
+            featureSubsetStrategy=str(settings.column_share), seed=settings.seed)
+
+    vectors = assembler(features)
+    if not stop_early:
+        return Pipeline(stages=[vectors, boosted(settings.rounds)]).fit(train)
+    cut = time_literal(tail_start(train, ts, settings.tail_share, scale))
+    ready = vectors.transform(train).select(VECTOR, target, ts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        head, tail = ready.where(F.col(ts) < cut), ready.where(F.col(ts) >= cut)
+        if head.isEmpty():  # too few times for a tail
+            return PipelineModel(stages=[vectors, boosted(settings.rounds).fit(ready)])
+        rounds = min(settings.rounds, 2 * settings.patience)
+        while True:
+            model = boosted(rounds).fit(head)
+            errors = model.evaluateEachIteration(tail, "squared")
+            best = errors.index(min(errors)) + 1
+            if rounds == settings.rounds or best + settings.patience <= rounds:
+                break
+            rounds = min(settings.rounds, 2 * rounds)
+        kept = model if best == rounds else boosted(best).fit(head)
+    finally:
+        ready.unpersist()
+    return PipelineModel(stages=[vectors, kept])
+
+
+def tail_errors(model: PipelineModel, train: DataFrame, target: str, ts: str = "timestamp",
+                settings: BoostingSettings = BoostingSettings(),
+                scale: ScaleSettings = ScaleSettings()) -> list[float]:
+    """Squared error on the tail after each round of an early-stopped model."""
+    cut = time_literal(tail_start(train, ts, settings.tail_share, scale))
+    ready = model.stages[0].transform(train.where(F.col(ts) >= cut))
+    return model.stages[-1].evaluateEachIteration(ready, "squared")
 
 
 def fit(name: str, train: DataFrame, features: Sequence[str], target: str,

@@ -72,14 +72,20 @@ def overlay_last(df: DataFrame, live: DataFrame, ordinal: str, key: str | None =
     return joined.withColumn(column, replaced).drop("__hour", "__new")
 
 
-def splice_history(history: DataFrame, live: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """History strictly before the first live row, then the live rows.
+def splice_history(history: DataFrame, live: DataFrame, ts: str = "timestamp",
+                   key: str | None = None, scale: ScaleSettings = ScaleSettings()) -> DataFrame:
+    """History strictly before the first live row, with ``key`` of the same series, then the live rows.
 
     Columns of one side only are missing on the other. Without live rows all history stays.
     """
-    first = live.agg(F.min(ts).alias("first")).first()["first"]
-    if first is not None:
-        history = history.where(F.col(ts) < F.lit(first.isoformat(sep=" ")).cast("timestamp_ntz"))
+    if key is None:
+        first = live.agg(F.min(ts).alias("first")).first()["first"]
+        if first is not None:
+            history = history.where(F.col(ts) < F.lit(first.isoformat(sep=" ")).cast("timestamp_ntz"))
+    else:
+        firsts = settle(live.groupBy(key).agg(F.min(ts).alias("__first")))
+        history = attach(history, firsts, [key], scale).where(
+            F.col("__first").isNull() | (F.col(ts) < F.col("__first"))).drop("__first")
     return history.unionByName(live, allowMissingColumns=True)
 
 

@@ -122,8 +122,9 @@ def refined_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
         F.min(F.when(F.col("__upto") > lower, F.col("__v"))).alias("__a"),
         F.min(F.when(F.col("__upto") > lower + 1, F.col("__v"))).alias("__b"))
     a = F.col("__a")
-    share = F.col("__rank") - lower
-    value = a + share * (F.coalesce(F.col("__b"), a) - a)
+    # The same arithmetic as the built-in, so that both plans agree to the last bit.
+    value = F.when(lower == F.col("__rank"), a).otherwise(
+        (lower + 1 - F.col("__rank")) * a + (F.col("__rank") - lower) * F.coalesce(F.col("__b"), a))
     values = picked.select(*keys, "__col", "__prob", value.alias("__value"))
     return values.groupBy(*keys).agg(*[
         F.max(F.when((F.col("__col") == c) & (F.col("__prob") == i), F.col("__value")))

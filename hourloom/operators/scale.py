@@ -4,8 +4,8 @@ Two plans exist for everything that runs "along a series":
 
 * series within ``ScaleSettings.max_group_rows``: one window partition per series, so every
   lag, mean and fill shares one exchange and one sort;
-* longer series: rows get an exact position, are cut into chunks of equal row count, and each
-  chunk is a window partition of its own. Rows that the next chunk has to look back at are
+* longer series: rows are divided by range once, which gives exact positions, are cut into chunks
+  of equal row count, and each chunk is a window partition of its own. Rows that the next chunk has to look back at are
   copied into it and removed again.
 
 Which plan a series takes is measured, not guessed, and both give the same rows.
@@ -16,16 +16,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ScaleSettings
-from ..functions.scalars import wall_seconds
-
-HASHABLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType,
-            T.TimestampNTZType, T.BinaryType)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -48,53 +46,42 @@ def settle(small: DataFrame) -> DataFrame:
     return small.checkpoint(eager=True)
 
 
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about: texts by their length, arrays and structs by what they hold."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.StructType):
+        size = reduce(lambda a, b: a + b, [value_bytes(value[f.name], f.dataType) for f in kind], F.lit(16))
+    elif isinstance(kind, T.ArrayType):
+        size = F.lit(24) + F.aggregate(
+            F.transform(value, lambda x: value_bytes(x, kind.elementType).cast("bigint")),
+            F.lit(0).cast("bigint"), lambda a, b: a + b)
+    else:
+        size = F.lit(16)
+    return F.coalesce(size.cast("bigint"), F.lit(8).cast("bigint"))
+
+
 def table_bytes(small: DataFrame) -> int:
-    """Size of a settled table: fixed widths times rows, plus the bytes of its texts."""
-    fixed, texts = 16, []
-    for f in small.schema:
-        if isinstance(f.dataType, T.StringType):
-            texts.append(F.sum(F.octet_length(f.name)))
-        elif isinstance(f.dataType, T.StructType):
-            fixed += 8 * len(f.dataType)
-        elif isinstance(f.dataType, T.ArrayType):
-            texts.append(F.sum(F.size(f.name)) * 8)
-        fixed += 8
-    row = small.agg(F.count(F.lit(1)), *texts).first()
-    return row[0] * fixed + sum(x or 0 for x in row[1:])
+    """Size of a settled table, summed over its values."""
+    row = reduce(lambda a, b: a + b, [value_bytes(F.col(f.name), f.dataType) for f in small.schema],
+                 F.lit(16).cast("bigint"))
+    return small.agg(F.sum(row)).first()[0] or 0
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], scale: ScaleSettings,
            how: str = "left") -> DataFrame:
     """Join a settled per-key table onto ``df``, NULL keys included.
 
-    Broadcast only after measuring it. Otherwise both sides are salted: the big side by a hash
-    of the row, the small side by copying, so a key holding a third of the rows spreads out.
+    Broadcast only after measuring it. Otherwise it is a plain equi-join, which adaptive
+    execution splits where a key has very many rows.
     """
     renamed = small.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
     if table_bytes(small) <= scale.broadcast_bytes:
-        joined = df.join(F.broadcast(renamed), on, how)
-    else:
-        parts = [f.name for f in df.schema if isinstance(f.dataType, HASHABLE)]
-        salt = F.pmod(F.xxhash64(*parts), F.lit(scale.salts))
-        copies = renamed.withColumn(
-            "__salt_r", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                             F.lit(scale.salts - 1).cast("bigint"))))
-        joined = df.withColumn("__salt", salt).join(
-            copies, [*on, F.col("__salt") == F.col("__salt_r")], how)
-    return joined.drop("__salt", "__salt_r", *[f"__k_{k}" for k in keys])
-
-
-def order_number(df: DataFrame, name: str) -> Column | None:
-    """An order column as a number that never decreases along the order, if it has one."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return wall_seconds(F.col(name))
-    return None
+        renamed = F.broadcast(renamed)
+    return df.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
 LONG_FIELDS = ("__n",)
@@ -139,75 +126,57 @@ def split_long(df: DataFrame, long: LongSeries, scale: ScaleSettings
             marked.where(F.col("__n").isNotNull()))
 
 
-def _cut_on(i: int, scale: ScaleSettings) -> Column:
-    """How to cut a range on order column i; missing if that column is constant in the range.
+def range_parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
+                scale: ScaleSettings) -> DataFrame:
+    """The rows in key and order, each with ``__part`` and ``__in_part`` (its place in that part).
 
-    Rows without a value go to a range of their own, before the others.
-    """
-    low, known = F.col(f"__lo_{i}"), F.col(f"__known_{i}")
-    pieces = F.ceil(4 * F.col("__rows") / F.lit(scale.max_group_rows))
-    even = (F.col(f"__hi_{i}") - low) / pieces
-    some_missing = (known > 0) & (known < F.col("__rows"))
-    def plan(step: Column) -> Column:
-        return F.struct(F.lit(i).alias("column"), low.alias("low"), step.alias("step"))
-    return F.when(F.col(f"__varies_{i}"), plan(even)).when(some_missing, plan(F.lit(1.0)))
-
-
-def _split_into_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
-                       scale: ScaleSettings) -> tuple[DataFrame, list[str], DataFrame]:
-    """Cut long series into ranges of their order until no range is over the row limit.
-
-    Returns the rows, the range columns (their order is the row order), and the settled table of
-    ranges. A range over the limit is cut along the first order column that varies inside it;
-    all earlier ones are constant there, so the cut keeps the order. This holds where most rows
-    share one time, or where one stray time stretches the span. Each round counts before the
-    shuffle; there are about 4 * rows / limit ranges.
+    One shuffle by range and one sort, written to the shared folder, so that whatever follows
+    reads the same numbers and nothing upstream is computed again. Any sortable column can be in
+    the order; rows that agree in all of it are kept apart by a running id, so ties do not make a
+    part wide either. Parts hold half of the row limit in the mean.
     """
-    numbers: list[Column] = []
-    for c in order:  # a column without a number ends the list: nothing after it may be cut on
-        number = order_number(rows, c)
-        if number is None:
-            break
-        numbers.append(number)
-    parts: list[str] = []
-    while True:
-        ranges = settle(rows.groupBy(*keys, *parts).agg(
-            F.count(F.lit(1)).alias("__rows"),
-            *[F.count(c).alias(f"__known_{i}") for i, c in enumerate(order[:len(numbers)])],
-            *[(F.min(c) < F.max(c)).alias(f"__varies_{i}")
-              for i, c in enumerate(order[:len(numbers)])],
-            *[F.min(n).alias(f"__lo_{i}") for i, n in enumerate(numbers)],
-            *[F.max(n).alias(f"__hi_{i}") for i, n in enumerate(numbers)]))
-        if not numbers:
-            return rows, parts, ranges.select(*keys, *parts, "__rows")
-        cut = F.coalesce(*[_cut_on(i, scale) for i in range(len(numbers))])
-        wide = ranges.where(F.col("__rows") > scale.max_group_rows).withColumn("__cut", cut)
-        usable = (F.col("__cut.step") > 0) & (F.col("__cut.step") < float("inf"))
-        wide = wide.where(usable).select(*keys, *parts, "__cut")
-        if wide.isEmpty():
-            return rows, parts, ranges.select(*keys, *parts, "__rows")
-        rows = attach(rows, wide, [*keys, *parts], scale)
-        chosen = F.coalesce(*[F.when(F.col("__cut.column") == i, n)
-                              for i, n in enumerate(numbers)])
-        piece = f"__range_{len(parts)}"
-        rows = rows.withColumn(
-            piece, F.floor((chosen - F.col("__cut.low")) / F.col("__cut.step"))).drop("__cut")
-        parts.append(piece)
+    spark = rows.sparkSession
+    tied = settle_rows(rows).withColumn("__tie", F.monotonically_increasing_id())
+    n = max(1, -(-2 * tied.count() // scale.max_group_rows))
+    by = [*keys, *order, "__tie"]
+    placed = tied.repartitionByRange(n, *by).sortWithinPartitions(*by).select(
+        *rows.columns, F.spark_partition_id().alias("__part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__in_part"))
+    path = shared_path(spark)
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def settle_rows(rows: DataFrame) -> DataFrame:
+    """Rows written once, so that ranges are drawn from what is then divided."""
+    path = shared_path(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/hourloom-{uuid4().hex}"
 
 
 def _positions_of_long(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                        scale: ScaleSettings) -> DataFrame:
-    """Exact 0-based row position in long series, without sorting a series in one task."""
-    cut, parts, ranges = _split_into_ranges(rows.drop(*LONG_FIELDS), keys, order, scale)
-    before = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    starts = settle(ranges.select(
-        *keys, *parts, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start")))
-    within = Window.partitionBy(*keys, *parts).orderBy(*order)
-    numbered = cut.withColumn("__in_range", F.row_number().over(within))
+    """Exact 0-based row position in long series, without sorting a series in one task.
+
+    A part can end one series and begin the next; where a series begins in it, and how many of
+    its rows earlier parts have, is a table of a row per part and series.
+    """
+    placed = range_parts(rows.drop(*LONG_FIELDS), keys, order, scale)
+    parts = placed.groupBy(*keys, "__part").agg(
+        F.count(F.lit(1)).alias("__rows"), F.min("__in_part").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(parts.select(
+        *keys, "__part",
+        (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__start")))
     return (
-        attach(numbered, starts, [*keys, *parts], scale)
-        .withColumn(name, F.col("__start") + F.col("__in_range") - 1)
-        .drop(*parts, "__in_range", "__start"))
+        attach(placed, starts, [*keys, "__part"], scale)
+        .withColumn(name, F.col("__start") + F.col("__in_part"))
+        .drop("__part", "__in_part", "__start"))
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,30 @@ def fold_predictions(folded: DataFrame, model: str, features: Sequence[str], tar
     """``(model, fold, y, yhat)`` of every tested row; fold i is trained on ``test_fold < i``."""
     if model == "persistence":
         return persistence_predictions(folded, target)
-    stats = stats_before_folds(folded, features, target) if model == "ridge" else {}
-    parts = []
-    for i in range(1, settings.n_splits + 1):
-        trained = fit(model, folded.where(F.col("test_fold") < i), features, target, settings,
-                      ts, scale=scale, stats=stats.get(i))
-        tested = trained.transform(folded.where(F.col("test_fold") == i))
-        parts.append(tested.select(F.lit(model).alias("model"), F.lit(i).alias("fold"),
-                                   F.col(target).alias("y"), F.col(PREDICTION).alias("yhat")))
+    parts = [
+        trained.transform(folded.where(F.col("test_fold") == i)).select(
+            F.lit(model).alias("model"), F.lit(i).alias("fold"), F.col(target).alias("y"),
+            F.col(PREDICTION).alias("yhat"))
+        for i, trained in fold_models(folded, model, features, target, settings, ts, scale).items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def fold_models(folded: DataFrame, model: str, features: Sequence[str], target: str,
+                settings: ExperimentSettings = ExperimentSettings(), ts: str = "timestamp",
+                scale: ScaleSettings = ScaleSettings()) -> dict[int, PipelineModel]:
+    """The model trained for each tested fold. Folds do not depend on each other, so their jobs
+    are submitted side by side."""
+    stats = stats_before_folds(folded, features, target) if model == "ridge" else {}
+
+    def one(i: int) -> PipelineModel:
+        return fit(model, folded.where(F.col("test_fold") < i), features, target, settings, ts,
+                   scale=scale, stats=stats.get(i))
+
+    folds = range(1, settings.n_splits + 1)
+    with ThreadPoolExecutor(settings.n_splits) as pool:
+        return dict(zip(folds, pool.map(inheritable_thread_target(folded.sparkSession)(one), folds)))
+
+
 def model_scores(folded: DataFrame, models: Sequence[str], features: Sequence[str], target: str,
                  settings: ExperimentSettings = ExperimentSettings(), ts: str = "timestamp",
                  scale: ScaleSettings = ScaleSettings()) -> DataFrame:

@@ -40,7 +40,7 @@ def run_ingest(spark: SparkSession, station_path: str, weather_path: str, histor
     landed = read_payloads(spark, weather_path, key)
     weather = bounded_history(
         weather_rows(landed, keep=(key,) if weather_per_series else ()), as_of, days)
-    readings = one_per_hour(splice_history(history, live), key)
+    readings = one_per_hour(splice_history(history, live, key=key), key)
     clean = clean_series(readings, weather, key, settings=settings, scale=scale)
     if out is None:
         return clean

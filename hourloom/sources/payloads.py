@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import missing_as_null, wall_clock
+from ..functions.scalars import missing_as_null
 
 _VALUE = "struct<v: double>"
 STATION_SCHEMA = (
@@ -25,8 +25,11 @@ def station_rows(landed: DataFrame, payload: str = "payload", key: str = "statio
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """One reading per payload whose status is ok; unreadable payloads give no row.
 
-    An absent pollutant or a non-numeric index is missing. The zone offset is dropped.
+    An absent pollutant or a non-numeric index is missing; a payload without an index or without
+    the block of pollutants gives no row. The zone offset is dropped.
     """
+    fields = F.from_json(payload, "data map<string, string>")["data"]
+    landed = landed.where(F.map_contains_key(fields, "aqi") & F.map_contains_key(fields, "iaqi"))
     parsed = landed.withColumn("__p", F.from_json(payload, STATION_SCHEMA))
     ok = parsed.where((F.col("__p.status") == "ok") & F.col("__p.data.time.iso").isNotNull())
     iso = F.col("__p.data.time.iso")
@@ -39,14 +42,25 @@ def station_rows(landed: DataFrame, payload: str = "payload", key: str = "statio
 
 def weather_rows(landed: DataFrame, payload: str = "payload",
                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per element of the parallel arrays."""
+    """One row per element of the parallel arrays; see ``rejected_times`` for unreadable times."""
+    cells = _cells(landed, payload, keep)
+    rows = cells.select(
+        *keep, F.col("c.time").try_cast("timestamp_ntz").alias("timestamp"),
+        *[missing_as_null(F.col(f"c.{name}")).alias(to) for name, to in WEATHER_FIELDS])
+    return rows.where(F.col("timestamp").isNotNull())
+
+
+def rejected_times(landed: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The time texts that ``weather_rows`` has no rows for, with their number."""
+    cells = _cells(landed, payload, keep).where(F.col("c.time").try_cast("timestamp_ntz").isNull())
+    return cells.groupBy(*keep, F.col("c.time").alias("time")).agg(F.count("*").alias("n"))
+
+
+def _cells(landed: DataFrame, payload: str, keep: tuple[str, ...]) -> DataFrame:
     hourly = F.from_json(payload, WEATHER_SCHEMA)["hourly"]
-    cells = landed.withColumn("__h", hourly).where(F.col("__h.time").isNotNull()).select(
+    return landed.withColumn("__h", hourly).where(F.col("__h.time").isNotNull()).select(
         *keep, F.explode(F.arrays_zip(
             F.col("__h.time"), *[F.col(f"__h.{name}") for name, _ in WEATHER_FIELDS])).alias("c"))
-    return cells.select(
-        *keep, wall_clock(F.col("c.time")).alias("timestamp"),
-        *[missing_as_null(F.col(f"c.{name}")).alias(to) for name, to in WEATHER_FIELDS])
 
 
 def read_payloads(spark: SparkSession, path: str, key: str = "station") -> DataFrame:

@@ -11,7 +11,7 @@ from hourloom import fixtures as fx
 from hourloom.config import ScaleSettings
 from hourloom.operators.features import build_features
 from hourloom.operators.order_stats import quantiles
-from hourloom.operators.scale import attach, row_positions, settle
+from hourloom.operators.scale import attach, range_parts, row_positions, settle, table_bytes
 from hourloom.plans.clean import clean_panel
 
 CUT = ScaleSettings(max_group_rows=200)
@@ -62,6 +62,17 @@ def test_positions_with_a_text_in_the_order(spark):
                             scale=ScaleSettings(max_group_rows=50)))
 
 
+@pytest.mark.parametrize("order", ["text", "big", "same"])
+def test_no_part_is_much_wider_than_the_limit(spark, order):
+    rows = spark.range(4000).select(
+        F.lit("a").alias("k"), F.concat(F.lit("t"), F.col("id") % 1300).alias("text"),
+        (F.lit(2**60) + F.col("id") % 1300).alias("big"), F.lit(1).alias("same"), "id")
+    scale = ScaleSettings(max_group_rows=200)
+    parts = range_parts(rows, ["k"], [order], scale).groupBy("__part").count()
+    assert parts.agg(F.max("count")).first()[0] <= 200
+    same_rows(row_positions(rows, ["k"], [order, "id"]), row_positions(rows, ["k"], [order, "id"], scale=scale))
+
+
 def test_cleaning(panel):
     same_rows(clean_panel(panel, ["station"]), clean_panel(panel, ["station"], scale=CUT))
 
@@ -105,10 +116,24 @@ def test_global_quantiles(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_attach_equals_broadcast(spark, how):
+def test_joined_attach_equals_broadcast(spark, how):
     big = spark.range(500).select(
         F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 4).alias("k"), "id")
     small = settle(spark.createDataFrame([(None, 1.0), (1, 2.0), (2, 3.0)], "k long, w double"))
     plain = attach(big, small, ["k"], ScaleSettings(), how)
-    same_rows(plain, attach(big, small, ["k"], ScaleSettings(broadcast_bytes=0, salts=4), how))
+    same_rows(plain, attach(big, small, ["k"], ScaleSettings(broadcast_bytes=0), how))
     assert plain.where("k is null and w = 1.0").count() == 100
+
+
+def test_table_bytes_counts_what_is_nested(spark):
+    flat = settle(spark.createDataFrame([("x" * 1000,)], "v string"))
+    deep = settle(spark.createDataFrame([([("x" * 1000, 1.0)] * 50,)], "v array<struct<a: string, b: double>>"))
+    assert table_bytes(flat) > 1000 and table_bytes(deep) > 50_000
+
+
+def test_both_quantile_plans_agree_to_the_last_bit(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.gauss(0, 1),) for _ in range(997)], "v double")
+    probs = (0.1, 0.25, 0.3333, 0.5, 0.75, 0.999)
+    plain = quantiles(df, ["v"], probs).first()
+    assert quantiles(df, ["v"], probs, scale=ScaleSettings(max_group_rows=50)).first() == plain

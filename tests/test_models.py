@@ -11,7 +11,8 @@ from hourloom.config import (
 )
 from hourloom.models.bundle import Bundle, align_features, load_bundle, save_bundle, score_recent
 from hourloom.models.trainers import (
-    fit, fit_ridge, importances, stats_before_folds, top_importances, train_stats,
+    fit, fit_boosting, fit_ridge, importances, stats_before_folds, tail_errors, top_importances,
+    train_stats,
 )
 from hourloom.operators.scale import settle
 from hourloom.operators.validate import assign_folds
@@ -109,3 +110,33 @@ def test_experiment_ranks_and_saves_the_best(spark, rows):
     assert {r["model"] for r in board} == {"persistence", "ridge", "forest", "boosting"}
     assert result.best.name == board[0]["model"] == load_bundle(spark, f"{path}/best").name
     assert spark.read.json(f"{path}/results").count() == 4
+
+
+def test_early_stopping_waits_for_the_best_round(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-2, 2, size=(2500, 4))
+    y = 10 * np.sin(2 * x[:, 0]) + 4 * x[:, 1] ** 2 + rng.normal(0, 0.5, 2500)
+    df = hours(spark, y.tolist(), column="pm25").toPandas()
+    names = ["x0", "x1", "x2", "x3"]
+    df[names] = x
+    rows = settle(spark.createDataFrame(df))
+    head, test = rows.where("timestamp < '2024-03-20'"), rows.where("timestamp >= '2024-03-20'")
+
+    def mae(model):
+        return model.transform(test).agg(F.avg(F.abs(F.col("pm25") - F.col("prediction")))).first()[0]
+
+    settings = BoostingSettings(rounds=120, depth=3, patience=30)
+    model = fit_boosting(head, names, "pm25", settings)
+    rounds = model.stages[-1].getNumTrees
+    few = fit_boosting(head, names, "pm25", BoostingSettings(rounds=10, depth=3), stop_early=False)
+    assert rounds > 50 and mae(model) < 0.6 * mae(few)
+    errors = tail_errors(model, head, "pm25", settings=settings)
+    assert len(errors) == rounds and min(errors) == errors[-1]
+
+
+def test_early_stopping_on_noise_keeps_few_rounds(spark):
+    rng = np.random.default_rng(4)
+    df = hours(spark, rng.normal(size=400).tolist(), column="pm25").toPandas()
+    df["x"] = rng.normal(size=400)
+    model = fit_boosting(spark.createDataFrame(df), ["x"], "pm25", BoostingSettings(rounds=60, depth=3, patience=10))
+    assert model.stages[-1].getNumTrees < 60
