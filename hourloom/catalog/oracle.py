@@ -234,6 +234,26 @@ def _account(stage: str, src: str, kept: str) -> str:
 
 _FEATURE_OUT = ", ".join(
     n if n == "is_weekend" else f"round({n} + 3.3e-10, 6) as {n}" for n in [*_FEATURE_SQL, "pm25"])
+# The last live row of each station over its hour, before cleaning.
+_OVERLAID = _with(_FX.replace("fx_panel as (", "fx_bare as ("), """
+fx_last as (
+  select station, timestamp as h, pm25 + 100 as v from fx_readings
+  qualify row_number() over (partition by station order by timestamp desc) = 1),
+fx_panel as (
+  select p.* replace (case when p.timestamp = l.h then l.v else pm25 end as pm25)
+  from fx_bare p left join fx_last l using (station))""", _CLEAN)
+# Readings as the landed texts and the stored history have them.
+_INGESTED = _with(_FX.replace("fx_readings as (", "fx_stored as (").replace("fx_panel as (", """fx_live as (
+  select station, h as timestamp, case when sk%5=0 then null else cast(cents as double) end as pm25,
+         case when sk%3=0 then null else cast(n as double) end as aqi,
+         case when sk%5=0 then null else no2 end as no2, cast(null as double) as o3
+  from fx_obs where sk%11<>0),
+fx_readings as (
+  select s.* from fx_stored s
+  left join (select station, min(timestamp) as first from fx_live group by 1) using (station)
+  where timestamp < timestamp '2024-01-24' and (first is null or timestamp < first)
+  union all select * from fx_live),
+fx_panel as ("""), _CLEAN)
 # Ridge on one standardised feature, penalty one: the weight is S_xy / (n + 1).
 _FIT = ("count(*) as n, avg(pm25) as my, avg(pm25_lag_1h) as mx, stddev_pop(pm25_lag_1h) as sx, "
         "covar_pop(pm25_lag_1h, pm25) * count(*) / stddev_pop(pm25_lag_1h) / (count(*) + 1) as w")
@@ -294,6 +314,14 @@ ORACLE: dict[str, str] = {
         select p.station, p.timestamp, round(case when p.timestamp = hour then new_value
                else pm25 end + 3.3e-10, 6) as pm25
         from fx_panel p left join live l on l.station = p.station""",
+    "history_splice_by_station": BASE + f"""select {_ST}, {r('pm25', 'aqi', 'no2', 'o3', 'pm10')} from (
+        select *, cast(null as double) as pm10 from fx_readings r where timestamp < (
+          select min(timestamp) from fx_readings l where l.station = r.station
+          and timestamp >= timestamp '2024-01-24' + to_hours(length(station)::int))
+        union all select *, pm25 * 2 from fx_readings
+        where timestamp >= timestamp '2024-01-24' + to_hours(length(station)::int))""",
+    "clean_with_live": _OVERLAID + f"select {_ST}, {_CLEAN_COLUMNS} from fx_clean",
+    "ingest_run": _INGESTED + f"select {_ST}, {_CLEAN_COLUMNS} from fx_clean",
     "drop_missing_target": BASE + f"select {_ST}, {r('pm25', 'aqi')} from fx_panel "
                                   "where pm25 is not null",
     "drop_incomplete_rows": BASE + f"""select {_ST}, {r('pm25', 'temp', 'humidity', 'no2')}

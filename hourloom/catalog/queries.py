@@ -25,6 +25,7 @@ from ..operators.scale import (
     along_series, ensure_checkpoint_dir, longest_series, row_positions,
 )
 from ..plans.clean import clean_panel, clean_series
+from ..plans.ingest import run_ingest
 from ..plans.experiment import fold_models, fold_predictions, model_scores, run_experiment
 from ..plans.monitor import latest_risk, recent_risk
 from ..sources.payloads import station_rows, weather_rows
@@ -111,6 +112,36 @@ def history_splice(spark, d):
     return tidy(align.splice_history(history, live.withColumn("pm10", F.col("pm25") * 2)))
 
 
+@query
+def history_splice_by_station(spark, d):
+    """Stations whose live rows begin at different times."""
+    history = fx.readings(spark, d)
+    begun = F.lit(LATE).cast("timestamp_ntz") + F.expr("make_dt_interval(0, length(station))")
+    live = history.where(F.col("timestamp") >= begun).withColumn("pm10", F.col("pm25") * 2)
+    return tidy(align.splice_history(history, live, key="station"))
+
+
+@query
+def clean_with_live(spark, d):
+    """Cleaning with the last live row of each station laid over its hour."""
+    readings = fx.readings(spark, d)
+    live = readings.select("station", "timestamp", (F.col("pm25") + 100).alias("pm25"),
+                           F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("ordinal"))
+    return tidy(clean_series(readings, fx.weather(spark, d), "station", live=live))
+
+
+@query
+def ingest_run(spark, d):
+    """Landed station and weather texts and stored history to the dated clean table."""
+    base = scratch(spark)
+    late = F.lit(LATE).cast("timestamp_ntz")
+    fx.station_payloads(spark, d).write.json(f"{base}/stations")
+    fx.weather_payloads(spark, d).withColumn("station", F.lit("any")).write.json(f"{base}/weather")
+    fx.readings(spark, d).where(F.col("timestamp") < late).write.parquet(f"{base}/history")
+    return tidy(run_ingest(spark, f"{base}/stations", f"{base}/weather", f"{base}/history",
+                           date(2024, 2, 7), 30, f"{base}/clean"))
+
+
 @query
 def dated_sink(spark, d):
     path, rows = scratch(spark), fx.readings(spark, d)

@@ -11,8 +11,8 @@ from ..config import READING_COLUMNS, WEATHER_COLUMNS, CleanSettings, ScaleSetti
 from ..functions.scalars import clip_lower, clip_upper, nan_free
 from ..operators.align import join_on_hour, overlay_last, to_hour
 from ..operators.fences import QUARTILES, clip_to_fences, fence
-from ..operators.fill import fill_long, fill_short
-from ..operators.scale import LONG_FIELDS, find_long, split_long
+from ..operators.fill import fill_long, fill_series, fill_short
+from ..operators.scale import LONG_FIELDS, attach, find_long, row_positions, settle, split_long
 
 
 def _clip_short(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str],
@@ -62,12 +62,42 @@ def clean_panel(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp
     return filled.dropna(subset=[s.target]).drop("__one")
 
 
+def _panel_within(readings: DataFrame, weather: DataFrame, key: str, ts: str, settings: CleanSettings,
+                  scale: ScaleSettings) -> tuple[DataFrame, int]:
+    """Shared weather and readings of each series, from its first reading to ``interpolate_limit``
+    weather hours after its last, and a bound of the rows of a series.
+
+    Rows outside would have no target after cleaning. As fills of the weather look beyond, it is
+    filled before, once per hour. Spans are places among the weather hours, so a stray hour far
+    away costs one row. The hourly readings are computed once.
+    """
+    edges = [c for c in settings.edge_filled if c in weather.columns]
+    there = [c for c in READING_COLUMNS if c in readings.columns]
+    one = nan_free(weather).withColumn("__one", F.lit(1))
+    n = one.count()
+    filled = fill_series(one, ["__one"], [ts], edges, scale=scale, rows_bound=n)
+    hours = settle(row_positions(filled, ["__one"], [ts], "__hour", scale, n).drop("__one"))
+    heard = settle(readings.select(key, ts, *there))
+    spans = settle(heard.join(hours.select(ts, "__hour"), ts).groupBy(key).agg(
+        F.min("__hour").alias("__first"), F.count(F.lit(1)).alias("__n"),
+        F.least(F.max("__hour") + settings.interpolate_limit, F.lit(n - 1)).alias("__last")))
+    bound = spans.agg(F.max(F.col("__last") - F.col("__first") + 1 + F.col("__n"))).first()[0] or 0
+    grid = spans.select(key, F.explode(F.sequence("__first", "__last")).alias("__hour"))
+    panel = attach(grid, hours, ["__hour"], scale, "inner").drop("__hour")
+    return panel.join(heard, [key, ts], "left"), bound
+
+
 def clean_series(readings: DataFrame, weather: DataFrame, key: str | None = None,
                  ts: str = "timestamp", settings: CleanSettings = CleanSettings(),
                  scale: ScaleSettings = ScaleSettings(), live: DataFrame | None = None,
                  live_ordinal: str = "ordinal", rows_bound: int | None = None) -> DataFrame:
     """Readings joined to weather hours, overlaid with the last live row, and cleaned."""
-    joined = join_on_hour(to_hour(weather, ts), to_hour(readings, ts), key, ts, scale=scale)
+    weather, readings = to_hour(weather, ts), to_hour(readings, ts)
+    if key is not None and key not in weather.columns and live is None:
+        joined, bound = _panel_within(readings, weather, key, ts, settings, scale)
+        rows_bound = bound if rows_bound is None else min(bound, rows_bound)
+    else:
+        joined = join_on_hour(weather, readings, key, ts, scale=scale)
     if live is not None:
         joined = overlay_last(joined, to_hour(live, ts), live_ordinal, key, ts,
                               settings.target, scale)

@@ -2,14 +2,15 @@ from datetime import date
 
 import pytest
 from helpers import column, hours, plan_text, same_rows
+from helpers import same_rows
 from pyspark.sql import functions as F
 
 from hourloom import fixtures as fx
 from hourloom.catalog.queries import scratch
 from hourloom.operators import align
-from hourloom.plans.clean import clean_panel
+from hourloom.plans.clean import clean_panel, clean_series
 from hourloom.plans.ingest import run_ingest
-from hourloom.sources.payloads import station_rows, weather_rows
+from hourloom.sources.payloads import rejected_times, station_rows, weather_rows
 from hourloom.sources.tables import bounded_history, history_bounds, read_dated, write_dated
 
 
@@ -105,3 +106,38 @@ def test_ingest_from_landed_files(spark, folder):
     row = out.agg(F.count("*").alias("n"), F.count("pm25").alias("k"),
                   F.countDistinct("station").alias("s")).first()
     assert row["n"] == row["k"] > 0 and row["s"] == 5
+
+
+def test_station_without_index_or_pollutants_gives_no_row(spark):
+    time = '"time":{"iso":"2024-01-01T05:00:00"}'
+    rows = [("a", '{"status":"ok","data":{%s,"iaqi":{}}}' % time), ("b", '{"status":"ok","data":{"aqi":5,%s}}' % time),
+            ("c", '{"status":"ok","data":{"aqi":null,%s,"iaqi":{}}}' % time)]
+    out = station_rows(spark.createDataFrame(rows, "station string, payload string")).collect()
+    assert [(r["station"], r["aqi"], r["pm25"]) for r in out] == [("c", None, None)]
+
+
+def test_unreadable_weather_times_are_counted(spark):
+    text = ('{"hourly":{"time":["2024-01-01T00:00","soon","soon",null],"temperature_2m":[1,2,3,4],'
+            '"relative_humidity_2m":[],"wind_speed_10m":[],"wind_direction_10m":[],"precipitation":[],"surface_pressure":[]}}')
+    landed = spark.createDataFrame([(text,)], "payload string")
+    assert weather_rows(landed).count() == 1
+    assert {(r["time"], r["n"]) for r in rejected_times(landed).collect()} == {("soon", 2), (None, 1)}
+
+
+def test_history_is_spliced_per_series(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "station string, h int, pm25 double").selectExpr(
+        "station", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, h) as timestamp", "pm25")
+    history = rows(("a", 1, 1.0), ("a", 5, 1.0), ("b", 1, 1.0), ("b", 5, 1.0), (None, 2, 1.0), ("c", 9, 1.0))
+    live = rows(("a", 2, 2.0), ("b", 6, 2.0), (None, 1, 2.0))
+    out = align.splice_history(history, live, key="station").selectExpr("station", "hour(timestamp) as h", "pm25").collect()
+    assert {tuple(r) for r in out} == {("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 1.0), ("b", 5, 1.0), ("b", 6, 2.0),
+                                       (None, 1, 2.0), ("c", 9, 1.0)}
+
+
+def test_a_stray_weather_hour_costs_one_row(spark, folder):
+    weather, readings = fx.weather(spark, folder), fx.readings(spark, folder)
+    far = weather.limit(1).withColumn("timestamp", F.lit("2999-01-01 00:00:00").cast("timestamp_ntz"))
+    plain = clean_series(readings, weather, "station")
+    assert clean_series(readings, weather.union(far), "station").where("year(timestamp) < 2999").count() == plain.count()
+    full = clean_panel(align.join_on_hour(align.to_hour(weather), align.to_hour(readings), "station"), ["station"])
+    same_rows(plain, full.select(*plain.columns))
