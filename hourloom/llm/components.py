@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.common import settled
 
+#: Edges that a task of a round has, about; a few edges are not dealt out to many tasks.
+TASK_EDGES = 50_000
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """__node and __root (the smallest node it is linked to, itself included) of every node with an edge.
@@ -21,19 +24,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = settled(edges.filter(F.col(a) != F.col(b)).select(*down).distinct())
     mark = None
     while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / 1024)).first()
+        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()  # exact
         if not new[0] or tuple(new) == mark:
             return now.select(F.col("u").alias("__node"), F.col("v").alias("__root")).union(
                 now.select("v", "v").distinct())
-        mark = tuple(new)
+        mark, tasks = tuple(new), max(4, -(-new[0] // TASK_EDGES))
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(large)
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u")
-        now = settled(moved.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .union(small.select("u", F.col("m").alias("v"))).distinct())
+        large = both.join(least.coalesce(tasks), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settled(large.coalesce(tasks).distinct().coalesce(tasks))
+        small = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        moved = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = settled(moved.union(small.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
 
 
 class Forest:
