@@ -193,3 +193,21 @@ def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **key
     """The rows of docs that have no hit, with all columns of docs."""
     return mark_contamination(docs, items, docs.columns, text, **keys).filter(F.col("__n_hit") == 0).select(
         *[F.col(f"`{c}`") for c in docs.columns])
+
+
+_SQL_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w")
+CONTAMINATION_SQL = f"""
+with d as (select doc_id, {_SQL_WORDS} from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, {_SQL_WORDS} from benchmark),
+bi as (select item, w, unnest(range(1, greatest(len(w) - {WINDOW_WORDS - 1}, 1) + 1)) as i from b where len(w) > 0),
+bw as (select distinct item, w[i:least(i + {WINDOW_WORDS - 1}, len(w))] as win from bi),
+di as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+dw as (select doc_id, i, k, w[i:i + k - 1] as win from di, (select distinct len(win) as k from bw) where i + k - 1 <= len(w)),
+h as (select doc_id, i, k, item from dw join bw using (win)),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from h) group by 1),
+t as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join n using (doc_id) left join t using (doc_id)
+"""

@@ -62,6 +62,9 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"))
 
 
+ORACLE["op2_contamination"] = decontaminate.CONTAMINATION_SQL
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -56,4 +56,14 @@ def test_files(spark, tmp_path, folder):
 
 
 def test_query_and_sql_are_registered():
-    assert set(queries.ORACLE) == {"op3_shards"} and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE) == {"op2_contamination", "op3_shards"} and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_their_sql(spark, folder, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, folder).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = db.sql(queries.ORACLE[name]).df().sort_values("doc_id").reset_index(drop=True)[list(got.columns)]
+    assert got.astype(str).equals(want.astype(str))
