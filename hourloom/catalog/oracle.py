@@ -463,5 +463,6 @@ ORACLE: dict[str, str] = {
           "from events",
     "hourly_stream": BASE + """select station as event_type, h as timestamp, n, cents from fx_obs
         where h + interval 1 hour <= (select max(ts) from events) - interval 1 hour""",
+    "hourly_stream_closed": BASE + "select station as event_type, h as timestamp, n, cents from fx_obs",
     "feature_stream": _FEATURE_ROWS,
 }

@@ -30,7 +30,9 @@ from ..plans.experiment import fold_models, fold_predictions, model_scores, run_
 from ..plans.monitor import latest_risk, recent_risk
 from ..sources.payloads import station_rows, weather_rows
 from ..sources.tables import bounded_history, read_dated, write_dated, write_records
-from ..streaming.hourly import append_hours, closed_hours
+from ..streaming.hourly import (
+    append_hours, append_missed, closed_hours, missed_hours, newest_hours,
+)
 from ..streaming.refresh import refresh_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -684,17 +686,34 @@ def user_series_features(spark, d):
 # ---- streams -----------------------------------------------------------------------------
 
 
-@query
-def hourly_stream(spark, d):
+def _hour_measures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"),
+            F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")]
+
+
+def _streamed_hours(spark, d) -> str:
     schema = fx.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    hours = closed_hours(
-        source.withColumn("ts", scalars.wall_clock(F.col("ts"))), "event_type", "ts",
-        ["event_id"], [F.count(F.lit(1)).alias("n"),
-                       F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")])
+    hours = closed_hours(source.withColumn("ts", scalars.wall_clock(F.col("ts"))), "event_type",
+                         "ts", ["event_id"], _hour_measures())
     base = scratch(spark)
     append_hours(hours, f"{base}/hours", f"{base}/progress").awaitTermination()
-    return spark.read.parquet(f"{base}/hours").drop("day")
+    return f"{base}/hours"
+
+
+@query
+def hourly_stream(spark, d):
+    return spark.read.parquet(_streamed_hours(spark, d)).drop("day")
+
+
+@query
+def hourly_stream_closed(spark, d):
+    """The hours of the stream, and those it left open or missed."""
+    path = _streamed_hours(spark, d)
+    written = spark.read.parquet(path).drop("day")
+    append_missed(missed_hours(fx.events(spark, d), written, "event_type", "ts", ["event_id"],
+                               _hour_measures()), f"{path}-missed", 1)
+    return newest_hours(written, spark.read.parquet(f"{path}-missed"), "event_type")
 
 
 @query

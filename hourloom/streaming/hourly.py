@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,3 +31,32 @@ def append_hours(hours: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     dated = hours.withColumn("day", F.to_date("timestamp"))
     return (dated.writeStream.format("parquet").outputMode("append").partitionBy("day")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
+
+
+def missed_hours(readings: DataFrame, written: DataFrame, key: str, ts: str,
+                 identity: Sequence[str], measures: Sequence[Column]) -> DataFrame:
+    """Hours that the stream has not written, because they were open when it ended, or has written
+    without readings that came after the watermark; with the values they should have.
+
+    A batch job over the readings given, which may be bounded to the days in question. Keep its
+    rows with :func:`append_missed`; ``newest_hours`` reads the last of each hour.
+    """
+    hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("timestamp")
+    hours = readings.dropDuplicates(list(identity)).groupBy(key, hour).agg(*measures)
+    on = [hours[c].eqNullSafe(written[c]) for c in hours.columns]
+    return hours.join(written, reduce(lambda a, b: a & b, on), "left_anti")
+
+
+def append_missed(missed: DataFrame, path: str, revision: int) -> None:
+    """Adds corrected hours, marked with a revision over 0, to a table of their own: a stream's
+    table is read by the stream's log and does not show files of others."""
+    missed.withColumns({"day": F.to_date("timestamp"), "revision": F.lit(revision)}).write.mode(
+        "append").partitionBy("day").parquet(path)
+
+
+def newest_hours(written: DataFrame, missed: DataFrame, key: str) -> DataFrame:
+    """One row per series and hour: the one of the highest revision; the stream's own have none."""
+    both = written.withColumn("revision", F.lit(0)).unionByName(missed.select(*written.columns, "revision"))
+    rest = [c for c in written.columns if c not in (key, "timestamp", "day")]
+    return both.groupBy(key, "timestamp").agg(
+        F.max_by(F.struct(*rest), "revision").alias("__row")).select(key, "timestamp", "__row.*")

@@ -6,7 +6,9 @@ from hourloom import fixtures as fx
 from hourloom.catalog.queries import clean, scratch
 from hourloom.functions.scalars import floor_hour
 from hourloom.operators.features import build_features
-from hourloom.streaming.hourly import append_hours, closed_hours
+from hourloom.streaming.hourly import (
+    append_hours, append_missed, closed_hours, missed_hours, newest_hours,
+)
 from hourloom.streaming.refresh import refresh_batch, refresh_features
 
 
@@ -52,3 +54,18 @@ def test_rows_that_come_too_late_are_refused(spark, folder):
     refresh_batch(rows, 0, base, ["station"])
     with pytest.raises(ValueError):
         refresh_batch(rows.where("timestamp < '2024-01-05'"), 1, base, ["station"])
+
+
+def test_missed_hours_close_the_table(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "2024-01-01 00:10:00", 1), (2, "a", "2024-01-01 00:20:00", 2), (3, "a", "2024-01-01 01:00:00", 5),
+         (3, "a", "2024-01-01 01:00:00", 5), (4, None, "2024-01-01 02:00:00", 7)],
+        "id int, k string, ts string, v int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    measures = [F.count("*").alias("n"), F.sum("v").alias("v")]
+    path = scratch(spark)
+    written = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1, 1)], "k string, timestamp string, n long, v long") \
+        .withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    append_missed(missed_hours(rows, written, "k", "ts", ["id"], measures), path, 1)
+    out = newest_hours(written, spark.read.parquet(path), "k").collect()
+    assert {(r.k, r.timestamp.hour, r.n, r.v) for r in out} == {("a", 0, 2, 3), ("a", 1, 1, 5), (None, 2, 1, 7)}
+    assert len(out) == 3
