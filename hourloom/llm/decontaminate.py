@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import pieces, settled, stored
+from hourloom.llm.common import pieces, settled, small_batches, stored
 
 #: Consecutive words of a window; an item of fewer words is one window.
 WINDOW_WORDS = 10
@@ -176,6 +176,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, columns: list[str], te
     documents, which stores what is found so far for the next.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     windows = settled(benchmark_windows(items, item_key, item_text))
     size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item") + 100)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))

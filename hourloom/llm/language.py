@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import pieces, settled
+from hourloom.llm.common import pieces, settled, small_batches
 
 #: Labelled texts that the likelihoods of a language are fitted on, about; languages with fewer than
 #: LEAST_ROWS are not told apart, nor more than LANGUAGES.
@@ -72,7 +72,7 @@ def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), CLASSES), np.int64)
         for batch in batches:
-            for piece in pieces(batch, "__t"):
+            for piece in pieces(batch, "__t", 1 << 20):
                 grams, sizes = trigrams(piece.column("__t").to_pylist())
                 language = np.repeat(piece.column("__k").to_numpy(), sizes)
                 total += np.bincount(language * CLASSES + grams, minlength=total.size).reshape(total.shape)
@@ -106,7 +106,7 @@ def _with_evidence(rows: DataFrame, model, markup: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", 1 << 20):
                 texts = piece.column("__text").to_pylist()
                 if markup:
                     texts = [_HIDDEN.sub(" ", t) if t else t for t in texts]
@@ -155,6 +155,7 @@ def fuse(rows: DataFrame, model: Model, columns: list[str], text: str, declared:
     language has at least ACCEPTED. `slim`: the columns are few, so evidence is kept, not computed
     twice. An empty table gives no rows; without a known language nothing is accepted.
     """
+    small_batches(rows.sparkSession)
     n, names = len(model.names) + 1, [*model.names, None]
     shared = rows.sparkSession.sparkContext.broadcast(model)  # languages x classes
     base = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), host.alias("__host"),

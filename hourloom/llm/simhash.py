@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import pieces, settled
+from hourloom.llm.common import pieces, settled, small_batches
 from hourloom.llm.components import Forest, components
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows of one text share a fingerprint and so a component; a NULL key is never a component_id but
     where a whole component has no other.
     """
+    small_batches(docs.sparkSession)
     rows = settled(fingerprints(docs, key, text))
     distinct = settled(rows.groupBy("__fp").agg(F.min("__key").alias("__least")))
     roots = components(links(distinct, distinct.count()), "a", "b")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import pieces, shared_folder, stored
+from hourloom.llm.common import pieces, shared_folder, small_batches, stored
 from hourloom.llm.rans import Coder, frequencies
 from hourloom.llm.words import encoder
 
@@ -67,6 +67,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     keys come first; rows of one key follow each other; an empty table gives no containers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     words = encoder(tokenizer)
     dtype, size = words.dtype, words.tokenizer.get_vocab_size() + 1
     packed = stored(encode_texts(docs, key, text, tokenizer, end_id), "ids")
