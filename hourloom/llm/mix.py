@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,8 +17,14 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: The mix takes so many times all words, and at most so many times those of a source.
 SHARE, REPEAT = 1.5, 2
 SEED = 7
-#: The last so many words of a budget are fitted exactly.
+#: The last so many words of a budget are fitted exactly at first.
 FITTED_WORDS = 1 << 15
+#: Equal shares of documents up to that length stand if the budget is missed by no more words.
+SLACK_WORDS = 512
+#: Otherwise up to so many words are fitted, in about so many steps times words.
+WIDEST_WORDS, FITTED_BITS = 1 << 26, 1 << 37
+#: Sets of reachable sums that are kept at once while a budget is fitted.
+KEPT_BYTES = 64 << 20
 #: Documents of one length and source are counted in hash ranges of about so many.
 RANGE_ROWS = 512
 #: A plan of at most so many rows (about 100 bytes each) is broadcast, a larger one is joined.
@@ -74,52 +82,89 @@ def source_targets(keyed: DataFrame) -> DataFrame:
                           F.least(cap.cast("double"), F.col("__weight") * level).alias("__target"))
 
 
+def _parts(open_: int) -> list[int]:
+    """1, 2, 4, ... and a rest: sums of some of them give every number up to open_."""
+    out, part = [], 1
+    while open_ > 0:
+        out.append(min(part, open_))
+        open_, part = open_ - out[-1], part * 2
+    return out
+
+
+def _choose(lengths: list[int], counts: list[int], bound: int) -> list[int]:
+    """How many of each length (ascending) come as close to `bound` from below as any do. Reachable
+    sums are the bits of an integer; where that is large, only some are kept and the others made again."""
+    unit = math.gcd(*[n for n, c in zip(lengths, counts) if c]) or 1  # all sums are multiples of it
+    lengths, bound = [n // unit for n in lengths], bound // unit
+    steps = [(i, part, part * n) for i, (n, c) in enumerate(zip(lengths, counts)) if n and c
+             for part in _parts(min(c, bound // n))]
+    every = 1 if len(steps) * bound // 8 <= KEPT_BYTES else math.isqrt(len(steps)) + 1
+    mask, reach, saved, done = (1 << (bound + 1)) - 1, 1, [], 0
+    for _, _, words in steps:
+        if reach >> bound:
+            break
+        if done % every == 0:
+            saved.append(reach)
+        reach, done = reach | reach << words & mask, done + 1
+    taken, at = [0] * len(lengths), reach.bit_length() - 1
+    for k in reversed(range(len(saved))):
+        block, befores = steps[k * every:min(done, (k + 1) * every)], [saved.pop()]
+        for _, _, words in block[:-1]:
+            befores.append(befores[-1] | befores[-1] << words & mask)
+        for (i, part, words), before in zip(reversed(block), reversed(befores)):
+            if not before >> at & 1:
+                taken[i] += part
+                at -= words
+    return taken
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, shared: int, window: int) -> np.ndarray:
+    """Every length gets its share of the first `shared` words. The rest is taken from the longest
+    downwards until it lies in the window, and what is left there is fitted exactly."""
+    words = int((lengths * counts).sum())
+    taken = np.array([int(c) * shared // words for c in counts], np.int64)
+    left = budget - int((taken * lengths).sum())
+    order = np.argsort(lengths, kind="stable")
+    for i in order[::-1]:
+        length = int(lengths[i])
+        if left <= window or not length:
+            break
+        k = min(int(counts[i] - taken[i]), max(0, left - window // 2) // length)
+        taken[i] += k
+        left -= k * length
+    taken[order] += np.array(_choose(lengths[order].tolist(), (counts - taken)[order].tolist(), min(left, window)), np.int64)
+    return taken
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come to the budget or as
-    close below it as the last FITTED_WORDS allow.
+    close below it as whole documents can.
 
-    Every length gets its share first. The rest, a few documents, is taken from the longest
-    downwards to FITTED_WORDS, and what is left is a bounded knapsack: reachable sums are the bits
-    of an integer, copies of a length are split into powers of two.
+    Every length gets its share and the last FITTED_WORDS are fitted. If that misses the budget and
+    there are longer documents, or if it misses by more than SLACK_WORDS, the window is widened, to
+    all that the shares leave or as far as FITTED_BITS allow, and no less than two of the longest
+    documents; then shares are given up by halves, as a share of the short documents can be in the
+    way of a long one. The first that comes to the budget is taken, else the closest.
     """
-    taken = np.zeros(len(lengths), np.int64)
     words = int((lengths * counts).sum())
     if budget <= 0 or not words:
-        return taken
+        return np.zeros(len(lengths), np.int64)
     if budget >= words:
         return counts.copy()
-    taken = np.array([int(c) * budget // words for c in counts], np.int64)
-    left = budget - int((taken * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        length = int(lengths[i])
-        if left <= FITTED_WORDS or not length:
-            break
-        k = min(int(counts[i] - taken[i]), max(0, (left - FITTED_WORDS // 2)) // length)
-        taken[i] += k
-        left -= k * length
-    bound = min(left, FITTED_WORDS)
-    mask, reach, steps = (1 << (bound + 1)) - 1, 1, []
-    for i in order[::-1]:
-        length, most = int(lengths[i]), int(counts[i] - taken[i])
-        if not length:
-            continue
-        if length > bound:
-            break
-        most, part = min(most, bound // length), 1
-        while most > 0 and not reach >> bound & 1:
-            part = min(part, most)
-            steps.append((i, part, part * length, reach))
-            reach |= reach << part * length & mask
-            most, part = most - part, part * 2
-        if reach >> bound & 1:
+
+    def missed(taken: np.ndarray) -> int:
+        return budget - int((taken * lengths).sum())
+
+    best, longest = _fill(lengths, counts, budget, budget, FITTED_WORDS), int(lengths[counts > 0].max())
+    if not missed(best) or missed(best) <= SLACK_WORDS and longest <= FITTED_WORDS:
+        return best
+    steps = sum(min(int(c), budget // int(n)).bit_length() for n, c in zip(lengths, counts) if n)
+    window = max(FITTED_WORDS, 2 * longest, min(WIDEST_WORDS, FITTED_BITS // max(1, steps)))
+    for shared in (budget, budget // 2, 0):
+        best = min(best, _fill(lengths, counts, budget, shared, window), key=missed)
+        if not missed(best):
             break
-    at = reach.bit_length() - 1
-    for i, part, words, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += part
-            at -= words
-    return taken
+    return best
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:

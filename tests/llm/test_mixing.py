@@ -59,6 +59,43 @@ def test_budget_is_fitted_exactly(lengths, budget):
         assert words == at + max(s for s in sums if at + s <= budget)
 
 
+def best_sum(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts):
+        sums = {t for s in sums for k in range(c + 1) if (t := s + k * n) <= budget}
+    return max(sums)
+
+
+@pytest.mark.parametrize("lengths, counts, budget, words", [
+    ([60_000, 50_000], [1, 1], 55_000, 50_000),
+    ([100, 500_000], [1000, 1], 540_000, 540_000),
+    ([20_000, 20_001, 20_002], [1, 1, 1], 40_001, 40_001),
+    ([10, 30_000], [1000, 1], 35_000, 35_000),
+    ([100, 50_000_000], [1_000_000, 1], 54_000_000, 54_000_000)])
+def test_long_documents_are_fitted(lengths, counts, budget, words):
+    taken = mix.fit_budget(np.array(lengths), np.array(counts), budget)
+    assert (taken >= 0).all() and (taken <= counts).all() and int((taken * lengths).sum()) == words
+
+
+@pytest.mark.parametrize("kept", [64 << 20, 1 << 14])
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(mix.FITTED_WORDS + 1, 300_000) | st.integers(1, 2_000), st.integers(1, 3), min_size=1, max_size=5),
+       st.floats(0.01, 0.99))
+def test_lengths_over_the_window_against_brute_force(kept, lengths, share):
+    length, count = np.array(list(lengths), int), np.array(list(lengths.values()), int)
+    budget, old = int((length * count).sum() * share), mix.KEPT_BYTES
+    mix.KEPT_BYTES = kept
+    try:
+        taken = mix.fit_budget(length, count, budget)
+    finally:
+        mix.KEPT_BYTES = old
+    assert (taken >= 0).all() and (taken <= count).all()
+    words, best = int((taken * length).sum()), best_sum(lengths, lengths.values(), budget)
+    assert words <= budget
+    if max(lengths) > mix.FITTED_WORDS:
+        assert words == best
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     got = mix.mix(docs).toPandas()
