@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,18 +49,22 @@ def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """__key and __fp, the fingerprint as a bigint with the same bits."""
+def fingerprints(docs: DataFrame, key: str, text: str, *also: Column) -> DataFrame:
+    """__key, further columns, and __fp, the fingerprint as a bigint with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "__text", 1 << 20):
                 found = fingerprint_batch(piece.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("__key"), pa.array(found.view(np.int64))],
-                                                 ["__key", "__fp"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found.view(np.int64))], names)
 
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["__key"], T.StructField("__fp", T.LongType())]))
+    rows = docs.select(F.col(key).alias("__key"), *also, F.col(text).alias("__text"))
+    names = [*rows.columns[:-1], "__fp"]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("__fp", T.LongType())]))
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.col(text))
 
 
 def _add(total: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +192,15 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
             .applyInPandas(lambda rows: _compare(order, rows), "a long, b long"))
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """__fp, __root, the same for all fingerprints of a component, and __least, the fingerprint's smallest key."""
+    distinct = settled(rows.groupBy("__fp").agg(F.min("__key").alias("__least")))
+    roots = components(links(distinct, distinct.count()), "a", "b")
+    linked = distinct.join(roots.withColumnRenamed("__node", "__fp"), "__fp", "left") \
+        .withColumn("__root", F.coalesce("__root", "__fp"))
+    return settled(linked)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, fingerprint (16 hexadecimal digits) and component_id of every row of docs.
 
@@ -199,11 +212,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     small_batches(docs.sparkSession)
     rows = settled(fingerprints(docs, key, text))
-    distinct = settled(rows.groupBy("__fp").agg(F.min("__key").alias("__least")))
-    roots = components(links(distinct, distinct.count()), "a", "b")
-    linked = distinct.join(roots.withColumnRenamed("__node", "__fp"), "__fp", "left") \
-        .withColumn("__root", F.coalesce("__root", "__fp"))
-    linked = settled(linked)
+    linked = _rooted(rows)
     least = settled(linked.groupBy("__root").agg(F.min("__least").alias("component_id")))
     named = settled(linked.join(least, "__root").select("__fp", "component_id"))
     return rows.join(named, "__fp").select(
@@ -211,15 +220,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs of which one per component stays, the one with the smallest key; rows that
-    share that key are reduced to one. Rows without a key are left as they are."""
-    named = docs.filter(F.col(key).isNotNull())
-    found = settled(near_duplicates(named, key, text))
-    away = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    again = settled(found.filter(F.col(key) == F.col("component_id")).groupBy(key)
-                    .agg(F.count("*").alias("__n")).filter("__n > 1").select(key))
-    kept = docs.join(away, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs of which one per component stays: the one with the smallest key, by a hash of
+    the text among those that share it, and a row without a key only where no row of the component has
+    one. Rows are told apart by key and text, so one key may stand for several texts. Texts without
+    words have nothing to compare: beside the one with the smallest key, one without a key stays."""
+    small_batches(docs.sparkSession)
+    rows = settled(fingerprints(docs, key, text, _mark(text).alias("__mark")))
+    apart = F.col("__key").isNull() & (F.col("__fp") == 0)
+    kinds = settled(rows.groupBy("__fp", "__key", "__mark").agg(F.count("*").alias("__n")))
+    first = F.min(F.struct(F.col("__key").isNull().alias("__null"), "__key", "__mark", "__n")).alias("__first")
+    best = kinds.groupBy("__fp", apart.alias("__apart")).agg(first)
+    best = settled(best.join(_rooted(rows).select("__fp", "__root"), "__fp")
+                   .groupBy("__root", "__apart").agg(F.min("__first").alias("__first")).select("__first.*"))
+    same = [F.col("l.__key").eqNullSafe(F.col("r.__key")), F.col("l.__mark") == F.col("r.__mark")]
+    away = settled(kinds.alias("l").join(best.alias("r"), same, "left_anti")
+                   .select(F.col("__key").alias("__away"), F.col("__mark").alias("__away_mark")))
+    again = settled(best.filter("__n > 1").select(F.col("__key").alias("__away"), F.col("__mark").alias("__away_mark")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    here = [F.col(key).eqNullSafe(F.col("__away")), F.col("__mark") == F.col("__away_mark")]
+    kept = docs.withColumn("__mark", _mark(text)).join(away, here, "left_anti")
     if again.isEmpty():
-        return kept
-    return kept.join(again, key, "left_anti").select(*kept.columns).union(
-        kept.join(again, key, "left_semi").select(*kept.columns).dropDuplicates([key]))
+        return kept.select(*columns)
+    once = kept.join(again, here, "left_semi").dropDuplicates([key, "__mark"])
+    return kept.join(again, here, "left_anti").select(*columns).union(once.select(*columns))

@@ -60,6 +60,16 @@ def test_odd_documents(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_are_taken_away_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(rng.choice([f"w{k}" for k in range(400)], 60)) for _ in range(4))
+    rows = [(5, a, 0), (5, b, 1), (3, b.upper(), 2), (7, a.upper(), 3), (None, c, 4), (None, c.upper(), 5), (None, c, 6),
+            (None, a, 7), (8, d, 8), (8, d.upper(), 9), (8, d, 10), (None, "", 11), (None, None, 12), (9, "", 13), (9, " ", 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(4)
+    kept = [(r.doc_id, (r.text or "").strip().lower()) for r in simhash.without_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (None, c), (8, d), (None, ""), (9, "")], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + rng.integers(200, 260, (30, 2)).tolist()
