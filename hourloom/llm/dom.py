@@ -18,6 +18,9 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # elements within a line, and what a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math object xmp select".split())
+#: Of these, all to the end of the page is content if the end tag is missing; of the others none is.
+TO_THE_END = frozenset("script style title textarea xmp iframe".split())
+SELF_CLOSING = frozenset("svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
                    "meter q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -94,6 +97,18 @@ def _attributes(rest: str) -> tuple[int, bool, bool]:
     return groups, named, marked
 
 
+def _ends(tag: str, source: str, at: int) -> dict[int, int]:
+    """Where the elements of one name that start at or after a place end; without those that have no end tag."""
+    opened, ends = [], {}
+    for found in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])[^>]*>", re.I | re.S).finditer(source, at):
+        if found[1]:
+            if opened:
+                ends[opened.pop()] = found.end()
+        elif found[1] is not None and not (tag in SELF_CLOSING and found[0].endswith("/>")):
+            opened.append(found.start())
+    return ends
+
+
 def parse(source: str | None) -> Page:
     """The tree of a page, however broken its markup is. Elements within a line are nodes only if
     they are named; scripts, styles and the like are left out with their content."""
@@ -126,6 +141,7 @@ def parse(source: str | None) -> Page:
     open_node("html", 0, 0, False)
     stack: list[tuple[str, int]] = [("html", 0)]  # element, node that its text belongs to
     block = at = links = 0
+    ends: dict[str, dict[int, int]] = {}
     source = source or ""
     size = len(source)
 
@@ -172,9 +188,13 @@ def parse(source: str | None) -> Page:
                     break
             continue
         if tag in RAW:
-            if not found["rest"].endswith("/") or tag not in ("svg", "math"):
+            if tag in TO_THE_END:
                 close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
                 at = close.end() if close else size
+            elif not found["rest"].endswith("/") or tag not in SELF_CLOSING:
+                if tag not in ends:
+                    ends[tag] = _ends(tag, source, found.start())
+                at = ends[tag].get(found.start(), at)
             if tag in ("textarea", "select"):
                 page.controls[stack[-1][1]] += 1
             continue

@@ -57,6 +57,17 @@ def test_held_out_layouts(spark, folder, model):
     assert right >= 85
 
 
+@pytest.mark.parametrize("start, seen", [
+    ("<object data=x>", True), ("<select name=s><option>a", True), ("<svg viewBox='0 0 1 1'>", True), ("<math>", True),
+    ("<noscript>", True), ("<template>", True), ("<object data=x />", True), ("<svg/>", True), ("<svg-icon>", True),
+    ("<svg><path></svg>", True), ("<svg>a<svg>b</svg>c</svg>", True), ("<svg><svg>b</svg>", True),
+    ("<object><!-- <object> --></object>", True), ("<script>", False), ("<style>", False), ("<textarea>", False)])
+def test_end_tags_that_are_missing(start, seen):
+    for after in ("", "<svg>icon</svg><object>o</object><select><option>a</select><noscript>n</noscript>"):
+        said = [text for _, _, text in dom.parse(f"<body><p>Before</p>{start}<p>{TEXT}</p>{after}</body>").texts]
+        assert "Before" in said and (TEXT in said) == seen and "icon" not in said and "c" not in said
+
+
 def test_broken_and_empty_pages(model):
     pages = [None, "", "plain text", "<p>one<p>two<br>three", "<b>a<i>b</b>c", "a < b & c &amp;amp; d", "<p title='>'>x", "<!-- x",
              "<script>no", "<div><p>x</div>y</p>z", "<p a=\"1>x</p>", "</div></p>t", "<" * 50, "<p>" * 3000 + "deep"]
