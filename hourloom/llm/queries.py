@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import chat, decontaminate, embeddings, extract, language, mix, score, shards, simhash, tokens
+from hourloom.llm import (
+    chat, decontaminate, embeddings, extract, language, mix, score, shards, simhash, tokens, trie)
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +99,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), *found).union(
         language.identify_pages(pages, model, ["page_id"]).select(
             F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", *found))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = trie.sequences(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.branched(own)).drop("first_rank")
+
+
+ORACLE["op13_prefix_trie"] = trie.TRIE_SQL
