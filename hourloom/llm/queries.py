@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import (
-    chat, decontaminate, embeddings, extract, language, mix, score, shards, simhash, tokens, trie)
+    chat, decontaminate, embeddings, extract, language, mix, score, search, secrets, shards, simhash, tokens, trie)
 from hourloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", *found))
 
 
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_search"] = search.SEARCH_SQL
+
+
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = {k: F.size(F.filter("__spans", lambda s, k=k: s["kind"] == secrets.KINDS.index(k))).cast("long")
+             for k in secrets.KINDS}
+    base = F.filter("__spans", lambda s: s["kind"] != secrets.KINDS.index("random"))
+    return found.select(
+        "doc_id", *[count[k].alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("__spans")).alias("spans"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = trie.sequences(table(spark, sf_dir, "conversations"))
