@@ -95,7 +95,7 @@ def test_random_strings_are_even_and_text_is_not(size):
     rng = random.Random(size)
     for name, letters in secrets.ALPHABETS:
         _, steps = secrets.scores([("".join(rng.choices(letters, k=size))).encode() for _ in range(400)])
-        assert (steps == -secrets.STEPS).mean() < 0.02
+        assert (steps == -secrets.STEPS).mean() < 0.03  # a hundredth is rejected by design
         assert 0.4 < (steps > 0).mean() < 0.65  # their combined chance is even
 
 
