@@ -71,8 +71,6 @@ class ScaleSettings:
 
     max_group_rows: int = 1_000_000
     broadcast_bytes: int = 64 << 20
-    quantile_bins: int = 4096
-    sketch_accuracy: int = 10_000
 
 
 # The hyperparameters of the models.

@@ -18,10 +18,15 @@ from .scale import LONG_FIELDS, LongSeries, attach, chunk_rows, find_long, settl
 FIRST, LAST, HERE = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
 
-def edge_filled(c: str, window: WindowSpec) -> Column:
+def edge_filled(c: str, window: WindowSpec, ahead: str | None = None) -> Column:
     """Last known value, else the first known value of the series."""
     upto, whole = window.rowsBetween(FIRST, HERE), window.rowsBetween(FIRST, LAST)
-    return F.coalesce(F.last(c, True).over(upto), F.first(c, True).over(whole))
+    return F.coalesce(F.last(c, True).over(upto), F.first(seen(F.col(c), ahead), True).over(whole))
+
+
+def seen(value: Column, ahead: str | None) -> Column:
+    """The value as earlier rows may see it: missing where ``ahead`` is given and not true."""
+    return value if ahead is None else F.when(F.col(ahead), value)
 
 
 def line_value(v: Column, at: Column, before: Column, after: Column, limit: int) -> Column:
@@ -44,24 +49,27 @@ def known(column: str, at: str) -> Column:
 
 def fill_short(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                edge_columns: Sequence[str] = (), line_column: str | None = None,
-               limit: int = 3) -> DataFrame:
-    """Fills inside one window partition per series: one exchange for all columns."""
+               limit: int = 3, ahead: str | None = None) -> DataFrame:
+    """Fills inside one window partition per series: one exchange for all columns.
+
+    ``ahead`` names a flag: only rows that have it may lend their values to earlier rows.
+    """
     window = Window.partitionBy(*keys).orderBy(*order)
-    wanted = {c: edge_filled(c, window) for c in edge_columns}
+    wanted = {c: edge_filled(c, window, ahead) for c in edge_columns}
     if line_column is None:
         return df.withColumns(wanted) if wanted else df
     df = df.withColumns({**wanted, "__i": F.row_number().over(window)})
     df = df.withColumn("__known", known(line_column, "__i"))
     df = df.withColumn("__prev", F.last("__known", True).over(window.rowsBetween(FIRST, HERE)))
     back = Window.partitionBy(*keys).orderBy(F.desc("__i"))
-    df = df.withColumn("__next", F.last("__known", True).over(back.rowsBetween(FIRST, HERE)))
+    df = df.withColumn("__next", F.last(seen(F.col("__known"), ahead), True).over(back.rowsBetween(FIRST, HERE)))
     filled = line_value(F.col(line_column), F.col("__i"), F.col("__prev"), F.col("__next"), limit)
     return df.withColumn(line_column, filled).drop("__i", "__known", "__prev", "__next")
 
 
 def fill_long(hot: DataFrame, keys: Sequence[str], order: Sequence[str], scale: ScaleSettings,
               edge_columns: Sequence[str] = (), line_column: str | None = None,
-              limit: int = 3) -> DataFrame:
+              limit: int = 3, ahead: str | None = None) -> DataFrame:
     """Same fills for long series: each chunk learns what lies before and after it.
 
     The table of chunks has one row per ``max_group_rows`` rows of a series.
@@ -71,15 +79,16 @@ def fill_long(hot: DataFrame, keys: Sequence[str], order: Sequence[str], scale:
     rows = rows.withColumns({f"__s_{c}": known(c, "__at") for c in tracked})
     ends = rows.groupBy(*keys, "__home").agg(
         *[F.max_by(f"__s_{c}", F.col(f"__s_{c}.i")).alias(f"__z_{c}") for c in tracked],
-        *[F.min_by(f"__s_{c}", F.col(f"__s_{c}.i")).alias(f"__a_{c}") for c in tracked])
-    ahead = Window.partitionBy(*keys).orderBy("__home")
+        *[F.min_by(seen(F.col(f"__s_{c}"), ahead), seen(F.col(f"__s_{c}.i"), ahead)).alias(f"__a_{c}")
+          for c in tracked])
+    onward = Window.partitionBy(*keys).orderBy("__home")
     behind = Window.partitionBy(*keys).orderBy(F.desc("__home"))
     carried = []
     for c in tracked:
         carried += [
-            F.last(f"__z_{c}", True).over(ahead.rowsBetween(FIRST, -1)).alias(f"__before_{c}"),
+            F.last(f"__z_{c}", True).over(onward.rowsBetween(FIRST, -1)).alias(f"__before_{c}"),
             F.last(f"__a_{c}", True).over(behind.rowsBetween(FIRST, -1)).alias(f"__after_{c}"),
-            F.first(f"__a_{c}", True).over(ahead.rowsBetween(FIRST, LAST)).alias(f"__start_{c}")]
+            F.first(f"__a_{c}", True).over(onward.rowsBetween(FIRST, LAST)).alias(f"__start_{c}")]
     table = settle(ends.select(*keys, "__home", *carried))
     rows = attach(rows, table, [*keys, "__home"], scale)
     window = Window.partitionBy(*keys, "__home").orderBy("__at")
@@ -90,7 +99,7 @@ def fill_long(hot: DataFrame, keys: Sequence[str], order: Sequence[str], scale:
     out = {c: F.coalesce(F.col(f"__prev_{c}.v"), F.col(f"__start_{c}.v")) for c in edge_columns}
     if line_column:
         rows = rows.withColumn("__next", F.coalesce(
-            F.last(f"__s_{line_column}", True).over(back.rowsBetween(FIRST, HERE)),
+            F.last(seen(F.col(f"__s_{line_column}"), ahead), True).over(back.rowsBetween(FIRST, HERE)),
             F.col(f"__after_{line_column}")))
         out[line_column] = line_value(F.col(line_column), F.col("__at"),
                                       F.col(f"__prev_{line_column}"), F.col("__next"), limit)
@@ -102,13 +111,13 @@ def fill_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 edge_columns: Sequence[str] = (), line_column: str | None = None,
                 limit: int = 3, scale: ScaleSettings = ScaleSettings(),
                 rows_bound: int | None = None,
-                long: LongSeries | None | str = "measure") -> DataFrame:
+                long: LongSeries | None | str = "measure", ahead: str | None = None) -> DataFrame:
     """Edge fill (last, else first known value) and bounded interpolation along each series."""
     edge_columns = [c for c in edge_columns if c in df.columns]
     if long == "measure":
         long = find_long(df, keys, scale, rows_bound)
     if long is None:
-        return fill_short(df, keys, order, edge_columns, line_column, limit)
+        return fill_short(df, keys, order, edge_columns, line_column, limit, ahead)
     short, hot = split_long(df, long, scale)
-    return fill_short(short, keys, order, edge_columns, line_column, limit).unionByName(
-        fill_long(hot, keys, order, scale, edge_columns, line_column, limit))
+    return fill_short(short, keys, order, edge_columns, line_column, limit, ahead).unionByName(
+        fill_long(hot, keys, order, scale, edge_columns, line_column, limit, ahead))

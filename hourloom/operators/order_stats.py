@@ -1,131 +1,202 @@
-"""Exact quantiles that never hold a long group in one task.
+"""Exact quantiles that never hold a long group in one task, also of nested parts of a group.
 
-Groups within the row limit use the built-in exact ``percentile``. For longer groups a
-mergeable sketch only *brackets* the wanted rank; counting then narrows it to one bin, and only
-the distinct values of that bin are ordered. The counts are exact, so the answer does not depend
-on the sketch being right.
+Groups within the row limit use the built-in exact ``percentile``. For longer groups a double is
+turned into a 64-bit integer of the same order, and the wanted rank is found digit by digit: the
+rows of a group that share the digits found so far are counted by their next sixteen bits. Four
+such counts give the value itself. Nothing is ordered but at most 2^16 counts, and the same
+counts serve every wanted quantile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ScaleSettings
-from .scale import LongSeries, attach, find_long, settle, split_long
+from .scale import (
+    LongSeries, attach, find_long, settle, settle_rows, split_long, table_bytes,
+)
+
+DIGIT = 16
+# The layout of a 64-bit floating-point number.
+FRACTION, BIAS, INFINITE = 52, 1023, 2047
 
 
 def quantile_name(column: str, prob: float) -> str:
     return f"{column}_p{prob * 100:g}".replace(".", "_")
 
 
+def ordered_bits(v: Column) -> Column:
+    """A 64-bit integer in the order of the doubles: the bits of the magnitude, with the sign.
+
+    Both zeros are 0; NULL and NaN stay missing.
+    """
+    v = v.cast("double")
+    there = v.isNotNull() & ~F.isnan(v)
+    size = F.abs(F.when(there, v).otherwise(F.lit(0.0)))
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), size).cast("bigint")
+    return F.when(there, F.when(v < 0, -bits).otherwise(bits))
+
+
+def bits_value(bits: Column) -> Column:
+    """Inverse of :func:`ordered_bits`."""
+    size = F.abs(bits)
+    exponent, fraction = F.shiftright(size, FRACTION), size.bitwiseAND(F.lit((1 << FRACTION) - 1))
+    usual = (1.0 + fraction / float(1 << FRACTION)) * F.pow(
+        F.lit(2.0), F.least(exponent, F.lit(INFINITE - 1)) - BIAS)
+    value = F.when(exponent == 0, fraction.cast("double") * 2.0 ** -1074).when(
+        exponent == INFINITE, F.lit(float("inf"))).otherwise(usual)
+    return F.when(bits < 0, -value).otherwise(value)
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               by: Sequence[str] = (), scale: ScaleSettings = ScaleSettings(),
               long: LongSeries | None | str = "measure") -> DataFrame:
     """One row per group: ``<column>_p<percent>``, linearly interpolated; missing is skipped."""
     keys = list(by) or ["__all"]
     rows = df.select(*by, *columns) if by else df.select(F.lit(0).alias("__all"), *columns)
+    if long == "measure":
+        long = find_long(rows, keys, scale)
+    staged = rows.withColumn("__stage", F.lit(0))
+    if long is None:
+        found = _built_in(staged, columns, probs, keys, "__stage", [1])
+    else:
+        short, hot = split_long(staged, long, scale)
+        found = _built_in(short, columns, probs, keys, "__stage", [1]).unionByName(
+            counted_quantiles(hot.select(*keys, "__stage", *columns), columns, probs, keys, "__stage", [1], scale))
+    return found.drop("__all", "__stage")
+
+
+def nested_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     by: Sequence[str], stage: str, upto: Sequence[int],
+                     scale: ScaleSettings = ScaleSettings(),
+                     long: LongSeries | None | str = "measure") -> DataFrame:
+    """Quantiles of what comes before each of some stages: a row per group and value ``u`` of
+    ``upto``, in column ``stage``, over the group's rows with ``stage < u``.
+
+    Every row is counted once, in its own stage; counts are summed up from stage to stage. A part
+    without a value has missing quantiles.
+    """
+    keys, upto = list(by), sorted(upto)
+    rows = df.select(*keys, stage, *columns).where(F.col(stage) < upto[-1])
     if long == "measure":
         long = find_long(rows, keys, scale)
     if long is None:
-        return _built_in(rows, columns, probs, keys).drop("__all")
+        return _built_in(rows, columns, probs, keys, stage, upto)
     short, hot = split_long(rows, long, scale)
-    hot = hot.select(*keys, *columns)
-    return (_built_in(short, columns, probs, keys)
-            .unionByName(refined_quantiles(hot, columns, probs, keys, scale)).drop("__all"))
+    return _built_in(short, columns, probs, keys, stage, upto).unionByName(
+        counted_quantiles(hot.select(*keys, stage, *columns), columns, probs, keys, stage, upto, scale))
 
 
-def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              keys: Sequence[str]) -> DataFrame:
+def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str],
+              stage: str, upto: Sequence[int]) -> DataFrame:
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    found = df.groupBy(*keys).agg(
-        *[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns])
-    return found.select(*keys, *[
-        F.col(c)[i].alias(quantile_name(c, p)) for c in columns for i, p in enumerate(probs)])
-
-
-def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
-    """Bin number that never decreases with ``v``: 0 under the bracket, bins + 1 over it."""
-    share = F.try_divide(v - low, high - low)
-    inside = F.least(F.lit(bins), 1 + F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int"))
-    return F.when(v < low, F.lit(0)).when(v > high, F.lit(bins + 1)).otherwise(inside)
-
-
-def refined_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                      keys: Sequence[str], scale: ScaleSettings) -> DataFrame:
-    """Exact quantiles of groups of any length: sketch, count per bin, order one bin."""
-    tall = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v"))
-        for c in columns])).alias("__cell")).select(*keys, "__cell.*")
-    present = tall.where(F.col("__v").isNotNull())
-
-    margin = 2.0 / scale.sketch_accuracy
-    brackets = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)]
-    groups = present.groupBy(*keys, "__col").agg(
-        F.count("__v").alias("__count"),
-        F.percentile_approx("__v", F.array(*[F.lit(b) for b in brackets]),
-                            F.lit(scale.sketch_accuracy)).alias("__edges"))
-    targets = groups.select(
-        *keys, "__col", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("__prob"),
-                     ((F.col("__count") - 1) * F.lit(float(p))).alias("__rank"),
-                     F.col("__edges")[2 * i].alias("__low"),
-                     F.col("__edges")[2 * i + 1].alias("__high"))
-            for i, p in enumerate(probs)])).alias("__t")).select(*keys, "__col", "__t.*")
-    column, group = [*keys, "__col"], [*keys, "__col", "__prob"]
-    brackets_of = settle(targets.groupBy(*column).agg(F.sort_array(F.collect_list(
-        F.struct("__prob", "__rank", "__low", "__high"))).alias("__targets")))
-
-    # One bin number per wanted quantile. Rows are counted by all of them at once: together they
-    # only ever grow with the value, so there are few combinations and no row is copied.
-    binned = attach(present, brackets_of, column, scale, "inner").select(
-        *column, "__v", F.array(*[
-            _bin(F.col("__v"), F.col("__targets")[i]["__low"], F.col("__targets")[i]["__high"],
-                 scale.quantile_bins) for i in range(len(probs))]).alias("__bins"))
-    counted = binned.groupBy(*column, "__bins").agg(F.count(F.lit(1)).alias("__rows"))
-    per_bin = counted.select(
-        *column, "__rows", F.posexplode("__bins").alias("__prob", "__bin")).groupBy(
-        *group, "__bin").agg(F.sum("__rows").alias("__rows"))
-    ranks = brackets_of.select(*column, F.explode("__targets").alias("__t")).select(
-        *column, "__t.__prob", "__t.__rank")
-    ranked = attach(per_bin, ranks, group, scale)
-    lower = F.floor("__rank")
-    running = Window.partitionBy(*group).orderBy("__bin")
-    holding = (
-        ranked.withColumn("__upto", F.sum("__rows").over(
-            running.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__before", F.col("__upto") - F.col("__rows"))
-        .where((F.col("__before") <= lower + 1) & (F.col("__upto") > lower)))
-    wanted = settle(
-        holding.groupBy(*group, "__rank").agg(
-            F.collect_set("__bin").alias("__in"), F.min("__before").alias("__skip"))
-        .groupBy(*column).agg(F.sort_array(F.collect_list(
-            F.struct("__prob", "__rank", "__in", "__skip"))).alias("__wanted")))
-
-    # Only rows of the one or two bins around a wanted rank are ordered.
-    want = F.col("__wanted")
-    hits = F.array(*[
-        F.when(F.array_contains(want[i]["__in"], F.col("__bins")[i]), want[i])
-        for i in range(len(probs))])
-    candidates = (
-        attach(binned, wanted, column, scale, "inner")
-        .select(*column, "__v", F.explode(hits).alias("__w")).where(F.col("__w").isNotNull())
-        .groupBy(*column, F.col("__w.__prob").alias("__prob"), F.col("__w.__rank").alias("__rank"),
-                 F.col("__w.__skip").alias("__skip"), "__v")
-        .agg(F.count(F.lit(1)).alias("__rows")))
-    upward = Window.partitionBy(*group).orderBy("__v")
-    placed = candidates.withColumn("__upto", F.col("__skip") + F.sum("__rows").over(
-        upward.rowsBetween(Window.unboundedPreceding, 0)))
-    picked = placed.groupBy(*group, "__rank").agg(
-        F.min(F.when(F.col("__upto") > lower, F.col("__v"))).alias("__a"),
-        F.min(F.when(F.col("__upto") > lower + 1, F.col("__v"))).alias("__b"))
-    a = F.col("__a")
+    found = df.groupBy(*keys).agg(*[
+        F.percentile(F.when(F.col(stage) < u, F.col(c).cast("double")), wanted).alias(f"__q_{u}_{i}")
+        for u in upto for i, c in enumerate(columns)])
+    parts = F.array(*[F.struct(F.lit(u).cast("int").alias(stage), *[
+        F.col(f"__q_{u}_{i}")[j].alias(quantile_name(c, p))
+        for i, c in enumerate(columns) for j, p in enumerate(probs)]) for u in upto])
+    return found.select(*keys, F.explode(parts).alias("__part")).select(*keys, "__part.*")
+
+
+def _shifted(bits: Column, step: int) -> Column:
+    """The first ``step`` digits of a number; none: zero."""
+    return F.shiftright(bits, 64 - DIGIT * step) if step else F.lit(0).cast("bigint")
+
+
+def _prefixes(column: int) -> Column:
+    """Of a group's places those of a column, as an array that compiled code can search."""
+    own = F.filter("__places", lambda x: x["col"] == column)
+    return F.array_distinct(F.transform(own, lambda x: x["prefix"])).alias(f"__in{column}")
+
+
+def counted_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                      keys: Sequence[str], stage: str, upto: Sequence[int],
+                      scale: ScaleSettings) -> DataFrame:
+    """The same as :func:`nested_quantiles` for groups of any length, by counting digits.
+
+    The numbers are written once, side by side; each count reads one column of them.
+    """
+    numbers = settle_rows(df.select(*keys, F.col(stage).alias("__stage"), *[
+        ordered_bits(F.col(c)).alias(f"__b{i}") for i, c in enumerate(columns)]))
+    along = Window.partitionBy(*keys, "__col", "__prefix").orderBy("__digit").rowsBetween(
+        Window.unboundedPreceding, 0)
+    own = [F.count_if(F.col("__stage") < upto[0])] + [
+        F.count_if((F.col("__stage") >= a) & (F.col("__stage") < b)) for a, b in zip(upto, upto[1:])]
+    places, size = None, 0
+    for step in range(64 // DIGIT):
+        rows = numbers if places is None else attach(numbers, places, keys, scale, "inner", size)
+        parts = []
+        for i in range(len(columns)):
+            bits, prefix = F.col(f"__b{i}"), _shifted(F.col(f"__b{i}"), step)
+            wanted = bits.isNotNull()
+            if places is not None:
+                wanted = F.array_contains(f"__in{i}", prefix)
+            digit = _shifted(bits, step + 1) - F.shiftleft(prefix, DIGIT)
+            parts.append(rows.where(wanted).groupBy(
+                *keys, F.lit(i).alias("__col"), prefix.alias("__prefix"), digit.alias("__digit")).agg(
+                *[c.alias(f"__s{j}") for j, c in enumerate(own)]))
+        # At most 2^16 rows for each place a rank lies in, whatever the group's length.
+        counts = reduce(DataFrame.unionByName, parts)
+        n = [reduce(lambda a, b: a + b, [F.col(f"__s{j}") for j in range(k + 1)]) for k in range(len(upto))]
+        counts = counts.select(*keys, "__col", "__prefix", "__digit", *[c.alias(f"__n{k}") for k, c in enumerate(n)])
+        counts = counts.withColumns({f"__u{k}": F.sum(f"__n{k}").over(along) for k in range(len(upto))})
+        counts = counts.select(
+            *keys, "__col", "__prefix", "__digit", *[F.array(*[F.col(f"__{x}{k}") for k in range(len(upto))])
+                                                     .alias(name) for x, name in (("n", "__n"), ("u", "__upto"))])
+        if places is None:
+            counts = settle(counts)
+            places = _first_places(counts, keys, probs, len(upto))
+            size = table_bytes(places)
+        own_place = F.filter("__places", lambda x: (x["col"] == F.col("__col")) & (x["prefix"] == F.col("__prefix")))
+        before = lambda t: F.get("__upto", t["part"]) - F.get("__n", t["part"])
+        hit = F.transform(
+            F.filter(own_place[0]["targets"], lambda t: (F.get("__upto", t["part"]) > t["rank"]) & (before(t) <= t["rank"])),
+            lambda t: t.withField("rank", t["rank"] - before(t)))
+        found = attach(counts, places, keys, scale, "inner", size).select(*keys, F.struct(
+            F.col("__col").alias("col"), (F.shiftleft("__prefix", DIGIT) + F.col("__digit")).alias("prefix"),
+            hit.alias("targets")).alias("__place"))
+        grouped = found.where(F.size("__place.targets") > 0).groupBy(*keys).agg(
+            F.collect_list("__place").alias("__places"))
+        places = settle(grouped.select("*", *[_prefixes(i) for i in range(len(columns))]))
+        size = table_bytes(places)
+    column = [*keys, "__col"]
+    targets = places.select(*keys, F.explode("__places").alias("__p")).select(
+        *keys, F.col("__p.col").alias("__col"), F.col("__p.prefix").alias("__prefix"),
+        F.col("__p.targets").alias("__targets"))
+    cells = targets.select(*column, bits_value(F.col("__prefix")).alias("__v"),
+                           F.explode("__targets").alias("__t"))
+    pick = cells.groupBy(*column, F.col("__t.part").alias("__part"), F.col("__t.prob").alias("__prob")).agg(
+        F.max("__t.at").alias("__at"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
+    lower = F.floor("__at")
     # The same arithmetic as the built-in, so that both plans agree to the last bit.
-    value = F.when(lower == F.col("__rank"), a).otherwise(
-        (lower + 1 - F.col("__rank")) * a + (F.col("__rank") - lower) * F.coalesce(F.col("__b"), a))
-    values = picked.select(*keys, "__col", "__prob", value.alias("__value"))
-    return values.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("__col") == c) & (F.col("__prob") == i), F.col("__value")))
-        .alias(quantile_name(c, p)) for c in columns for i, p in enumerate(probs)])
+    value = F.when(lower == F.col("__at"), F.col("__a")).otherwise(
+        (lower + 1 - F.col("__at")) * F.col("__a") + (F.col("__at") - lower) * F.col("__b"))
+    groups = numbers.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(F.lit(0), F.lit(len(upto) - 1))).alias("__part"))
+    values = pick.select(*keys, "__col", "__part", "__prob", value.alias("__value")).groupBy(*keys, "__part").agg(*[
+        F.max(F.when((F.col("__col") == i) & (F.col("__prob") == j), F.col("__value"))).alias(quantile_name(c, p))
+        for i, c in enumerate(columns) for j, p in enumerate(probs)])
+    named = F.element_at(F.array(*[F.lit(u).cast("int") for u in upto]), F.col("__part") + 1)
+    return attach(groups, settle(values), [*keys, "__part"], scale).withColumn(stage, named).select(
+        *keys, stage, *[quantile_name(c, p) for c in columns for p in probs])
+
+
+def _first_places(counts: DataFrame, keys: Sequence[str], probs: Sequence[float], parts: int) -> DataFrame:
+    """The ranks to find in each group and column: two neighbours for every part and probability."""
+    totals = counts.groupBy(*keys, "__col").agg(*[F.max(F.col("__upto")[k]).alias(f"__t{k}") for k in range(parts)])
+    wanted = []
+    for k in range(parts):
+        n = F.col(f"__t{k}")
+        for j, p in enumerate(probs):
+            at = (n - 1) * F.lit(float(p))
+            for rank in (F.floor(at), F.least(F.floor(at) + 1, n - 1)):
+                wanted.append(F.when(n > 0, F.struct(
+                    F.lit(k).alias("part"), F.lit(j).alias("prob"), at.alias("at"), rank.cast("bigint").alias("rank"))))
+    place = F.struct(F.col("__col").alias("col"), F.lit(0).cast("bigint").alias("prefix"),
+                     F.array_compact(F.array(*wanted)).alias("targets"))
+    return settle(totals.groupBy(*keys).agg(F.collect_list(place).alias("__places")))

@@ -69,17 +69,18 @@ def table_bytes(small: DataFrame) -> int:
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], scale: ScaleSettings,
-           how: str = "left") -> DataFrame:
+           how: str = "left", size: int | None = None) -> DataFrame:
     """Join a settled per-key table onto ``df``, NULL keys included.
 
-    Broadcast only after measuring it. Otherwise it is a plain equi-join, which adaptive
-    execution splits where a key has very many rows.
+    Broadcast only after measuring it; ``size`` is its :func:`table_bytes` where the caller has
+    measured already. Otherwise it is a plain equi-join, which adaptive execution splits where a
+    key has very many rows.
     """
     renamed = small.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[c for c in small.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    if table_bytes(small) <= scale.broadcast_bytes:
+    if (table_bytes(small) if size is None else size) <= scale.broadcast_bytes:
         renamed = F.broadcast(renamed)
     return df.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,23 @@ def tail_start(df: DataFrame, ts: str, share: float, scale: ScaleSettings):
     return _time_cuts(df, ts, lambda n: [min(n - 1, int(n * (1 - share)))], scale)[0]
 
 
+def fold_cuts(df: DataFrame, n_splits: int = 5, ts: str = "timestamp",
+              scale: ScaleSettings = ScaleSettings()) -> list:
+    """First time that each fold tests; folds have equally many distinct times."""
+    def places(n: int) -> list[int]:
+        size = n // (n_splits + 1)
+        if size == 0:
+            raise ValueError(f"{n} distinct times cannot make {n_splits} folds")
+        return [n - (n_splits - i) * size for i in range(n_splits)]
+
+    return _time_cuts(df, ts, places, scale)
+
+
+def fold_at(ts: Column, cuts: Sequence) -> Column:
+    """The fold that tests a time; 0 for times that only train."""
+    return reduce(add, [F.when(ts >= time_literal(c), 1).otherwise(0) for c in cuts]).cast("int")
+
+
 def assign_folds(df: DataFrame, n_splits: int = 5, ts: str = "timestamp",
                  scale: ScaleSettings = ScaleSettings()) -> DataFrame:
     """Adds ``test_fold``: fold i tests its rows and trains on ``test_fold < i``.
@@ -49,18 +68,7 @@ def assign_folds(df: DataFrame, n_splits: int = 5, ts: str = "timestamp",
     All series are cut at the same times, so no series lends another its future. Only the
     ``n_splits`` cut times come to the driver, and the fold is a plain expression of the time.
     """
-    def places(n: int) -> list[int]:
-        size = n // (n_splits + 1)
-        if size == 0:
-            raise ValueError(f"{n} distinct times cannot make {n_splits} folds")
-        return [n - (n_splits - i) * size for i in range(n_splits)]
-
-    cuts = _time_cuts(df, ts, places, scale)
-    passed = [F.when(F.col(ts) >= time_literal(c), 1).otherwise(0) for c in cuts]
-    total = passed[0]
-    for p in passed[1:]:
-        total = total + p
-    return df.withColumn("test_fold", total.cast("int"))
+    return df.withColumn("test_fold", fold_at(F.col(ts), fold_cuts(df, n_splits, ts, scale)))
 
 
 def assign_folds_per_series(df: DataFrame, keys: Sequence[str], n_splits: int = 5,

@@ -62,21 +62,23 @@ def clean_panel(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp
     return filled.dropna(subset=[s.target]).drop("__one")
 
 
-def _panel_within(readings: DataFrame, weather: DataFrame, key: str, ts: str, settings: CleanSettings,
-                  scale: ScaleSettings) -> tuple[DataFrame, int]:
+def panel_within(readings: DataFrame, weather: DataFrame, key: str, ts: str, settings: CleanSettings,
+                 scale: ScaleSettings, look_ahead: bool = True) -> tuple[DataFrame, int]:
     """Shared weather and readings of each series, from its first reading to ``interpolate_limit``
     weather hours after its last, and a bound of the rows of a series.
 
     Rows outside would have no target after cleaning. As fills of the weather look beyond, it is
-    filled before, once per hour. Spans are places among the weather hours, so a stray hour far
-    away costs one row. The hourly readings are computed once.
+    filled before, once per hour; without ``look_ahead`` only from earlier hours. Spans are places
+    among the weather hours, so a stray hour far away costs one row. The hourly readings are
+    computed once.
     """
     edges = [c for c in settings.edge_filled if c in weather.columns]
     there = [c for c in READING_COLUMNS if c in readings.columns]
     one = nan_free(weather).withColumn("__one", F.lit(1))
     n = one.count()
-    filled = fill_series(one, ["__one"], [ts], edges, scale=scale, rows_bound=n)
-    hours = settle(row_positions(filled, ["__one"], [ts], "__hour", scale, n).drop("__one"))
+    one = one.withColumn("__ahead", F.lit(look_ahead))
+    filled = fill_series(one, ["__one"], [ts], edges, scale=scale, rows_bound=n, ahead="__ahead")
+    hours = settle(row_positions(filled, ["__one"], [ts], "__hour", scale, n).drop("__one", "__ahead"))
     heard = settle(readings.select(key, ts, *there))
     spans = settle(heard.join(hours.select(ts, "__hour"), ts).groupBy(key).agg(
         F.min("__hour").alias("__first"), F.count(F.lit(1)).alias("__n"),
@@ -94,7 +96,7 @@ def clean_series(readings: DataFrame, weather: DataFrame, key: str | None = None
     """Readings joined to weather hours, overlaid with the last live row, and cleaned."""
     weather, readings = to_hour(weather, ts), to_hour(readings, ts)
     if key is not None and key not in weather.columns and live is None:
-        joined, bound = _panel_within(readings, weather, key, ts, settings, scale)
+        joined, bound = panel_within(readings, weather, key, ts, settings, scale)
         rows_bound = bound if rows_bound is None else min(bound, rows_bound)
     else:
         joined = join_on_hour(weather, readings, key, ts, scale=scale)

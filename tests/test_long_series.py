@@ -1,6 +1,7 @@
 """The plan for long series gives the rows of the plain plan."""
 
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from hourloom import fixtures as fx
 from hourloom.config import ScaleSettings
 from hourloom.operators.features import build_features
-from hourloom.operators.order_stats import quantiles
+from hourloom.operators.order_stats import bits_value, nested_quantiles, ordered_bits, quantiles
 from hourloom.operators.scale import attach, range_parts, row_positions, settle, table_bytes
 from hourloom.plans.clean import clean_panel
 
@@ -91,11 +92,12 @@ def test_single_series_without_key(panel):
 
 
 @pytest.mark.parametrize("shape", ["smooth", "ties", "outliers", "constant", "missing"])
-def test_refined_quantiles_are_exact(spark, shape):
+def test_counted_quantiles_are_exact(spark, shape):
     rng = random.Random(7)
     draw = {
         "smooth": lambda: rng.gauss(0, 1), "ties": lambda: float(rng.randint(0, 3)),
-        "outliers": lambda: rng.choice([rng.random(), 1e300, -1e300]),
+        "outliers": lambda: rng.choice(
+            [rng.random(), 1e300, -1e300, 5e-324, -5e-324, 2.0 ** -1022, 0.0, -0.0, 1e-310]),
         "constant": lambda: 5.0, "missing": lambda: rng.choice([None, rng.random()])}[shape]
     values = [draw() for _ in range(3000)]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 2.0)],
@@ -103,12 +105,43 @@ def test_refined_quantiles_are_exact(spark, shape):
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
     out = {r["k"]: r for r in quantiles(
         df, ["v"], probs, ["k"],
-        ScaleSettings(max_group_rows=100, sketch_accuracy=50, quantile_bins=8)).collect()}
+        ScaleSettings(max_group_rows=100)).collect()}
     expected = np.quantile([v for v in values if v is not None], probs)
     assert list(out["a"])[1:] == pytest.approx(list(expected), rel=1e-12)
     assert out["b"]["v_p50"] == 1.5
 
 
+def test_bits_keep_order_and_value(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 1.7976931348623157e308, -1e308, 1.0, 2.0, 0.5, float("inf"),
+              float("-inf"), 1 - 2.0 ** -53, 1 + 2.0 ** -52, 2.0 ** 1023, 2.0 ** -1074 * 77]
+    values += [2.0 ** k for k in range(-1074, 1024, 7)]
+    values += [rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-320, 300) for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", ordered_bits(F.col("v")).alias("b")).select("v", "b", bits_value(F.col("b")).alias("back")).collect()
+    for r in rows:
+        assert r.back == r.v
+        assert abs(r.b) == struct.unpack("<q", struct.pack("<d", abs(r.v)))[0] and (r.b < 0) == (r.v < 0)
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(ordered_bits(F.col("v")).alias("b"))
+    assert [r.b for r in odd.collect()] == [None, None]
+
+
+@pytest.mark.parametrize("limit", [100, 10_000])
+def test_nested_quantiles(spark, limit):
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), rng.randint(0, 4), rng.choice([None, rng.gauss(0, 1), 0.5]), float(rng.randint(0, 9)))
+            for _ in range(1500)] + [("c", 3, 1.0, None), ("c", 4, None, None)]
+    df = spark.createDataFrame(rows, "k string, part int, v double, w double")
+    found = nested_quantiles(df, ["v", "w"], (0.25, 0.75, 1.0), ["k"], "part", [1, 2, 4], ScaleSettings(max_group_rows=limit))
+    got = {(r.k, r.part): list(r)[2:] for r in found.collect()}
+    assert set(got) == {(k, u) for k in "abc" for u in (1, 2, 4)}
+    for (k, u), q in got.items():
+        for c in (0, 1):
+            own = [r[2 + c] for r in rows if r[0] == k and r[1] < u and r[2 + c] is not None]
+            want = list(np.quantile(own, (0.25, 0.75, 1.0))) if own else [None] * 3
+            assert q[3 * c:3 * c + 3] == (pytest.approx(want, rel=1e-12) if own else want)
+
+
 def test_global_quantiles(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
     row = quantiles(df, ["v"], (0.25, 0.5), scale=ScaleSettings(max_group_rows=10)).first()
