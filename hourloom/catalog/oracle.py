@@ -35,14 +35,14 @@ fx_panel as (
 _WX = ("temp", "humidity", "wind_speed", "wind_dir", "precip", "pressure")
 
 
-def _edge(c: str, part: str = "station", order: str = "timestamp") -> str:
+def _edge(c: str, part: str = "station", order: str = "timestamp", ahead: str = "true") -> str:
     w = f"over (partition by {part} order by {order} rows between"
     return (f"coalesce(last_value({c} ignore nulls) {w} unbounded preceding and current row), "
-            f"first_value({c} ignore nulls) {w} current row and unbounded following))")
+            f"first_value(case when {ahead} then {c} end ignore nulls) {w} current row and unbounded following))")
 
 
 def _line(src: str, v: str, part: str = "station", order: str = "timestamp",
-          limit: int = 3) -> str:
+          limit: int = 3, ahead: str = "true") -> str:
     """Rows of ``src`` with ``filled``: positional interpolation of ``v``."""
     w = f"over (partition by {part} order by i rows between"
     return f"""(select * exclude (i, pv, pi, nv, ni),
@@ -53,8 +53,8 @@ def _line(src: str, v: str, part: str = "station", order: str = "timestamp",
           last_value({v} ignore nulls) {w} unbounded preceding and current row) as pv,
           last_value(case when {v} is not null then i end ignore nulls)
             {w} unbounded preceding and current row) as pi,
-          first_value({v} ignore nulls) {w} current row and unbounded following) as nv,
-          first_value(case when {v} is not null then i end ignore nulls)
+          first_value(case when {ahead} then {v} end ignore nulls) {w} current row and unbounded following) as nv,
+          first_value(case when {ahead} and {v} is not null then i end ignore nulls)
             {w} current row and unbounded following) as ni
         from (select *, row_number() over (partition by {part} order by {order}) as i
               from {src})))"""
@@ -278,6 +278,49 @@ fx_ridge_scores as (
     for m in ("mae", "rmse", "mape", "r2")) + """
   from fx_ridge_metrics group by 1)
 """
+# Copies of the rows for every fold, cleaned with what the hours before the fold's cut know.
+_BY_FOLD = "station, fold"
+_TRAIN_ONLY = _with(_FX, """
+fx_stages as (
+  select timestamp, case when g < n - 5 * t then 0 else (g - (n - 5 * t)) // t + 1 end as stage
+  from (select timestamp, row_number() over (order by timestamp) - 1 as g, count(*) over () as n,
+               count(*) over () // 6 as t from fx_cov)),
+fx_copies as (
+  select p.* replace (case when pm25 < 0 then 0 else pm25 end as pm25), fold, stage < fold as train
+  from fx_panel p join fx_stages using (timestamp)
+  join (select unnest([1, 2, 3, 4, 5]) as fold) on fold >= greatest(stage, 1)),
+fx_fences as (
+  select station, fold, """ + ", ".join(
+    f"quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) as {c}_fence"
+    for c in ("pm25", "no2", "o3")) + """
+  from fx_copies where train group by station, fold),
+fx_filled as (
+  select p.* replace (""" + ", ".join(
+    f"case when {c} > {c}_fence then {c}_fence else {c} end as {c}" for c in ("pm25", "no2", "o3"))
+    + ", " + ", ".join(f"{_edge(c, 'p.station, p.fold', 'timestamp', 'train')} as {c}" for c in _WX) + """)
+  from fx_copies p left join fx_fences f on f.station = p.station and f.fold = p.fold),
+fx_rows as (
+  select fold, case when train then 'train' else 'test' end as part, station, timestamp, temp, humidity,
+         wind_speed, wind_dir, precip, pressure, filled as pm25, aqi, no2, o3
+  from """ + _line("fx_filled", "pm25", _BY_FOLD, "timestamp", 3, "train") + """ where filled is not null)""")
+_TRAIN_ONLY_SCORES = _TRAIN_ONLY.rstrip() + ", " + _FEATURES.replace("fx_clean", "fx_rows").replace(
+    "partition by station", f"partition by {_BY_FOLD}").replace(
+    "select station, timestamp,", "select fold, part, station, timestamp,") + f""",
+fx_fits as (select fold, {_FIT} from fx_features where part = 'train' group by fold),
+fx_said as (
+  select 'persistence' as model, fold, pm25 as y, pm25_lag_1h as yhat from fx_features
+  where part = 'test' and fold in (select fold from fx_fits)
+  union all
+  select 'ridge', fold, pm25, my + w * (pm25_lag_1h - mx) / sx from fx_features join fx_fits using (fold)
+  where part = 'test'),
+fx_said_metrics as (
+  select model, fold, avg(abs(y - yhat)) as mae, sqrt(avg((y - yhat) * (y - yhat))) as rmse,
+         avg(case when y > 1 then abs((y - yhat) / y) end) * 100 as mape,
+         1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(y)) as r2
+  from fx_said group by 1, 2)
+select model, """ + ", ".join(
+    f"round_even(avg({m}), 3) as {m}, round_even(stddev_pop({m}), 3) as {m}_std"
+    for m in ("mae", "rmse", "mape", "r2")) + " from fx_said_metrics group by 1"
 _FEATURE_ROWS = FEATURES + f"select {_ST}, {_FEATURE_OUT} from fx_features"
 
 ORACLE: dict[str, str] = {
@@ -432,6 +475,26 @@ ORACLE: dict[str, str] = {
     "saved_ridge_forecast": FEATURES + f"""select {_ST}, round(pm25 + 3.3e-10, 6) as actual,
         round(my + w * (pm25_lag_1h - mx) / sx + 3.3e-10, 6) as prediction
         from {_last('fx_features', 48)}, (select {_FIT} from fx_features)""",
+    "experiment_choice": _RIDGE.rstrip() + """,
+        both_rules as (select * from fx_ridge union all select * from fx_predictions where model = 'persistence'),
+        by_fold as (select model, fold, avg(abs(y - yhat)) as mae from both_rules group by 1, 2),
+        by_model as (select model, round_even(avg(mae), 3) as mae from by_fold group by 1),
+        best as (select model from by_model order by mae, model limit 1)
+        select model, mae, model in (from best) as chosen, model in (from best) as saved from by_model""",
+    "series_ridge": FEATURES + """, sums as (
+          select station, count(*) as n, avg(pm25) as my, avg(pm25_lag_1h) as m1, avg(temp) as m2,
+                 stddev_pop(pm25_lag_1h) as s1, stddev_pop(temp) as s2,
+                 count(*) * corr(pm25_lag_1h, temp) as r, count(*) * covar_pop(pm25_lag_1h, pm25) / stddev_pop(pm25_lag_1h) as b1,
+                 count(*) * covar_pop(temp, pm25) / stddev_pop(temp) as b2 from fx_features group by 1),
+        weights as (select *, ((n + 1) * b1 - r * b2) / ((n + 1) * (n + 1) - r * r) / s1 as w1,
+                           ((n + 1) * b2 - r * b1) / ((n + 1) * (n + 1) - r * r) / s2 as w2 from sums)
+        select station, n, round(w1 + 3.3e-10, 6) as w_lag, round(w2 + 3.3e-10, 6) as w_temp,
+               round(my - w1 * m1 - w2 * m2 + 3.3e-10, 6) as intercept from weights""",
+    "ridge_normal_equations": FOLDED + """select cast(fold as integer) as fold, count(*) as n, true as centred, feature, true as holds
+        from fx_folded join (select unnest([1, 2, 3, 4, 5]) as fold) on test_fold < fold,
+             (values """ + ", ".join(f"('{n}')" for n in _FEATURE_SQL) + """) f(feature) group by fold, feature""",
+    "clean_train_only": _TRAIN_ONLY + f"select cast(fold as integer) as fold, part, {_ST}, {_CLEAN_COLUMNS} from fx_rows",
+    "train_only_comparison": _TRAIN_ONLY_SCORES,
     "forest_fold_checks": FOLDED + """select cast(test_fold as integer) as fold, count(*) as n,
         true as finite, true as inside from fx_folded where test_fold > 0 group by 1""",
     "boosting_rounds": FOLDED + """select cast(test_fold as integer) as fold, count(*) as n,
@@ -461,8 +524,13 @@ ORACLE: dict[str, str] = {
                     for n in (3, 6))
         + f", round({_gate('stddev_samp', 'value', 6, 'user_id', 'ts, event_id')} + 3.3e-10, 6) as std_6 "
           "from events",
-    "hourly_stream": BASE + """select station as event_type, h as timestamp, n, cents from fx_obs
-        where h + interval 1 hour <= (select max(ts) from events) - interval 1 hour""",
+    "hourly_stream": BASE + "select station as event_type, h as timestamp, n, cents from fx_obs",
+    "hourly_stream_late": BASE + "select station as event_type, h as timestamp, n, cents from fx_obs",
+    "hourly_repairs": BASE + """select station as event_type, h as timestamp, n, cents, cast(2 as integer) as batch
+        from fx_obs where (station, h) in (
+          select (event_type, date_trunc('hour', ts)) from events
+          where event_id % 50 = 0 and ts < timestamp '2024-01-16')""",
     "hourly_stream_closed": BASE + "select station as event_type, h as timestamp, n, cents from fx_obs",
     "feature_stream": _FEATURE_ROWS,
+    "feature_stream_late": _FEATURE_ROWS,
 }

@@ -15,6 +15,7 @@ from .. import fixtures as fx
 from ..config import ExperimentSettings, ScaleSettings
 from ..functions import risk, scalars
 from ..models.bundle import Bundle, load_bundle, save_bundle, score_recent
+from ..models.gram import fold_ridge, series_ridge as ridge_by_series, with_prediction
 from ..models.trainers import fit, importances, tail_errors, top_importances
 from ..operators import align, fences, summary, validate
 from ..operators.features import all_features, build_features, complete_rows
@@ -28,12 +29,15 @@ from ..plans.clean import clean_panel, clean_series
 from ..plans.ingest import run_ingest
 from ..plans.experiment import fold_models, fold_predictions, model_scores, run_experiment
 from ..plans.monitor import latest_risk, recent_risk
+from ..plans.train_only import clean_train_only as train_only_rows
+from ..plans.train_only import fold_features, train_only_scores
 from ..sources.payloads import station_rows, weather_rows
 from ..sources.tables import bounded_history, read_dated, write_dated, write_records
 from ..streaming.hourly import (
-    append_hours, append_missed, closed_hours, missed_hours, newest_hours,
+    append_hours, append_missed, closed_hours, late_hours, missed_hours, newest_hours, record_hours,
+    recorded_hours,
 )
-from ..streaming.refresh import refresh_features
+from ..streaming.refresh import current_features, refresh_features, repair_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,6 +535,51 @@ def experiment(spark, d):
     return run_experiment(rows, names, out=scratch(spark)).scores
 
 
+@query
+def experiment_choice(spark, d):
+    """Of two models: the error from the stored fold predictions, which is chosen, and which is saved."""
+    rows, _ = _stored_features(spark, d)
+    out = scratch(spark)
+    found = run_experiment(rows, ONE, "pm25", ExperimentSettings(models=("persistence", "ridge")), out)
+    stored = validate.fold_summary(validate.error_metrics(spark.read.parquet(f"{out}/predictions")))
+    saved = load_bundle(spark, f"{out}/best").name
+    return stored.select("model", "mae", (F.col("model") == found.best.name).alias("chosen"),
+                         (F.col("model") == saved).alias("saved"))
+
+
+TWO = ["pm25_lag_1h", "temp"]
+
+
+@query
+def series_ridge(spark, d):
+    """A ridge model of its own for every station, on two features."""
+    found = ridge_by_series(_stored_features(spark, d)[0], KEY, TWO, "pm25")
+    return tidy(found.select("station", "n", F.col("weights")[0].alias("w_lag"), F.col("weights")[1].alias("w_temp"),
+                             "intercept"))
+
+
+@query
+def ridge_normal_equations(spark, d):
+    """Of each fold and feature: the training rows, and whether the fit's normal equation holds there,
+    from the residuals of the rows themselves."""
+    rows, names = _stored_features(spark, d)
+    folded = validate.assign_folds(rows)
+    models = fold_ridge(folded, names, "pm25")
+    copies = folded.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5)))).where("test_fold < fold")
+    left = F.col("pm25") - F.col("prediction")
+    sums = with_prediction(copies, models, ["fold"], names).groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum(left).alias("rest"), F.sum(F.abs("pm25")).alias("size"), *[F.struct(
+            F.sum((F.col(c) - F.lit(m)) * left).alias("product"), F.stddev_pop(c).alias("sd"),
+            F.sum(F.abs((F.col(c) - F.lit(m)) * F.col("pm25"))).alias("size")).alias(f"s{i}")
+            for i, (c, m) in enumerate(zip(names, folded.agg(*[F.avg(c) for c in names]).first()))])
+    both = sums.join(models.select("fold", "weights"), "fold")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), (F.abs(
+        F.col(f"s{i}.product") - F.col("weights")[i] * F.col(f"s{i}.sd") * F.col(f"s{i}.sd"))
+        <= 1e-8 * F.col(f"s{i}.size") + 1e-8).alias("holds")) for i, c in enumerate(names)])
+    return both.select("fold", "n", (F.abs("rest") <= 1e-8 * F.col("size")).alias("centred"),
+                       F.explode(cells).alias("c")).select("fold", "n", "centred", "c.*")
+
+
 ONE = ["pm25_lag_1h"]  # with one feature the fit has a closed form that SQL can state
 
 
@@ -553,6 +602,24 @@ def saved_ridge_forecast(spark, d):
     return tidy(score_recent(load_bundle(spark, path), rows, 48, KEY))
 
 
+def _train_only(spark, d) -> DataFrame:
+    return train_only_rows(fx.readings(spark, d), fx.weather(spark, d), "station")
+
+
+@query
+def clean_train_only(spark, d):
+    """Each fold's rows, cleaned with what its training rows know."""
+    return tidy(_train_only(spark, d))
+
+
+@query
+def train_only_comparison(spark, d):
+    """Two models on features of these rows."""
+    path = scratch(spark)
+    fold_features(_train_only(spark, d), "station").write.parquet(path)
+    return train_only_scores(spark.read.parquet(path), ["persistence", "ridge"], ONE)
+
+
 def _finite(column: str) -> Column:
     p = F.col(column)
     return p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
@@ -701,9 +768,46 @@ def _streamed_hours(spark, d) -> str:
     return f"{base}/hours"
 
 
+def _recorded(spark, d, landings) -> str:
+    """Folder of the hours of a stream over readings that land one part after the other."""
+    rows = fx.events(spark, d).select("event_id", "ts", "event_type", "value")
+    base = scratch(spark)
+    for part in landings:
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        record_hours(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base, f"{base}/progress",
+                     "event_type", "ts", ["event_id"], _hour_measures()).awaitTermination()
+    return base
+
+
 @query
 def hourly_stream(spark, d):
-    return spark.read.parquet(_streamed_hours(spark, d)).drop("day")
+    """All hours, the last ones still open."""
+    schema = fx.table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    base = scratch(spark)
+    record_hours(source.withColumn("ts", scalars.wall_clock(F.col("ts"))), base, f"{base}/progress",
+                 "event_type", "ts", ["event_id"], _hour_measures()).awaitTermination()
+    return recorded_hours(spark, base, "event_type")
+
+
+def _late() -> list[Column]:
+    """Most readings in two parts by time; then those of the first part that come late, some of them
+    again."""
+    first = F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    held = F.col("event_id") % 50 == 0
+    return [first & ~held, ~first, first & (F.col("event_id") % 25 == 0)]
+
+
+@query
+def hourly_stream_late(spark, d):
+    """The hours once late readings have come."""
+    return recorded_hours(spark, _recorded(spark, d, _late()), "event_type")
+
+
+@query
+def hourly_repairs(spark, d):
+    """Just the closed hours that late readings are in, with the batch that repaired them."""
+    return late_hours(spark, _recorded(spark, d, _late()))
 
 
 @query
@@ -716,14 +820,29 @@ def hourly_stream_closed(spark, d):
     return newest_hours(written, spark.read.parquet(f"{path}-missed"), "event_type")
 
 
-@query
-def feature_stream(spark, d):
+def _feature_stream(spark, d, parts) -> tuple[str, DataFrame]:
     base = scratch(spark)
     clean(spark, d).write.parquet(f"{base}/clean")
-    landed = spark.read.parquet(f"{base}/clean")
-    middle = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    for part in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
-        landed.where(part).write.mode("append").parquet(f"{base}/landed")
-        source = spark.readStream.schema(landed.schema).parquet(f"{base}/landed")
+    rows = spark.read.parquet(f"{base}/clean")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{base}/landed")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/landed")
         refresh_features(source, f"{base}/out", f"{base}/progress", KEY).awaitTermination()
-    return tidy(spark.read.parquet(f"{base}/out/features").drop("batch"))
+    return f"{base}/out", rows
+
+
+@query
+def feature_stream(spark, d):
+    first = F.col("timestamp") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    base, _ = _feature_stream(spark, d, [first, ~first])
+    return tidy(spark.read.parquet(f"{base}/features").drop("batch"))
+
+
+@query
+def feature_stream_late(spark, d):
+    """Some hours of two stations come after later ones; their features are then computed anew."""
+    first = F.col("timestamp") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    held = F.col("station").isin("click", "error") & (F.day("timestamp") == 12)
+    base, rows = _feature_stream(spark, d, [first & ~held, ~first | held])
+    repair_late(rows, base, [0, 1], KEY)
+    return tidy(current_features(spark, base, KEY))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExperimentSettings, ScaleSettings
 from ..models.bundle import Bundle, save_bundle
+from ..models.gram import fold_ridge, with_prediction
 from ..models.trainers import PREDICTION, fit, stats_before_folds
 from ..operators.validate import (
     assign_folds, best_model, error_metrics, fold_summary, leaderboard,
@@ -34,6 +35,12 @@ def fold_predictions(folded: DataFrame, model: str, features: Sequence[str], tar
     """``(model, fold, y, yhat)`` of every tested row; fold i is trained on ``test_fold < i``."""
     if model == "persistence":
         return persistence_predictions(folded, target)
+    if model == "ridge":  # all folds from one pass
+        models = fold_ridge(folded, features, target, settings.n_splits, (), settings.ridge)
+        tested = with_prediction(folded.where(F.col("test_fold") > 0), models.withColumnRenamed("fold", "test_fold"),
+                                 ["test_fold"], features, PREDICTION, scale)
+        return tested.select(F.lit(model).alias("model"), F.col("test_fold").alias("fold"),
+                             F.col(target).alias("y"), F.col(PREDICTION).alias("yhat"))
     parts = [
         trained.transform(folded.where(F.col("test_fold") == i)).select(
             F.lit(model).alias("model"), F.lit(i).alias("fold"), F.col(target).alias("y"),
@@ -71,14 +78,21 @@ def run_experiment(feature_rows: DataFrame, features: Sequence[str], target: str
                    ts: str = "timestamp", scale: ScaleSettings = ScaleSettings()) -> Experiment:
     """Leaderboard over all models, the winner trained on all rows, both saved under ``out``.
 
-    The feature rows are kept on executor disks for the many passes; a lost block is computed
-    again from its lineage. Only the winner gets a final fit.
+    There, ``predictions`` has every tested row of every model; scores and choice are computed from
+    that table, so both can be checked or repeated without training again. The feature rows are kept
+    on executor disks for the many passes; a lost block is computed again from its lineage. Only the
+    winner gets a final fit.
     """
     spark = feature_rows.sparkSession
     folded = assign_folds(feature_rows, settings.n_splits, ts, scale).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        summary = model_scores(folded, settings.models, features, target, settings, ts, scale)
+        said = [fold_predictions(folded, m, features, target, settings, ts, scale) for m in settings.models]
+        predictions = reduce(DataFrame.unionByName, said)
+        if out:
+            predictions.write.mode("overwrite").partitionBy("model").parquet(f"{out}/predictions")
+            predictions = spark.read.schema(predictions.schema).parquet(f"{out}/predictions")
+        summary = fold_summary(error_metrics(predictions))
         # One row per model.
         rows = leaderboard(summary).collect()
         scores = spark.createDataFrame(rows, summary.schema)
