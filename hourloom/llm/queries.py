@@ -112,11 +112,9 @@ ORACLE["op11_search"] = search.SEARCH_SQL
 @query
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    count = {k: F.size(F.filter("__spans", lambda s, k=k: s["kind"] == secrets.KINDS.index(k))).cast("long")
-             for k in secrets.KINDS}
     base = F.filter("__spans", lambda s: s["kind"] != secrets.KINDS.index("random"))
     return found.select(
-        "doc_id", *[count[k].alias(f"n_{k}") for k in secrets.KINDS],
+        "doc_id", *[secrets.n_spans(F.col("__spans"), k).alias(f"n_{k}") for k in secrets.KINDS],
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("__spans")).alias("spans"))
 
 

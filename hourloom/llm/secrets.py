@@ -246,6 +246,11 @@ def find_secrets(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str =
         *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], spans.alias("__spans"))
 
 
+def n_spans(spans: Column, kind: str) -> Column:
+    """How many spans are of one kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
