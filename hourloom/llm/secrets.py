@@ -33,7 +33,7 @@ ALPHABETS = (("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32"
              ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"))
 #: Share of false ones among what a class adds, at most, and the levels below which a single test
 #: and the combined one reject randomness.
-FALSE_SHARE, LEVEL, COMBINED_LEVEL = 0.01, 0.001 / 3, 0.01
+FALSE_SHARE, LEVEL, COMBINED_LEVEL = 0.05, 0.001 / 3, 0.01
 #: Steps of a score's logit on either side of zero.
 STEPS, STEP = 100, 8.0
 
