@@ -19,9 +19,7 @@ SHARE, REPEAT = 1.5, 2
 SEED = 7
 #: The last so many words of a budget are fitted exactly at first.
 FITTED_WORDS = 1 << 15
-#: Equal shares of documents up to that length stand if the budget is missed by no more words.
-SLACK_WORDS = 512
-#: Otherwise up to so many words are fitted, in about so many steps times words.
+#: If that misses the budget, up to so many words are fitted, in about so many steps times words.
 WIDEST_WORDS, FITTED_BITS = 1 << 26, 1 << 37
 #: Sets of reachable sums that are kept at once while a budget is fitted.
 KEPT_BYTES = 64 << 20
@@ -32,9 +30,9 @@ BROADCAST_ROWS = 200_000
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """The columns of docs with __null and __source (joinable without NULL), __size and the seeded __h."""
+    """The rows of docs as __row, with __null and __source (joinable without NULL), __size and the seeded __h."""
     return docs.select(
-        "*", F.col(source).isNull().alias("__null"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(source).isNull().alias("__null"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"),
         word_count(F.col(text)).alias("__size"),
         F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("__h"))
@@ -140,11 +138,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     """How many documents of each length to take, so that their words come to the budget or as
     close below it as whole documents can.
 
-    Every length gets its share and the last FITTED_WORDS are fitted. If that misses the budget and
-    there are longer documents, or if it misses by more than SLACK_WORDS, the window is widened, to
-    all that the shares leave or as far as FITTED_BITS allow, and no less than two of the longest
-    documents; then shares are given up by halves, as a share of the short documents can be in the
-    way of a long one. The first that comes to the budget is taken, else the closest.
+    Every length gets its share and the last FITTED_WORDS are fitted. If that misses the budget by
+    any words, the window is widened, to all that the shares leave or as far as FITTED_BITS allow, and
+    no less than two of the longest documents; then shares are given up by halves, as a share of the
+    short documents can be in the way of a long one. The first that comes to the budget is taken, else
+    the closest; without shares, and with the whole budget in the window, nothing is closer.
     """
     words = int((lengths * counts).sum())
     if budget <= 0 or not words:
@@ -156,7 +154,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return budget - int((taken * lengths).sum())
 
     best, longest = _fill(lengths, counts, budget, budget, FITTED_WORDS), int(lengths[counts > 0].max())
-    if not missed(best) or missed(best) <= SLACK_WORDS and longest <= FITTED_WORDS:
+    if not missed(best):
         return best
     steps = sum(min(int(c), budget // int(n)).bit_length() for n, c in zip(lengths, counts) if n)
     window = max(FITTED_WORDS, 2 * longest, min(WIDEST_WORDS, FITTED_BITS // max(1, steps)))
@@ -223,27 +221,34 @@ def _unsigned(name: str) -> Column:
     return F.col(name).bitwiseXOR(F.lit(_LOW))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs with __size, __source_size, __target and __copies, how often the mix has them.
-
-    NULL text has no words; NULL sources are one source, after all others; rows that agree in key
-    and text are taken or left together; an empty table gives no rows. Each source is fitted to
-    its target from below by whole documents; no document is taken more than REPEAT times.
-    """
+def _mixed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """__row, __size, __source_size, __target and __copies."""
     keyed = _keyed(docs, key, text, source)
     at = ["__null", "__source", "__size"]
     slim = settled(keyed.select(*at, "__h"))
     plan = mix_plan(slim)
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     picked = (_unsigned("__h") <= F.col("__bound")) & (F.col("__bound") != _NONE)
-    return (keyed.join(plan, at)
-            .withColumn("__copies", F.col("__whole") + F.when(picked, 1).otherwise(0))
-            .select(*[F.col(f"`{c}`") for c in docs.columns],
-                    "__size", "__source_size", "__target", "__copies"))
+    return keyed.join(plan, at).select(
+        "__row", "__size", "__source_size", "__target",
+        (F.col("__whole") + F.when(picked, 1).otherwise(0)).alias("__copies"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs with __size, __source_size, __target and __copies, how often the mix has them;
+    columns of docs with one of these names are replaced.
+
+    NULL text has no words; NULL sources are one source, after all others; rows that agree in key
+    and text are taken or left together; an empty table gives no rows. Each source is fitted to
+    its target from below by whole documents; no document is taken more than REPEAT times.
+    """
+    new = ["__size", "__source_size", "__target", "__copies"]
+    return _mixed(docs, key, text, source).select(
+        *[F.col("__row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
 
 
-def mixed_documents(docs: DataFrame, **columns: str) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix with the columns of docs; repeated ones are repeated rows."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return (mix(docs, **columns).filter(F.col("__copies") > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names))
+    return (_mixed(docs, key, text, source).filter(F.col("__copies") > 0)
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+            .select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))

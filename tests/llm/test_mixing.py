@@ -36,7 +36,7 @@ def test_targets_and_budgets(spark, folder, monkeypatch, bits):
             sums |= {s + size for s in sums}
         rest = round(want[source] - whole * rows["__size"].sum())
         best = whole * rows["__size"].sum() + max(s for s in sums if s <= rest)
-        assert 0 <= best - (rows["__size"] * rows["__copies"]).sum() <= 20  # equal lengths get their share first
+        assert (rows["__size"] * rows["__copies"]).sum() == best
         assert rows["__copies"].max() <= 2
     again = mix.mix(docs.repartition(5)).toPandas()
     assert dict(zip(again.doc_id, again["__copies"])) == dict(zip(got.doc_id, got["__copies"]))
@@ -49,14 +49,20 @@ def test_budget_is_fitted_exactly(lengths, budget):
     taken = mix.fit_budget(length, count, budget)
     assert (taken >= 0).all() and (taken <= count).all()
     words = int((taken * length).sum())
-    assert words <= max(budget, 0) or budget >= int((length * count).sum())
-    sums = {0}
-    base = (taken * 0 + np.array([int(c) * budget // max(1, int((length * count).sum())) for c in count])).clip(max=count)
-    if 0 < budget < int((length * count).sum()):  # after everyone's share the rest is as full as it can be
-        for n, c, b in zip(length, count, base):
-            sums = {s + k * int(n) for s in sums for k in range(int(c - b) + 1)}
-        at = int((base * length).sum())
-        assert words == at + max(s for s in sums if at + s <= budget)
+    assert words == (best_sum(lengths, lengths.values(), budget) if 0 < budget < int((length * count).sum()) else
+                     min(max(budget, 0), int((length * count).sum())))
+
+
+def test_no_budget_is_missed_that_can_be_met():
+    rng = np.random.default_rng(11)
+    for _ in range(1500):
+        n = rng.integers(1, 7)
+        length = rng.choice(np.arange(1, rng.choice([30, 700, 4000])), n, replace=False)
+        count = rng.integers(1, 6, n)
+        budget = int((length * count).sum() * rng.random())
+        taken = mix.fit_budget(length, count, budget)
+        assert (taken >= 0).all() and (taken <= count).all()
+        assert int((taken * length).sum()) == (best_sum(length.tolist(), count.tolist(), budget) if budget else 0)
 
 
 def best_sum(lengths, counts, budget):
@@ -92,8 +98,7 @@ def test_lengths_over_the_window_against_brute_force(kept, lengths, share):
     assert (taken >= 0).all() and (taken <= count).all()
     words, best = int((taken * length).sum()), best_sum(lengths, lengths.values(), budget)
     assert words <= budget
-    if max(lengths) > mix.FITTED_WORDS:
-        assert words == best
+    assert words == best
 
 
 def test_odd_rows(spark):
@@ -103,5 +108,8 @@ def test_odd_rows(spark):
     assert list(mix.mixed_documents(docs).columns) == docs.columns
     assert mix.mixed_documents(docs).count() == got["__copies"].sum()
     assert mix.mix(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("*", "text as __size", "1 as __h", "source as __null", "doc_id as __row", "2 as __copies")
+    assert mix.mix(clashing).agg({"__copies": "sum"}).first()[0] == got["__copies"].sum()
+    assert mix.mixed_documents(clashing).columns == clashing.columns
     silent = spark.createDataFrame([(1, None, "a"), (2, "", "a")], "doc_id long, text string, source string")
     assert {r["__target"] for r in mix.mix(silent).collect()} == {0.0}
