@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourloom.llm.common import pieces, settled, small_batches
 
-#: Labelled texts that the likelihoods of a language are fitted on, about; languages with fewer than
-#: LEAST_ROWS are not told apart, nor more than LANGUAGES.
-SAMPLE_ROWS, LEAST_ROWS, LANGUAGES = 1000, 5, 200
+#: Labelled texts that the likelihoods of a language are fitted on, about. Languages with fewer than
+#: LEAST_ROWS are not told apart by text; all of them together are one class.
+SAMPLE_ROWS, LEAST_ROWS = 1000, 5
+#: Classes whose likelihoods are broadcast at once (256 KB each); more are applied block by block.
+BLOCK = 128
+#: Share of the declared languages that texts must bear out before a declaration alone is believed.
+TRUSTED = 0.8
 #: Byte trigrams are counted in so many classes; a share of each distribution is even over them.
 CLASSES, EVEN = 1 << 16, 0.2
 #: A text's trigrams depend on each other: it counts as at most so many.
@@ -28,16 +34,64 @@ UNKNOWN, ACCEPTED = 0.01, 0.5
 #: A lookup of at most so many rows (about 200 bytes each) is broadcast, a larger one is joined.
 BROADCAST_ROWS = 100_000
 
-_HIDDEN = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+_SUBTAG = r"^\s*([a-z]{2,3})(?![a-z])"
+_HIDING = re.compile(r"<(script|style|head)\b", re.IGNORECASE)
+_HIDDEN_ENDS = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "head")}
 
 
 @dataclass
 class Model:
     """Languages, and for each class of trigrams their log chances against an even distribution.
-    The last row, no known language, is that distribution and so zero."""
+
+    The last row, no known language, is that distribution and so zero. If there are labels too rare
+    to be told apart, the row before is what their texts have in common: `rare` lists those labels.
+    """
 
     names: list[str]
     table: np.ndarray
+    rare: list[str] = field(default_factory=list)
+
+    @property
+    def results(self) -> list[str | None]:
+        """The language that each row stands for."""
+        return [*self.names, *[None] * (len(self.table) - len(self.names))]
+
+
+def language_tag(label: Column) -> Column:
+    """The primary subtag of a language label (en of en-US), lower-cased; NULL if it has none."""
+    tag = F.regexp_extract(F.lower(label), _SUBTAG, 1)
+    return F.when(tag != "", tag)
+
+
+def visible(source: str) -> str:
+    """A page without tags, comments, scripts, styles and head; a space for each. In one pass: an end
+    that is missing once is not looked for again."""
+    out, at, missing = [], 0, set()
+
+    def end_of(kind: str, start: int) -> int:
+        if kind in missing:
+            return -1
+        if kind in _HIDDEN_ENDS:
+            found = _HIDDEN_ENDS[kind].search(source, start)
+            end = found.end() if found else -1
+        else:
+            end = source.find(kind, start) + len(kind)
+            end = -1 if end < len(kind) else end
+        if end < 0:
+            missing.add(kind)
+        return end
+
+    while (start := source.find("<", at)) >= 0:
+        end, hiding = -1, _HIDING.match(source, start)
+        if hiding:
+            end = end_of(hiding[1].lower(), hiding.end())
+        elif source.startswith("<!--", start):
+            end = end_of("-->", start + 4)
+        if end < 0 and (end := end_of(">", start)) < 0:
+            break
+        out += (source[at:start], " ")
+        at = end
+    return "".join([*out, source[at:]])
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,60 +111,79 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(labelled: DataFrame, text: str, label: str, key: str) -> Model:
     """Fitted on a bounded sample: of each language the rows whose hash is in a range that holds
-    about SAMPLE_ROWS."""
-    named = labelled.select(F.lower(F.col(label)).alias("__l"), F.col(text).alias("__t"),
-                            F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__h")).filter("__l != '' and __t != ''")
-    counts = (named.groupBy("__l").count().filter(F.col("count") >= LEAST_ROWS)
-              .orderBy(F.desc("count"), "__l").limit(LANGUAGES).collect())
-    names = sorted(r["__l"] for r in counts)
+    about SAMPLE_ROWS. Labels count by their primary subtag, of which there are 18,252 at most."""
+    named = labelled.select(language_tag(F.col(label)).alias("__l"), F.col(text).alias("__t"),
+                            F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__h")).filter("__l is not null and __t != ''")
+    counts = {r["__l"]: r["count"] for r in named.groupBy("__l").count().collect()}
+    names = sorted(n for n, c in counts.items() if c >= LEAST_ROWS)
+    rare = sorted(set(counts) - set(names))
     if not names:
         return Model([], np.zeros((1, CLASSES), np.float32))
-    share = {r["__l"]: min(1.0, SAMPLE_ROWS / r["count"]) for r in counts}
-    shares = named.sparkSession.createDataFrame([(n, share[n], k) for k, n in enumerate(names)], "__l string, __s double, __k int")
+    rows = len(names) + bool(rare)
+    drawn = [(n, min(1.0, SAMPLE_ROWS / counts[n]), k) for k, n in enumerate(names)]
+    drawn += [(n, min(1.0, SAMPLE_ROWS / sum(counts[r] for r in rare)), len(names)) for n in rare]
+    shares = named.sparkSession.createDataFrame(drawn, "__l string, __s double, __k int")
     taken = named.join(F.broadcast(shares), "__l").filter(F.col("__h") / float(1 << 64) + 0.5 <= F.col("__s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), CLASSES), np.int64)
         for batch in batches:
             for piece in pieces(batch, "__t", 1 << 20):
                 grams, sizes = trigrams(piece.column("__t").to_pylist())
-                language = np.repeat(piece.column("__k").to_numpy(), sizes)
-                total += np.bincount(language * CLASSES + grams, minlength=total.size).reshape(total.shape)
-        k, gram = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(gram), pa.array(total[k, gram])], ["k", "gram", "n"])
-
-    rows = (taken.select("__k", "__t").mapInArrow(run, "k long, gram long, n long")
-            .groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas())  # languages x classes at most
-    counted = np.zeros((len(names), CLASSES))
-    counted[rows["k"].to_numpy(int), rows["gram"].to_numpy(int)] = rows["n"].to_numpy(float)
+                language = np.repeat(piece.column("__k").to_numpy().astype(np.int64), sizes)
+                found, n = np.unique(language * CLASSES + grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found // CLASSES), pa.array(found % CLASSES), pa.array(n)], ["k", "gram", "n"])
+
+    counted = np.zeros((rows, CLASSES), np.float32)
+    found = (taken.select("__k", "__t").mapInArrow(run, "k long, gram long, n long")
+             .groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas())  # classes of languages x trigrams at most
+    counted[found["k"].to_numpy(int), found["gram"].to_numpy(int)] = found["n"].to_numpy(float)
     chance = (1 - EVEN) * counted / np.maximum(counted.sum(axis=1, keepdims=True), 1) + EVEN / CLASSES
-    return Model(names, np.vstack([np.log(chance * CLASSES), np.zeros((1, CLASSES))]).astype(np.float32))
+    return Model(names, np.vstack([np.log(chance * CLASSES), np.zeros((1, CLASSES))]).astype(np.float32), rare)
 
 
 def text_evidence(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Log likelihoods of the texts, a column per language and one for none."""
+    """Log likelihoods of the texts, a column for each row of the model."""
+    return _likelihoods(model.table, texts)
+
+
+def _likelihoods(table: np.ndarray, texts: list[str | None]) -> np.ndarray:
     grams, sizes = trigrams(texts)
-    out = np.zeros((len(texts), len(model.table)))
+    out = np.zeros((len(texts), len(table)))
     some = np.flatnonzero(sizes)
     if len(some):
         begins = (np.cumsum(sizes) - sizes)[some]
-        for k, row in enumerate(model.table[:-1]):
+        for k, row in enumerate(table):
             out[some, k] = np.add.reduceat(row[grams], begins, dtype=np.float64)
         out *= np.minimum(1.0, EFFECTIVE / np.maximum(sizes, 1))[:, None]
     return out
 
 
-def _with_evidence(rows: DataFrame, model, markup: bool) -> DataFrame:
-    """__row, __host, __domain, __suffix, __declared and __text as __evidence."""
+def _with_evidence(rows: DataFrame, model: Model, markup: bool) -> DataFrame:
+    """__row, __host, __domain, __suffix, __declared and __text as __evidence.
+
+    Likelihoods of at most BLOCK classes are broadcast at once; with more, the rows are kept
+    between the blocks."""
     kept = ["__row", "__host", "__domain", "__suffix", "__declared"]
+    blocks = [model.table[k:k + BLOCK] for k in range(0, len(model.table), BLOCK)]
+    for k, block in enumerate(blocks):
+        rows = _one_block(rows, rows.sparkSession.sparkContext.broadcast(block), markup,
+                          [*kept, *(["__text"] if k + 1 < len(blocks) else [])], k > 0)
+        if k + 1 < len(blocks):
+            rows = settled(rows)
+    return rows
+
 
+def _one_block(rows: DataFrame, block, markup: bool, kept: list[str], more: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "__text", 1 << 20):
                 texts = piece.column("__text").to_pylist()
                 if markup:
-                    texts = [_HIDDEN.sub(" ", t) if t else t for t in texts]
-                found = text_evidence(model.value, texts)
+                    texts = [visible(t) if t else t for t in texts]
+                found = _likelihoods(block.value, texts)
+                if more:
+                    found = np.hstack([np.array(piece.column("__evidence").to_pylist()).reshape(len(texts), -1), found])
                 offsets = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(piece.column(c) for c in kept), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))],
@@ -128,8 +201,14 @@ def _softmax(logs: Column) -> Column:
 
 def _counts(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Of each value of a column, how much of its rows each language has by text alone."""
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.array(*[F.sum(F.col("__p")[k]) for k in range(n)]).alias("__c"))
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(_summed(n).alias("__c"))
+
+
+def _summed(n: int) -> Column:
+    """Sums of the elements of __p, as columns while those are few."""
+    if n <= BLOCK:
+        return F.array(*[F.sum(F.col("__p")[k]) for k in range(n)])
+    return vector_to_array(Summarizer.sum(array_to_vector("__p")))
 
 
 def _drawn(counts: str, towards: Column) -> Column:
@@ -151,27 +230,35 @@ def fuse(rows: DataFrame, model: Model, columns: list[str], text: str, declared:
     domain, which is drawn to that of all rows), to its share at the address suffix against that of
     all rows, to how often the declared language goes with it, and to the text's likelihood. Shares
     are sums of what the texts alone say, by grouped aggregation over all rows. Evidence that is NULL
-    says nothing; a NULL or empty text leaves the rest to decide. A row is accepted if its best
-    language has at least ACCEPTED. `slim`: the columns are few, so evidence is kept, not computed
-    twice. An empty table gives no rows; without a known language nothing is accepted.
+    says nothing; a NULL or empty text leaves the rest to decide, so it is accepted where that is
+    sure enough. A row is accepted if its best language has at least ACCEPTED; of equal chances the
+    first language by name is taken, none last.
+
+    A text that is most like those with rare labels, or like no known language, has the language it
+    declares if that is one of the rare labels and declarations are borne out elsewhere (TRUSTED),
+    else none. `slim`: the columns are few, so evidence is kept, not computed twice. An empty table
+    gives no rows; without a known language nothing is accepted.
     """
     small_batches(rows.sparkSession)
-    n, names = len(model.names) + 1, [*model.names, None]
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # languages x classes
+    names, n = model.results, len(model.table)
+    known_n, none_n = len(model.names), n - len(model.names)
     base = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), host.alias("__host"),
-                       domain.alias("__domain"), suffix.alias("__suffix"), F.lower(declared).alias("__declared"),
+                       domain.alias("__domain"), suffix.alias("__suffix"), language_tag(declared).alias("__declared"),
                        F.col(text).alias("__text"))
-    known = _with_evidence(base, shared, markup)
+    known = _with_evidence(base, model, markup)
     if slim:
         known = settled(known)
-    first = F.array(*[F.lit(float(np.log(p))) for p in [(1 - UNKNOWN) / max(1, n - 1)] * (n - 1) + [UNKNOWN]])
+    first = F.array(*[F.lit(float(np.log(p))) for p in [(1 - UNKNOWN) / max(1, known_n)] * known_n + [UNKNOWN / none_n] * none_n])
     alone = known.select("__host", "__domain", "__suffix", "__declared",
                          _softmax(F.zip_with("__evidence", first, lambda a, b: a + b)).alias("__p"))
     if not slim:
         alone = settled(alone)
-    sums = alone.agg(F.count("*"), *[F.sum(F.col("__p")[k]) for k in range(n)]).first()
-    total = sums[0] or 0
-    shares = [((s or 0.0) + DRAWN / n) / (total + DRAWN) for s in sums[1:]]
+    place = F.array_position(F.array(*[F.lit(x) for x in model.names]), F.col("__declared")).cast("int") \
+        if model.names else F.lit(0)
+    sums = alone.agg(F.count("*"), F.count_if(place > 0), F.sum(F.when(place > 0, F.get("__p", place - 1))),
+                     _summed(n)).first()
+    total, trusted = sums[0] or 0, bool(sums[1]) and (sums[2] or 0.0) >= TRUSTED * sums[1]
+    shares = [((s or 0.0) + DRAWN / n) / (total + DRAWN) for s in (sums[3] if total else [0.0] * n)]
     everywhere = F.array(*[F.lit(float(s)) for s in shares])
     domains = _counts(alone, "__domain", n).select("__domain", _drawn("__c", everywhere).alias("__d"))
     of_host = alone.filter(F.col("__host").isNotNull()).groupBy("__host").agg(F.min("__domain").alias("__domain"))
@@ -190,6 +277,8 @@ def fuse(rows: DataFrame, model: Model, columns: list[str], text: str, declared:
     out = out.withColumn("__chances", _softmax(logs))
     best = F.array_position("__chances", F.array_max("__chances")).cast("int")
     language = F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), best)
+    if model.rare and trusted:
+        language = F.coalesce(language, F.when(F.col("__declared").isin(model.rare), F.col("__declared")))
     return out.select(*[F.col("__row").getField(c).alias(c) for c in columns], language.alias("__language"),
                       F.array_max("__chances").alias("__chance"),
                       (language.isNotNull() & (F.array_max("__chances") >= ACCEPTED)).alias("__accepted"))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -89,6 +91,55 @@ def test_noise_is_rejected_and_host_decides_empty_texts(spark, docs):
     assert kept.filter("doc_id = -1").isEmpty() and kept.count() == docs.count()
 
 
+GERMAN = ["Der Hund lief gestern über die Straße und bellte laut, während die Kinder im Garten spielten und lachten.",
+          "Wir haben heute keine Zeit, denn die Gäste kommen schon um sieben Uhr und das Essen ist noch nicht fertig.",
+          "Zwischen den Häusern steht ein alter Baum, unter dem sich die Nachbarn an warmen Abenden gern treffen.",
+          "Obwohl es regnete, gingen sie durch den Wald und suchten nach Pilzen, bis es dunkel wurde."]
+
+
+def test_a_language_with_four_documents(spark, docs):
+    """Too rare for a class of its own: a trusted declaration is kept, and without one there is none."""
+    others = docs.filter("lang != 'de'").select("doc_id", "text", "lang", "source")
+    rows = [(-k - 1, " ".join(GERMAN[k:] + GERMAN[:k]), "de-AT", None) for k in range(4)] + [(-9, " ".join(GERMAN), None, None)]
+    both = others.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    found = language.train(both, "text", "lang", "doc_id")
+    assert found.rare == ["de"] and "de" not in found.names
+    got = {r.doc_id: r for r in language.identify_documents(both, found, ["doc_id"]).collect()}
+    assert [(got[-k]["__language"], got[-k]["__accepted"]) for k in range(1, 5)] == [("de", True)] * 4
+    assert got[-9]["__language"] is None and not got[-9]["__accepted"]
+    right = {r.doc_id: r.lang for r in others.collect()}
+    assert np.mean([got[d]["__language"] == lang for d, lang in right.items()]) > 0.98
+
+
+def test_labels_count_by_their_primary_subtag_and_many_classes_go_in_blocks(spark, docs, monkeypatch):
+    tagged = docs.selectExpr("doc_id", "text", "source", "case when doc_id % 2 = 0 then upper(lang) || '-XX' else lang end as lang")
+    plain, found = (language.train(d, "text", "lang", "doc_id") for d in (docs, tagged))
+    assert found.names == plain.names and (found.table == plain.table).all()
+    want = {r.doc_id: tuple(r) for r in language.identify_documents(docs, plain, ["doc_id"]).collect()}
+    monkeypatch.setattr(language, "BLOCK", 2)
+    for r in language.identify_documents(docs, plain, ["doc_id"]).collect():
+        assert tuple(r)[:2] == want[r.doc_id][:2] and r["__chance"] == pytest.approx(want[r.doc_id][2])
+
+
+def test_ties_go_to_the_first_by_name(spark):
+    even = language.Model(["aa", "bb"], np.zeros((3, language.CLASSES), np.float32))
+    rows = spark.createDataFrame([(1, "text", None, None), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert {r["__language"] for r in language.identify_documents(rows, even, ["doc_id"]).collect()} == {"aa"}
+
+
+def test_visible_text(spark):
+    for page, text in [("a<b>c</b>d", "a c d"), ("a<!-- x > -->b<script>c</Script >d", "a b d"), ("a<script>b", "a b"),
+                       ("a<!-- b > c", "a  c"), ("1 < 2", "1 < 2"), ("<head><title>x</title></head>y<style>z", " y z")]:
+        assert language.visible(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<!-- ", "<script>", "<a ", "<style><head>", "</script", "<", "<!-->"])
+def test_hostile_pages_take_no_long(unit):
+    start = time.perf_counter()
+    language.visible(unit * (2_000_000 // len(unit)))
+    assert time.perf_counter() - start < 5
+
+
 def test_odd_rows(spark, model):
     docs = odd_documents(spark)
     assert language.identify_documents(docs, model, docs.columns).count() == docs.count()
