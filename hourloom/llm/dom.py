@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|<[!?/][^>]*>",
-    re.DOTALL)
+#: A tag, and one whose attributes are not read for quotes.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed values of HTML: elements without content, elements whose content is not text of the page,
 # elements within a line, and what a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object xmp select".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object xmp select annotation".split())
 #: Of these, all to the end of the page is content if the end tag is missing; of the others none is.
 TO_THE_END = frozenset("script style title textarea xmp iframe".split())
-SELF_CLOSING = frozenset("svg math object".split())
+SELF_CLOSING = frozenset("svg object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
-                   "meter q s samp small span strike strong sub sup time tt u var wbr".split())
+                   "meter q s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo mrow ms "
+                   "msup msub msubsup mfrac msqrt mroot mtext mspace mstyle mover munder munderover".split())
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -49,10 +51,6 @@ _WORDS: dict[str, int] = {}
 for _k, _group in enumerate(WORD_GROUPS):
     for _word in _group:
         _WORDS[_word] = _WORDS.get(_word, 0) | 1 << _k
-#: Bits of tag and word groups that speak for main text, and against it.
-_FOR_TAGS, _FOR_WORDS = 1 << 0, 1 << 0
-_AGAINST_TAGS = 1 << 1 | 1 << 3 | 1 << 4 | 1 << 5
-_AGAINST_WORDS = sum(1 << k for k in range(1, len(WORD_GROUPS) + 1))
 _GROUP_OF = {tag: k for k, group in enumerate(TAG_GROUPS) for tag in group}
 
 
@@ -68,39 +66,43 @@ class Page:
     words: list[int] = field(default_factory=list)
     above: list[int] = field(default_factory=list)
     tags_above: list[int] = field(default_factory=list)
-    leaning: list[int] = field(default_factory=list)
+    names: list[int] = field(default_factory=list)
+    other: list[int] = field(default_factory=list)
     chars: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
     stops: list[int] = field(default_factory=list)
     elements: list[int] = field(default_factory=list)
     controls: list[int] = field(default_factory=list)
     marked: list[int] = field(default_factory=list)
+    first_title: list[int] = field(default_factory=list)
     texts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def _attributes(rest: str) -> tuple[int, bool, bool]:
-    """Word groups and hiding of an element; whether it has names at all; whether it is marked as
-    main text of a training page."""
-    groups, named, marked = 0, False, False
+def _attributes(rest: str) -> tuple[int, int, int, bool]:
+    """Word groups and hiding of an element; how many words its names have, and how many of them are
+    in groups that aren't main text's; whether it is marked as main text of a training page."""
+    groups, named, other, marked = 0, 0, 0, False
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id", "role", "itemprop", "aria-label", "itemtype"):
-            named = True
             for word in _NAME.findall(value):
-                groups |= _WORDS.get(word.lower(), 0)
+                own = _WORDS.get(word.lower(), 0)
+                groups |= own
+                named += 1
+                other += own > 1
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" \
                 or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             groups |= 1 << HIDDEN
-            named = True
+            named += 1
         elif key == "data-main-text":
             marked = True
-    return groups, named, marked
+    return groups, named, other, marked
 
 
-def _ends(tag: str, source: str, at: int) -> dict[int, int]:
+def _ends(tag: str, source: str, at: int, limit: int) -> dict[int, int]:
     """Where the elements of one name that start at or after a place end; without those that have no end tag."""
     opened, ends = [], {}
-    for found in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])[^>]*>", re.I | re.S).finditer(source, at):
+    for found in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])[^>]*>", re.I | re.S).finditer(source, at, limit):
         if found[1]:
             if opened:
                 ends[opened.pop()] = found.end()
@@ -109,13 +111,52 @@ def _ends(tag: str, source: str, at: int) -> dict[int, int]:
     return ends
 
 
+class _Tags:
+    """The tags of a page one after another. A page without further > has no more tags; once quotes
+    in a tag have hidden all that follow, quotes are not heeded any more. So no text is read often."""
+
+    def __init__(self, source: str):
+        self.source, self.pattern = source, _TAG
+        self.limit = source.rfind(">") + 1
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None] | None:
+        """Start and end of the next tag, comment or other markup, and the tag's match."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(source), None
+            if start >= self.limit:
+                return None
+            kind = source[start + 1:start + 2]
+            if kind.isascii() and kind.isalpha() or kind == "/" and source[start + 2:start + 3].isascii() \
+                    and source[start + 2:start + 3].isalpha():
+                found = self.pattern.match(source, start)
+                if not found and self.pattern is _TAG:
+                    self.pattern = _PLAIN_TAG
+                    found = self.pattern.match(source, start)
+                if found:
+                    return start, found.end(), found
+            elif kind in ("!", "?", "/"):
+                return start, source.find(">", start) + 1, None
+            at = start + 1
+        return None
+
+
+def _raw_end(tag: str, source: str, at: int) -> int:
+    """Past the end tag of an element whose content is no markup; the end of the page without one."""
+    found = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
+    end = source.find(">", found.end()) if found else -1
+    return end + 1 if end >= 0 else len(source)
+
+
 def parse(source: str | None) -> Page:
     """The tree of a page, however broken its markup is. Elements within a line are nodes only if
     they are named; scripts, styles and the like are left out with their content."""
     page = Page()
     children = [0]
 
-    def open_node(tag: str, parent: int, groups: int, marked: bool) -> int:
+    def open_node(tag: str, parent: int, groups: int, named: int, other: int, marked: bool) -> int:
         n = len(page.tag)
         group = _GROUP_OF.get(tag, len(TAG_GROUPS))
         page.tag.append(group)
@@ -129,27 +170,36 @@ def parse(source: str | None) -> Page:
         page.words.append(groups)
         page.above.append(groups | (page.above[parent] if n else 0))
         page.tags_above.append(1 << group | (page.tags_above[parent] if n else 0))
-        bit = 1 << group
-        against = bool(bit & _AGAINST_TAGS or groups & _AGAINST_WORDS)
-        page.leaning.append(-1 if against else 1 if bit & _FOR_TAGS or groups & _FOR_WORDS
-                            else page.leaning[parent] if n else 0)
+        page.names.append(named)
+        page.other.append(other)
         for column in (page.chars, page.linked, page.stops, page.elements, page.controls):
             column.append(0)
         page.marked.append(int(marked))
+        page.first_title.append(int(tag == "h1"))
         return n
 
-    open_node("html", 0, 0, False)
+    open_node("html", 0, 0, 0, 0, False)
     stack: list[tuple[str, int]] = [("html", 0)]  # element, node that its text belongs to
+    places: dict[str, list[int]] = {}  # where the open elements of a name are on the stack
+    blocks = [0]  # where those are that are not within a line
     block = at = links = 0
     ends: dict[str, dict[int, int]] = {}
     source = source or ""
-    size = len(source)
+    tags, size = _Tags(source), len(source)
+
+    def enter(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
 
     def leave(count: int) -> None:
         nonlocal block, links
         while len(stack) > count:
             tag, node = stack.pop()
+            places[tag].pop()
             if tag not in INLINE:
+                blocks.pop()
                 block += 1
             if tag == "a":
                 links -= 1
@@ -168,46 +218,40 @@ def parse(source: str | None) -> Page:
             page.linked[node] += n
 
     while at < size:
-        found = _TOKEN.search(source, at)
-        if not found:
+        markup = tags.next(at)
+        if not markup:
             say(source[at:])
             break
-        if found.start() > at:
-            say(source[at:found.start()])
-        at = found.end()
-        tag = found["tag"]
-        if tag is None:
+        start, end, found = markup
+        if start > at:
+            say(source[at:start])
+        at = end
+        if found is None:
             continue
-        tag = tag.lower()
-        if found["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    leave(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+        tag, rest = found[2].lower(), found[3]
+        if found[1]:
+            open_ones = places.get(tag)
+            if open_ones and (tag not in INLINE or open_ones[-1] > blocks[-1]):
+                leave(open_ones[-1])
             continue
         if tag in RAW:
             if tag in TO_THE_END:
-                close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else size
-            elif not found["rest"].endswith("/") or tag not in SELF_CLOSING:
+                at = _raw_end(tag, source, at)
+            elif not rest.endswith("/") or tag not in SELF_CLOSING:
                 if tag not in ends:
-                    ends[tag] = _ends(tag, source, found.start())
-                at = ends[tag].get(found.start(), at)
+                    ends[tag] = _ends(tag, source, start, tags.limit)
+                at = ends[tag].get(start, at)
             if tag in ("textarea", "select"):
                 page.controls[stack[-1][1]] += 1
             continue
-        if tag in CLOSED_BY or tag not in INLINE:
-            closed, bound = CLOSED_BY.get(tag), _BOUND.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0]
-                if closed and name in closed or name == "p" and tag not in INLINE:
-                    leave(i)
-                    if not closed:
-                        break
-                elif name in bound or not closed and name not in INLINE:
-                    break
+        if closed := CLOSED_BY.get(tag):
+            # The lowest of what it ends, above the nearest element that bounds it.
+            bound = max((p[-1] for name in _BOUND.get(tag, ()) if (p := places.get(name))), default=0)
+            lowest = [p[k] for name in (*closed, "p") if (p := places.get(name)) and (k := bisect_right(p, bound)) < len(p)]
+            if lowest:
+                leave(min(lowest))
+        elif tag not in INLINE and stack[blocks[-1]][0] == "p":
+            leave(blocks[-1])
         node = stack[-1][1]
         page.elements[node] += 1
         if tag in VOID:
@@ -218,8 +262,7 @@ def parse(source: str | None) -> Page:
             elif tag == "input":
                 page.controls[node] += 1
             continue
-        rest = found["rest"]
-        groups, named, marked = _attributes(rest) if rest.strip(" /\n\t") else (0, False, False)
+        groups, named, other, marked = _attributes(rest) if rest.strip(" /\n\t") else (0, 0, 0, False)
         if tag not in INLINE:
             block += 1
             if tag in ("button", "form"):
@@ -227,14 +270,14 @@ def parse(source: str | None) -> Page:
         if tag == "a":
             links += 1
         if tag not in INLINE or named and groups:
-            node = open_node(tag, node, groups, marked)
-        stack.append((tag, node))
+            node = open_node(tag, node, groups, named, other, marked)
+        enter(tag, node)
     leave(1)
     page.end[0] = len(page.tag)
     return page
 
 
-FEATURES = 22 + 2 * (len(TAG_GROUPS) + 1) + 2 * (len(WORD_GROUPS) + 1)
+FEATURES = 28 + 2 * (len(TAG_GROUPS) + 1) + 2 * (len(WORD_GROUPS) + 1)
 
 
 def features(pages: list[Page]) -> np.ndarray:
@@ -267,16 +310,21 @@ def features(pages: list[Page]) -> np.ndarray:
     earlier = np.zeros(total)
     earlier[following[following >= 0]] = text[following >= 0]
     density = linked / np.maximum(text, 1)
-    leaning = column("leaning")  # what the nearest node that has a telling name says
-    against = (words & _AGAINST_WORDS > 0) | (1 << tag & _AGAINST_TAGS > 0)
-    under = ((above[parent] & _AGAINST_WORDS > 0) | (tags_above[parent] & _AGAINST_TAGS > 0)) & (parent != me)
-    favour = ((above & _FOR_WORDS > 0) | (tags_above & _FOR_TAGS > 0)).astype(np.int64)
+    titles, first_titles = subtree((tag == 9).astype(np.int64)), subtree(column("first_title"))
+    names, other = column("names"), column("other")
+    telling = other / np.maximum(names, 1)  # share of a node's name that says it isn't main text
+    paragraphs = subtree(np.where(tag == 8, np.log1p(text), 0.0))
+    most = np.maximum.reduceat(np.where(tag == 8, text, 0.0), np.flatnonzero(me == base)) if total else np.zeros(0)
+    longest = np.repeat(most, sizes)
+    titled = (np.maximum.reduceat(np.where(tag == 9, me, -1), np.flatnonzero(me == base)) if total else np.zeros(0, int))
+    first_title = np.minimum.reduceat(np.where(tag == 9, me, total), np.flatnonzero(me == base)) if total else np.zeros(0, int)
+    behind = (me > np.repeat(first_title, sizes)) & (np.repeat(titled, sizes) >= 0)
     numbers = np.stack([
         column("depth"), np.log1p(text), np.log1p(chars), density, density[parent], subtree(column("elements")) / (text + 20) * 100,
         text / np.maximum(whole, 1), text / np.maximum(around, 1), np.log1p(brothers[parent]), column("place") / np.maximum(brothers[parent], 1),
         start / np.maximum(whole, 1), subtree(column("stops")) / np.maximum(text, 1), np.log1p(alike), np.log1p(subtree(column("controls"))),
         np.log1p(earlier), np.log1p(after), np.log1p(end - me), (start + text) / np.maximum(whole, 1),
-        leaning, against, under, favour], axis=1)
+        names, telling, telling[parent], titles, titles[parent], first_titles, first_titles[parent], np.log1p(paragraphs), np.log1p(longest), behind], axis=1)
     flags = [(tag == k) for k in range(len(TAG_GROUPS) + 1)] \
         + [(tags_above[parent] >> k & 1) * (parent != me) for k in range(len(TAG_GROUPS) + 1)] \
         + [words >> k & 1 for k in range(len(WORD_GROUPS) + 1)] \
@@ -295,15 +343,16 @@ def labels(page: Page) -> list[int]:
 
 
 def kept_nodes(page: Page, scores: list[float]) -> list[bool]:
-    """The best choice of nodes in which every chosen node's parent is chosen too: a node is worth
-    its score, the log-odds of being main text, and what its children are worth if that is positive."""
-    worth = list(scores)
-    for n in range(len(worth) - 1, 0, -1):
-        if worth[n] > 0:
-            worth[page.parent[n]] += worth[n]
-    kept = [True] * min(1, len(worth))  # the page itself
-    for n in range(1, len(worth)):
-        kept.append(kept[page.parent[n]] and worth[n] > 0)
+    """The likeliest choice of nodes in which every chosen node's parent is chosen too. A score is the
+    log-odds that a node holds main text if its parent does; nodes below one that is left out say nothing."""
+    scores = np.asarray(scores, float)
+    left_out, taken = -np.logaddexp(0, scores), (-np.logaddexp(0, -scores)).tolist()
+    left_out = left_out.tolist()
+    for n in range(len(taken) - 1, 0, -1):
+        taken[page.parent[n]] += max(taken[n], left_out[n])
+    kept = [True] * min(1, len(taken))  # the page itself
+    for n in range(1, len(taken)):
+        kept.append(kept[page.parent[n]] and taken[n] > left_out[n])
     return kept
 
 

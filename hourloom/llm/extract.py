@@ -20,7 +20,7 @@ from hourloom.llm import dom
 from hourloom.llm.common import pieces, settled
 
 #: Pages whose texts training pages are made of, and training pages for each.
-SAMPLE_PAGES, COPIES = 200, 3
+SAMPLE_PAGES, COPIES = 200, 16
 ROUNDS, DEPTH, SEED = 40, 5, 5
 
 
@@ -80,6 +80,8 @@ _SEMANTIC = {"nav": ("nav", "menu"), "header": ("header",), "footer": ("footer",
 _JUNK = {  # names of parts of pages, by what they are; indexes of dom.WORD_GROUPS
     "nav": 1, "header": 2, "footer": 3, "side": 4, "ad": 5, "comments": 6, "notice": 7, "share": 8, "form": 9}
 _MAIN_NAMES = sorted(dom.WORD_GROUPS[0])
+_OTHER_NAMES = sorted(set().union(*dom.WORD_GROUPS[1:]) - dom.WORD_GROUPS[0])
+_AFFIXES = ("has", "no", "with", "without", "category", "tag", "type", "is", "in")
 
 
 def training_page(blocks: list[str], seed: int) -> str:
@@ -95,9 +97,33 @@ def training_page(blocks: list[str], seed: int) -> str:
         k, at = rng.randint(low, high), rng.randrange(len(words))
         return esc(" ".join((words * 2)[at:at + k]))
 
+    def made_up() -> str:
+        """A name in no list, as in other languages or from a build tool."""
+        return "".join(rng.choice("bcdfghklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) \
+            + rng.choice(["", "", str(rng.randrange(99)), "-" + rng.choice("abcxyz") + str(rng.randrange(99))])
+
+    def main_names() -> str:
+        """Names of a container of main text: telling ones, made-up ones, and any word beside them."""
+        kind, parts = rng.random(), []
+        if kind < 0.5:
+            parts.append(rng.choice(_MAIN_NAMES) + rng.choice(["", "", "-body", "-area", "-wrap"]))
+        elif kind < 0.75:
+            parts.append(made_up())
+        if not parts or rng.random() < 0.5:
+            for _ in range(rng.randint(1, 2)):
+                word = rng.choice(_OTHER_NAMES)
+                parts.append(rng.choice([word, f"{rng.choice(_AFFIXES)}-{word}", f"{word}-{rng.choice(_MAIN_NAMES)}",
+                                         f"{rng.choice(_MAIN_NAMES)}-{word}", f"{word}-{made_up()}"]))
+        rng.shuffle(parts)
+        return f' {rng.choice(["class", "class", "class", "id", "itemprop"])}="{" ".join(parts)}"'
+
     def names(kind: str) -> str:
+        if rng.random() < 0.3:
+            return rng.choice(["", f' {rng.choice(["class", "id"])}="{made_up()}"'])
         words_of = sorted(dom.WORD_GROUPS[_JUNK[kind]])
         name = rng.choice(words_of)
+        if rng.random() < 0.2:
+            name = rng.choice(_MAIN_NAMES) + "-" + name
         if rng.random() < 0.4:
             name += rng.choice(["-", "_", " "]) + rng.choice(["box", "wrap", "list", "area", "item", "top", rng.choice(words_of)])
         return f' {rng.choice(["class", "class", "id", "role"])}="{name}"'
@@ -125,9 +151,9 @@ def training_page(blocks: list[str], seed: int) -> str:
 
     def comments() -> str:
         items = "".join(
-            rng.choice([f"<div{names('comments')}>", "<li>", "<div>"]) + f"<b>{some(1, 2)}</b>" + paragraphs(1, 2)
-            + (f"<a href='#'>{some(1, 1)}</a>" if rng.random() < 0.5 else "")
-            for _ in range(rng.randint(1, 5)))
+            f"<{tag}{names('comments') if rng.random() < 0.4 else ''}><b>{some(1, 2)}</b>" + paragraphs(1, 2)
+            + (f"<a href='#'>{some(1, 1)}</a>" if rng.random() < 0.5 else "") + f"</{tag}>"
+            for tag in rng.choices(["div", "div", "li"], k=rng.randint(1, 5)))
         form = junk("form", f"<input name=a><textarea></textarea><button>{some(1, 2)}</button>") if rng.random() < 0.4 else ""
         return junk("comments", f"<h3>{some(1, 3)}</h3>" * rng.randint(0, 1) + items + form)
 
@@ -166,30 +192,32 @@ def training_page(blocks: list[str], seed: int) -> str:
             row = lambda: "<tr data-main-text>" + "".join(f"<td data-main-text>{some(1, 6)}</td>" for _ in range(2)) + "</tr>"
             body.append(f"<table data-main-text>{row()}{row()}</table>")
         body.append(f"<p data-main-text><b>{text}<br>" if rng.random() < 0.1 else f"<{(t := rng.choice(['p', 'p', 'p', 'p', 'div']))} data-main-text>{text}</{t}>")
+    if rng.random() < 0.3:  # sections below the title
+        cuts = sorted(rng.sample(range(1, len(body) + 1), min(len(body), rng.randint(1, 3))))
+        groups = ["".join(body[a:b]) for a, b in zip(cuts, [*cuts[1:], len(body)]) if a < b]
+        tag = rng.choice(["section", "div"])
+        body = body[:cuts[0]] + [f"<{tag}{rng.choice(['', '', main_names()])} data-main-text>{g}</{tag}>" for g in groups]
     inside = [make() for make in (advert, share, side, notice, form) for _ in range(rng.choice([0, 0, 0, 1]))]
     for part in inside:
         body.insert(rng.randint(0, len(body)), part)
     if rng.random() < 0.35:
         body.append(comments())
-    if rng.random() < 0.15:
-        body.append(junk("footer", rng.choice([some(1, 9), links(2)])))
+    if rng.random() < 0.2:
+        body.append(junk("footer", rng.choice([some(1, 9), links(2), f"{some(1, 3)} {links(1)}"])))
     if rng.random() < 0.12:  # a page of nothing but its text
         return "".join(body) if rng.random() < 0.5 else f"<html><body><div>{''.join(body)}</div></body></html>"
-    wrap = rng.random()
-    name = rng.choice(_MAIN_NAMES)
-    if wrap < 0.4:
-        main = f"<article>{''.join(body)}</article>"
-    elif wrap < 0.53:
-        main = f"<main>{''.join(body)}</main>"
-    elif wrap < 0.78:
-        main = f'<div {rng.choice(["class", "id"])}="{name}{rng.choice(["", "-body", "-area"])}" data-main-text>{"".join(body)}</div>'
-    else:
-        main = f"<div>{''.join(body)}</div>"
+    tag = rng.choice(["article", "article", "article", "main", "div", "div", "div", "div", "section"])
+    plain = rng.random() < (0.5 if tag in ("article", "main") else 0.25)
+    main = f"<{tag}{'' if plain else main_names()} data-main-text>{''.join(body)}</{tag}>"
+    for _ in range(rng.choice([0, 0, 0, 1, 2])):
+        main = f"<div{rng.choice(['', main_names(), ' class=' + made_up()])} data-main-text>{main}</div>"
+    if rng.random() < 0.06:
+        main = f"<table data-main-text><tr data-main-text><td>{links(rng.randint(2, 6))}</td><td data-main-text>{main}</td></tr></table>"
     around = [make() for make in (side, advert, side, comments, form, share) for _ in range(rng.choice([0, 0, 1]))]
     cut = rng.randint(0, len(around))
     main = "".join(around[:cut]) + main + "".join(around[cut:])
     for _ in range(rng.randint(0, 2)):
-        main = f"<div{rng.choice(['', ' class=wrapper', ' id=page'])}>{main}</div>"
+        main = f"<div{rng.choice(['', ' class=wrapper', ' id=page', ' class=' + made_up(), main_names()])}>{main}</div>"
     top = [make() for make in (notice, lambda: junk("header", nav() + some(1, 6)), nav, advert) if rng.random() < 0.5]
     tail = [make() for make in (nav, notice, lambda: junk("footer", rng.choice([some(2, 20), links(4), f"<p>{some(2, 20)}</p>"]))) if rng.random() < 0.5]
     return (f"<html><head><title>{some(1, 9)}</title><script>var a='<p>';</script></head><body>"
@@ -198,7 +226,8 @@ def training_page(blocks: list[str], seed: int) -> str:
 
 def training_rows(pages: DataFrame, key: str, source: str) -> DataFrame:
     """features and label of the nodes of COPIES training pages for each of SAMPLE_PAGES pages, the
-    ones with the smallest seeded hash of their key and markup."""
+    ones with the smallest seeded hash of their key and markup. Only nodes whose parent holds main
+    text are asked about, as the others are never chosen."""
     sample = (pages.select(F.coalesce(F.col(source), F.lit("")).alias("__html"),
                            F.xxhash64(F.lit(SEED), F.col(key), F.col(source)).alias("__hash"))
               .orderBy("__hash", "__html").limit(SAMPLE_PAGES))
@@ -208,9 +237,11 @@ def training_rows(pages: DataFrame, key: str, source: str) -> DataFrame:
             for source_text, seed in zip(*(c.to_pylist() for c in batch.columns)):
                 blocks = _blocks(dom.parse(source_text))
                 made = [dom.parse(training_page(blocks, seed + k)) for k in range(COPIES)]
-                rows = dom.features(made)
+                known = [dom.labels(p) for p in made]
+                asked = np.array([n > 0 and own[p.parent[n]] > 0 for p, own in zip(made, known) for n in range(len(own))])
+                label = np.array([float(y) for own in known for y in own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(rows)), pa.array([float(y) for p in made for y in dom.labels(p)])], ["features", "label"])
+                    [pa.array(list(dom.features(made)[asked])), pa.array(label[asked])], ["features", "label"])
 
     return sample.mapInArrow(run, "features array<double>, label double")
 
@@ -243,8 +274,8 @@ def extract(pages: DataFrame, columns: list[str], key: str = "page_id", source:
     """The given columns of every row of pages, its main text and n_chars (its code points).
 
     A page is read as a tree of elements; boosted trees give each node the log-odds of holding main
-    text; of all choices of nodes that have no node without its parent, the one with the best sum is
-    taken. Its text is a line per block, character references decoded, white space single. NULL and
+    text if their parent does; of all choices of nodes that have no node without its parent, the
+    likeliest is taken. Its text is a line per block, character references decoded, white space single. NULL and
     empty pages have empty text; repeated rows get the same text; an empty table gives no rows.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(pages, key, source))  # ROUNDS trees

@@ -1,9 +1,12 @@
 import html
+import random
 import re
+import time
 
 import numpy as np
 import pytest
 
+from article_pages import PAGES
 from hourloom.llm import dom, extract
 
 TEXT = "Ordinary article text that goes on for a while, with commas and full stops. It has some length."
@@ -76,20 +79,49 @@ def test_broken_and_empty_pages(model):
     assert texts[5] == "a < b & c &amp; d" and texts[6] == "x" and texts[8] == ""
 
 
-def test_choice_is_the_best_without_contradiction():
+def test_choice_is_the_likeliest_without_contradiction():
     rng = np.random.default_rng(0)
     for _ in range(50):
         n = 9
         page = dom.Page(tag=[0] * n, parent=[0] + [int(rng.integers(0, k)) for k in range(1, n)])
-        scores = rng.normal(size=n).tolist()
-
-        def closed(keep):
-            return keep[0] and all(keep[page.parent[k]] or not keep[k] for k in range(n))
-
-        best = max(sum(s for s, k in zip(scores, keep) if k) for m in range(1 << n)
-                   if closed(keep := [bool(m >> k & 1) for k in range(n)]))
-        kept = dom.kept_nodes(page, scores)
-        assert closed(kept) and np.isclose(sum(s for s, k in zip(scores, kept) if k), best)
+        scores = (2 * rng.normal(size=n)).tolist()
+
+        def likelihood(keep):
+            if not keep[0] or any(keep[k] and not keep[page.parent[k]] for k in range(n)):
+                return -np.inf
+            return sum(-np.log1p(np.exp(-s if keep[k] else s)) for k, s in enumerate(scores) if k and keep[page.parent[k]])
+
+        best = max(likelihood([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
+        assert np.isclose(likelihood(dom.kept_nodes(page, scores)), best)
+
+
+@pytest.mark.parametrize("name, source, text", PAGES, ids=[p[0] for p in PAGES])
+def test_pages_written_by_hand(model, name, source, text):
+    assert extract.main_text([source], model) == [text]
+
+
+def test_an_article_is_never_lost_for_its_name(model):
+    rng, words = random.Random(4), sorted(set().union(*dom.WORD_GROUPS))
+    paragraphs = "".join(f"<p>{TEXT * 3}</p>" for _ in range(8))
+    for _ in range(150):
+        name = " ".join(rng.choice(["", "has-", "no-", "post-"]) + rng.choice(words) for _ in range(rng.randint(1, 3)))
+        tag = rng.choice(["article", "main", "div", "section"])
+        own = rng.choice(["post ", "content ", "x7 ", "article "]) + name
+        page = f"<nav><a href=/>Home</a></nav><{tag} class='{own}'><h1>Title</h1>{paragraphs}</{tag}><footer>Imprint</footer>"
+        assert TEXT in extract.main_text([page], model)[0], page[:200]
+
+
+@pytest.mark.parametrize("unit", ["<!-- ", "<script>", "<a ", "<li>", "<b>", "</i>", "<p>", "<div>", "<a x=\"", "<a x=\">\"",
+                                  "<svg ", "</script", "<select><option>", "<td>", "<"])
+def test_hostile_pages_take_no_long(unit):
+    start = time.perf_counter()
+    dom.parse(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 8
+    half = 200_000
+    for a, b in (("<b>", "</i>"), ("<div>", "<li>"), ("<b>", "<p>")):
+        start = time.perf_counter()
+        dom.parse(a * (half // len(a)) + b * (half // len(b)))
+        assert time.perf_counter() - start < 5
 
 
 def test_trees_are_read_back_exactly(spark):
