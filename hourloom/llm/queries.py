@@ -25,7 +25,7 @@ def query(build: Query) -> Query:
 @query
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return shards.assign_shards(docs).select(
+    return shards.assign_shards(docs, limit=shards.fine_limit(docs)).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("doc_bytes"),
         "shard", "shard_depth", "shard_bytes", "shard_rows", "oversized")
 
