@@ -172,8 +172,9 @@ def mark_contamination(docs: DataFrame, items: DataFrame, columns: list[str], te
     have no words; items without words have no windows; items without a key are named ""; rows of
     one item key are one item; an empty benchmark leaves every row without hits.
 
-    Windows are broadcast in blocks of at most BLOCK_BYTES; every block is one narrow pass over the
-    documents, which stores what is found so far for the next.
+    Windows are broadcast in blocks of about BLOCK_BYTES; every block is one narrow pass over the
+    documents, which stores what is found so far for the next. Pairs of window and item are dealt out
+    to the blocks, so a window that very many items share fills no block either.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -183,7 +184,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, columns: list[str], te
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(text).alias("__text"),
                       F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
     for b in range(blocks):
-        rows = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()
+        rows = windows.filter(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == b).collect()
         out = _searched(out, spark.sparkContext.broadcast(Windows([(r["item"], r["window"]) for r in rows])))
         if b < blocks - 1:
             out = stored(out.drop("__n_words", "__n_hit"), "searched")  # one block in memory at a time

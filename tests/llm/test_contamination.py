@@ -55,3 +55,19 @@ def test_odd_rows(spark):
     assert sum(r["__n_hit"] > 0 for r in got) >= 5
     assert decontaminate.clean_documents(docs, items.limit(0)).count() == docs.count()
     assert decontaminate.clean_documents(docs.limit(0), items).count() == 0
+
+
+def test_a_window_that_all_items_share_fills_no_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40_000)
+    sizes, plain = [], decontaminate.Windows.__init__
+
+    def counted(self, rows):
+        sizes.append(sum(len(i) + len(w) + 100 for i, w in rows))
+        plain(self, rows)
+
+    monkeypatch.setattr(decontaminate.Windows, "__init__", counted)
+    items = spark.range(2000).selectExpr("id as item_id", "'one window of ten words that all of the items share' as text")
+    docs = spark.createDataFrame([(1, "Here: one window of ten words that all of the items share!"), (2, "none")], "doc_id long, text string")
+    got = {r.doc_id: (r["__n_hit"], len(r["__items"])) for r in decontaminate.mark_contamination(docs, items, ["doc_id"]).collect()}
+    assert got == {1: (11, 2000), 2: (0, 0)}
+    assert len(sizes) > 5 and max(sizes) < 60_000
