@@ -498,7 +498,7 @@ ORACLE: dict[str, str] = {
     "forest_fold_checks": FOLDED + """select cast(test_fold as integer) as fold, count(*) as n,
         true as finite, true as inside from fx_folded where test_fold > 0 group by 1""",
     "boosting_rounds": FOLDED + """select cast(test_fold as integer) as fold, count(*) as n,
-        true as finite, true as within_limit, true as ends_with_best
+        true as finite, true as waited, true as kept_best
         from fx_folded where test_fold > 0 group by 1""",
     "importance_checks": "select feature, true as sound from (values "
         + ", ".join(f"('{n}')" for n in _FEATURE_SQL) + ") f(feature)",

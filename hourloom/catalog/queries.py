@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +18,14 @@ from ..config import ExperimentSettings, ScaleSettings
 from ..functions import risk, scalars
 from ..models.bundle import Bundle, load_bundle, save_bundle, score_recent
 from ..models.gram import fold_ridge, series_ridge as ridge_by_series, with_prediction
-from ..models.trainers import fit, importances, tail_errors, top_importances
+from ..models.trainers import fit, fit_until_patience, importances, tail_errors, top_importances
 from ..operators import align, fences, summary, validate
 from ..operators.features import all_features, build_features, complete_rows
 from ..operators.fill import fill_series
 from ..operators.order_stats import quantiles
 from ..operators.rolling import trailing_stats
-from ..operators.scale import (
-    along_series, ensure_checkpoint_dir, longest_series, row_positions,
-)
-from ..plans.clean import clean_panel, clean_series
+from ..operators.scale import along_series, ensure_checkpoint_dir, row_positions, settle
+from ..plans.clean import clean_and_bound, clean_panel, clean_series
 from ..plans.ingest import run_ingest
 from ..plans.experiment import fold_models, fold_predictions, model_scores, run_experiment
 from ..plans.monitor import latest_risk, recent_risk
@@ -75,10 +75,8 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clean_and_bound(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Clean rows and the measured row count of the longest series; cleaning adds no rows."""
-    p = fx.panel(spark, d)
-    bound = longest_series(p, KEY)
-    return clean_panel(p, KEY, rows_bound=bound), bound
+    """Clean rows and a bound of the longest series' rows; cleaning adds no rows."""
+    return clean_and_bound(fx.readings(spark, d), fx.weather(spark, d), "station")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -641,18 +639,29 @@ def forest_fold_checks(spark, d):
 
 @query
 def boosting_rounds(spark, d):
-    """Of each tested fold: its rows, whether all predictions are numbers, and whether the rounds are
-    within the limit and end with the best one on the tail."""
+    """Of each tested fold: its rows, whether all predictions are numbers, whether the rounds tried go
+    on until the best is far enough back (or the limit is reached), and whether the model kept has
+    just the rounds up to the best, with the errors they had when they were tried."""
     rows, names = _stored_features(spark, d)
-    folded, parts = validate.assign_folds(rows).persist(), []
-    limit = ExperimentSettings().boosting.rounds
-    for i, trained in fold_models(folded, "boosting", names, "pm25").items():
-        errors = tail_errors(trained, folded.where(F.col("test_fold") < i), "pm25")
-        parts.append(trained.transform(folded.where(F.col("test_fold") == i)).agg(
+    folded, own = validate.assign_folds(rows).persist(), ExperimentSettings().boosting
+
+    def one(i: int) -> DataFrame:
+        train = folded.where(F.col("test_fold") < i)
+        trained, tried = fit_until_patience(train, names, "pm25", own)
+        kept = tail_errors(trained, train, "pm25")
+        best = tried.index(min(tried)) + 1
+        waited = len(tried) == own.rounds or len(tried) >= best + own.patience
+        same = len(kept) == best and all(abs(a - b) <= 1e-9 * b for a, b in zip(kept, tried))
+        return trained.transform(folded.where(F.col("test_fold") == i)).agg(
             F.lit(i).alias("fold"), F.count("*").alias("n"), F.every(_finite("prediction")).alias("finite"),
-            F.lit(1 <= len(errors) <= limit).alias("within_limit"),
-            F.lit(min(errors) == errors[-1]).alias("ends_with_best")))
-    return reduce(DataFrame.unionByName, parts)
+            F.lit(waited).alias("waited"), F.lit(same).alias("kept_best"))
+
+    folds = range(1, ExperimentSettings().n_splits + 1)
+    with ThreadPoolExecutor(len(folds)) as pool:
+        out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(one), folds))
+    out = settle(out)
+    folded.unpersist()
+    return out
 
 
 @query

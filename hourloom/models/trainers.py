@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,38 +122,64 @@ def fit_boosting(train: DataFrame, features: Sequence[str], target: str,
     """Boosted trees. With ``stop_early`` the last tenth of the *training* times judges the rounds:
     the model has the rounds with the least squared error there, once ``patience`` further ones
     were no better. The test fold is never looked at while training.
-
-    Rounds are added in runs, each twice the last, until that is known; round m is the same in
-    every run, because its rows and columns are drawn with seed + m.
     """
-    def boosted(rounds: int) -> GBTRegressor:
-        return GBTRegressor(
-            featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION, maxIter=rounds,
-            stepSize=settings.step, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
-            subsamplingRate=settings.row_share, maxBins=settings.bins,
-            featureSubsetStrategy=str(settings.column_share), seed=settings.seed)
+    if not stop_early:
+        return Pipeline(stages=[assembler(features), _boosted(target, settings, settings.rounds)]).fit(train)
+    return fit_until_patience(train, features, target, settings, ts, scale)[0]
+
+
+def _boosted(target: str, settings: BoostingSettings, rounds: int) -> GBTRegressor:
+    return GBTRegressor(
+        featuresCol=VECTOR, labelCol=target, predictionCol=PREDICTION, maxIter=rounds,
+        stepSize=settings.step, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
+        subsamplingRate=settings.row_share, maxBins=settings.bins,
+        featureSubsetStrategy=str(settings.column_share), seed=settings.seed)
 
+
+def fit_until_patience(train: DataFrame, features: Sequence[str], target: str,
+                       settings: BoostingSettings = BoostingSettings(), ts: str = "timestamp",
+                       scale: ScaleSettings = ScaleSettings()) -> tuple[PipelineModel, list[float]]:
+    """The early-stopped model, and the squared error on the tail after each round that was tried.
+
+    Rounds are added in runs, each twice the last, until the best is ``patience`` rounds back; round m
+    is the same in every run, because its rows and columns are drawn with seed + m. The model is cut
+    out of the longest run. Without enough times for a tail all rounds are kept and nothing is judged.
+    """
     vectors = assembler(features)
-    if not stop_early:
-        return Pipeline(stages=[vectors, boosted(settings.rounds)]).fit(train)
     cut = time_literal(tail_start(train, ts, settings.tail_share, scale))
     ready = vectors.transform(train).select(VECTOR, target, ts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         head, tail = ready.where(F.col(ts) < cut), ready.where(F.col(ts) >= cut)
-        if head.isEmpty():  # too few times for a tail
-            return PipelineModel(stages=[vectors, boosted(settings.rounds).fit(ready)])
+        if head.isEmpty():
+            return PipelineModel(stages=[vectors, _boosted(target, settings, settings.rounds).fit(ready)]), []
         rounds = min(settings.rounds, 2 * settings.patience)
         while True:
-            model = boosted(rounds).fit(head)
-            errors = model.evaluateEachIteration(tail, "squared")
+            model = _boosted(target, settings, rounds).fit(head)
+            errors = list(model.evaluateEachIteration(tail, "squared"))
             best = errors.index(min(errors)) + 1
             if rounds == settings.rounds or best + settings.patience <= rounds:
                 break
             rounds = min(settings.rounds, 2 * rounds)
-        kept = model if best == rounds else boosted(best).fit(head)
     finally:
         ready.unpersist()
-    return PipelineModel(stages=[vectors, kept])
+    return PipelineModel(stages=[vectors, first_rounds(model, best)]), errors
+
+
+def first_rounds(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model as it was after n rounds; none of its trees is fitted again."""
+    java = model._java_obj
+    whole = java.trees()
+    if n >= len(whole):
+        return model
+    jvm = SparkContext._active_spark_context._jvm
+    make = SparkContext._active_spark_context._gateway.new_array
+    trees, weights = make(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), make(jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = whole[i], java.treeWeights()[i]
+    cut = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        java.uid(), trees, weights, java.numFeatures()))
+    model._copyValues(cut)._transfer_params_to_java()
+    return cut
 
 
 def tail_errors(model: PipelineModel, train: DataFrame, target: str, ts: str = "timestamp",

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import ScaleSettings
-from .scale import LONG_FIELDS, LongSeries, attach, chunk_rows, find_long, settle, split_long
+from .scale import (
+    LONG_FIELDS, LongSeries, attach, chunk_rows, find_long, keep_once, settle, split_long,
+)
 
 FIRST, LAST, HERE = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
@@ -118,6 +120,6 @@ def fill_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         long = find_long(df, keys, scale, rows_bound)
     if long is None:
         return fill_short(df, keys, order, edge_columns, line_column, limit, ahead)
-    short, hot = split_long(df, long, scale)
+    short, hot = split_long(keep_once(df), long, scale)
     return fill_short(short, keys, order, edge_columns, line_column, limit, ahead).unionByName(
         fill_long(hot, keys, order, scale, edge_columns, line_column, limit, ahead))

@@ -64,7 +64,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     if long is None:
         found = _built_in(staged, columns, probs, keys, "__stage", [1])
     else:
-        short, hot = split_long(staged, long, scale)
+        short, hot = split_long(settle_rows(staged), long, scale)
         found = _built_in(short, columns, probs, keys, "__stage", [1]).unionByName(
             counted_quantiles(hot.select(*keys, "__stage", *columns), columns, probs, keys, "__stage", [1], scale))
     return found.drop("__all", "__stage")
@@ -86,7 +86,7 @@ def nested_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         long = find_long(rows, keys, scale)
     if long is None:
         return _built_in(rows, columns, probs, keys, stage, upto)
-    short, hot = split_long(rows, long, scale)
+    short, hot = split_long(settle_rows(rows), long, scale)
     return _built_in(short, columns, probs, keys, stage, upto).unionByName(
         counted_quantiles(hot.select(*keys, stage, *columns), columns, probs, keys, stage, upto, scale))
 

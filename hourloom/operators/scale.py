@@ -85,7 +85,7 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], scale: ScaleSet
     return df.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
-LONG_FIELDS = ("__n",)
+LONG_FIELDS = ("__n", "__tie")
 
 
 @dataclass(frozen=True)
@@ -96,34 +96,31 @@ class LongSeries:
     table: DataFrame
 
 
-def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the longest series; counted before the shuffle, reads only the keys."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.agg(F.max("__n")).first()[0] or 0
-
-
 def find_long(df: DataFrame, keys: Sequence[str], scale: ScaleSettings,
               rows_bound: int | None = None) -> LongSeries | None:
     """Series with more rows than one task should hold; ``None`` when there is none.
 
-    ``rows_bound`` is a bound the caller has measured or proved; without it the longest series
-    is counted. The result has at most total rows / limit rows.
+    ``rows_bound`` is a bound the caller has measured or proved; without it the series are counted,
+    which reads only the keys. The result has at most total rows / limit rows.
     """
-    if rows_bound is None:
-        rows_bound = longest_series(df, keys)
-    if rows_bound <= scale.max_group_rows:
+    if rows_bound is not None and rows_bound <= scale.max_group_rows:
         return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     found = settle(counts.where(F.col("__n") > scale.max_group_rows))
     return None if found.isEmpty() else LongSeries(tuple(keys), found)
 
 
+def keep_once(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder with a running id, for a plan that reads them several times:
+    what they come from is computed once, and ties in their order are told apart alike each time."""
+    return settle_rows(df.withColumn("__tie", F.monotonically_increasing_id()))
+
+
 def split_long(df: DataFrame, long: LongSeries, scale: ScaleSettings
                ) -> tuple[DataFrame, DataFrame]:
-    """``(short, long)`` rows of ``df``; the long part carries the fields of the table."""
+    """``(short, long)`` rows of ``df``; the long part carries ``LONG_FIELDS``."""
     marked = attach(df, long.table, long.keys, scale)
-    fields = [c for c in long.table.columns if c not in long.keys]
-    return (marked.where(F.col("__n").isNull()).drop(*fields),
+    return (marked.where(F.col("__n").isNull()).drop(*LONG_FIELDS),
             marked.where(F.col("__n").isNotNull()))
 
 
@@ -137,11 +134,11 @@ def range_parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     part wide either. Parts hold half of the row limit in the mean.
     """
     spark = rows.sparkSession
-    tied = settle_rows(rows).withColumn("__tie", F.monotonically_increasing_id())
+    tied = rows if "__tie" in rows.columns else keep_once(rows)
     n = max(1, -(-2 * tied.count() // scale.max_group_rows))
     by = [*keys, *order, "__tie"]
     placed = tied.repartitionByRange(n, *by).sortWithinPartitions(*by).select(
-        *rows.columns, F.spark_partition_id().alias("__part"),
+        *[c for c in rows.columns if c != "__tie"], F.spark_partition_id().alias("__part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__in_part"))
     path = shared_path(spark)
     placed.write.parquet(path)
@@ -167,7 +164,7 @@ def _positions_of_long(rows: DataFrame, keys: Sequence[str], order: Sequence[str
     A part can end one series and begin the next; where a series begins in it, and how many of
     its rows earlier parts have, is a table of a row per part and series.
     """
-    placed = range_parts(rows.drop(*LONG_FIELDS), keys, order, scale)
+    placed = range_parts(rows.drop("__n"), keys, order, scale)
     parts = placed.groupBy(*keys, "__part").agg(
         F.count(F.lit(1)).alias("__rows"), F.min("__in_part").alias("__first"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,7 +185,7 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     plain = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint")
     if long is None:
         return df.withColumn(name, plain)
-    short, hot = split_long(df, long, scale)
+    short, hot = split_long(keep_once(df), long, scale)
     return short.withColumn(name, plain).unionByName(
         _positions_of_long(hot, keys, order, name, scale))
 
@@ -215,7 +212,7 @@ def along_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], reach
     window = Window.partitionBy(*keys).orderBy(*order)
     if long is None:
         return step(df, window)
-    short, hot = split_long(df, long, scale)
+    short, hot = split_long(keep_once(df), long, scale)
     size = max(scale.max_group_rows, reach, 1)
     home = F.col("__home")
     wanted = F.when(F.col("__at") % size >= size - reach, F.array(home, home + 1)).otherwise(

@@ -12,7 +12,9 @@ from ..functions.scalars import clip_lower, clip_upper, nan_free
 from ..operators.align import join_on_hour, overlay_last, to_hour
 from ..operators.fences import QUARTILES, clip_to_fences, fence
 from ..operators.fill import fill_long, fill_series, fill_short
-from ..operators.scale import LONG_FIELDS, attach, find_long, row_positions, settle, split_long
+from ..operators.scale import (
+    attach, find_long, keep_once, row_positions, settle, split_long,
+)
 
 
 def _clip_short(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str],
@@ -53,8 +55,8 @@ def clean_panel(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp
     if long is None:
         filled = short_plan(rows)
     else:
-        short, hot = split_long(rows, long, scale)
-        hot_rows = hot.drop(*LONG_FIELDS)
+        short, hot = split_long(keep_once(rows), long, scale)
+        hot_rows = hot.drop("__n")
         clipped = clip_to_fences(hot_rows, fenced, used, s.fence_factor, scale, long)
         _, again = split_long(clipped, long, scale)
         filled = short_plan(short).unionByName(
@@ -63,9 +65,11 @@ def clean_panel(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp
 
 
 def panel_within(readings: DataFrame, weather: DataFrame, key: str, ts: str, settings: CleanSettings,
-                 scale: ScaleSettings, look_ahead: bool = True) -> tuple[DataFrame, int]:
+                 scale: ScaleSettings, look_ahead: bool = True, live: DataFrame | None = None
+                 ) -> tuple[DataFrame, int]:
     """Shared weather and readings of each series, from its first reading to ``interpolate_limit``
-    weather hours after its last, and a bound of the rows of a series.
+    weather hours after its last, and a bound of the rows of a series. ``live`` rows count as
+    readings for the span, so that one can be laid over its hour.
 
     Rows outside would have no target after cleaning. As fills of the weather look beyond, it is
     filled before, once per hour; without ``look_ahead`` only from earlier hours. Spans are places
@@ -80,7 +84,11 @@ def panel_within(readings: DataFrame, weather: DataFrame, key: str, ts: str, set
     filled = fill_series(one, ["__one"], [ts], edges, scale=scale, rows_bound=n, ahead="__ahead")
     hours = settle(row_positions(filled, ["__one"], [ts], "__hour", scale, n).drop("__one", "__ahead"))
     heard = settle(readings.select(key, ts, *there))
-    spans = settle(heard.join(hours.select(ts, "__hour"), ts).groupBy(key).agg(
+    told = heard.select(key, ts)
+    if live is not None:
+        own = heard.select(key).distinct()
+        told = told.union(live.select(key, ts).join(own, key, "left_semi"))
+    spans = settle(told.join(hours.select(ts, "__hour"), ts).groupBy(key).agg(
         F.min("__hour").alias("__first"), F.count(F.lit(1)).alias("__n"),
         F.least(F.max("__hour") + settings.interpolate_limit, F.lit(n - 1)).alias("__last")))
     bound = spans.agg(F.max(F.col("__last") - F.col("__first") + 1 + F.col("__n"))).first()[0] or 0
@@ -89,20 +97,29 @@ def panel_within(readings: DataFrame, weather: DataFrame, key: str, ts: str, set
     return panel.join(heard, [key, ts], "left"), bound
 
 
-def clean_series(readings: DataFrame, weather: DataFrame, key: str | None = None,
-                 ts: str = "timestamp", settings: CleanSettings = CleanSettings(),
-                 scale: ScaleSettings = ScaleSettings(), live: DataFrame | None = None,
-                 live_ordinal: str = "ordinal", rows_bound: int | None = None) -> DataFrame:
-    """Readings joined to weather hours, overlaid with the last live row, and cleaned."""
+def clean_and_bound(readings: DataFrame, weather: DataFrame, key: str | None = None,
+                    ts: str = "timestamp", settings: CleanSettings = CleanSettings(),
+                    scale: ScaleSettings = ScaleSettings(), live: DataFrame | None = None,
+                    live_ordinal: str = "ordinal", rows_bound: int | None = None
+                    ) -> tuple[DataFrame, int | None]:
+    """:func:`clean_series`, and a bound of the rows of a series if one is known."""
     weather, readings = to_hour(weather, ts), to_hour(readings, ts)
-    if key is not None and key not in weather.columns and live is None:
-        joined, bound = panel_within(readings, weather, key, ts, settings, scale)
+    live = None if live is None else to_hour(live, ts)
+    if key is not None and key not in weather.columns:
+        joined, bound = panel_within(readings, weather, key, ts, settings, scale, live=live)
         rows_bound = bound if rows_bound is None else min(bound, rows_bound)
     else:
         joined = join_on_hour(weather, readings, key, ts, scale=scale)
     if live is not None:
-        joined = overlay_last(joined, to_hour(live, ts), live_ordinal, key, ts,
-                              settings.target, scale)
+        joined = overlay_last(joined, live, live_ordinal, key, ts, settings.target, scale)
     keys = [key] if key else []
     columns = [c for c in (*WEATHER_COLUMNS, *READING_COLUMNS) if c in joined.columns]
-    return clean_panel(joined.select(*keys, ts, *columns), keys, ts, settings, scale, rows_bound)
+    return clean_panel(joined.select(*keys, ts, *columns), keys, ts, settings, scale, rows_bound), rows_bound
+
+
+def clean_series(readings: DataFrame, weather: DataFrame, key: str | None = None,
+                 ts: str = "timestamp", settings: CleanSettings = CleanSettings(),
+                 scale: ScaleSettings = ScaleSettings(), live: DataFrame | None = None,
+                 live_ordinal: str = "ordinal", rows_bound: int | None = None) -> DataFrame:
+    """Readings joined to weather hours, overlaid with the last live row, and cleaned."""
+    return clean_and_bound(readings, weather, key, ts, settings, scale, live, live_ordinal, rows_bound)[0]

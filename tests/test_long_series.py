@@ -5,12 +5,13 @@ import struct
 
 import numpy as np
 import pytest
-from helpers import same_rows
+from helpers import plan_text, same_rows
 from pyspark.sql import functions as F
 
 from hourloom import fixtures as fx
 from hourloom.config import ScaleSettings
 from hourloom.operators.features import build_features
+from hourloom.operators.fill import fill_series
 from hourloom.operators.order_stats import bits_value, nested_quantiles, ordered_bits, quantiles
 from hourloom.operators.scale import attach, range_parts, row_positions, settle, table_bytes
 from hourloom.plans.clean import clean_panel
@@ -170,3 +171,12 @@ def test_both_quantile_plans_agree_to_the_last_bit(spark):
     probs = (0.1, 0.25, 0.3333, 0.5, 0.75, 0.999)
     plain = quantiles(df, ["v"], probs).first()
     assert quantiles(df, ["v"], probs, scale=ScaleSettings(max_group_rows=50)).first() == plain
+
+
+def test_what_long_series_come_from_is_computed_once(spark, folder):
+    """The plan reads the rows it has kept, not their source."""
+    source = fx.events(spark, folder).select("event_type", "ts", "event_id", F.when(
+        F.col("event_id") % 3 > 0, F.col("value")).alias("v"))
+    out = fill_series(source, ["event_type"], ["ts", "event_id"], ["v"], None, 3, ScaleSettings(max_group_rows=60))
+    assert "events.parquet" in plan_text(source) and "events.parquet" not in plan_text(out)
+    same_rows(out, fill_series(source, ["event_type"], ["ts", "event_id"], ["v"]))

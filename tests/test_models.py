@@ -11,8 +11,8 @@ from hourloom.config import (
 )
 from hourloom.models.bundle import Bundle, align_features, load_bundle, save_bundle, score_recent
 from hourloom.models.trainers import (
-    fit, fit_boosting, fit_ridge, importances, stats_before_folds, tail_errors, top_importances,
-    train_stats,
+    first_rounds, fit, fit_boosting, fit_ridge, fit_until_patience, importances, stats_before_folds,
+    tail_errors, top_importances, train_stats,
 )
 from hourloom.operators.scale import settle
 from hourloom.operators.validate import assign_folds
@@ -140,3 +140,27 @@ def test_early_stopping_on_noise_keeps_few_rounds(spark):
     df["x"] = rng.normal(size=400)
     model = fit_boosting(spark.createDataFrame(df), ["x"], "pm25", BoostingSettings(rounds=60, depth=3, patience=10))
     assert model.stages[-1].getNumTrees < 60
+
+
+def test_a_strong_signal_takes_more_than_one_round(spark):
+    """Each round removes a part of the error, so a model that stopped at the first would be wrong."""
+    df = hours(spark, [float(i % 29) for i in range(300)], column="x").withColumn("pm25", 10 * F.col("x"))
+    settings = BoostingSettings(rounds=40, depth=3, step=0.1, patience=5)
+    model, tried = fit_until_patience(df, ["x"], "pm25", settings)
+    best = tried.index(min(tried)) + 1
+    assert best > 10 and len(tried) >= min(settings.rounds, best + 5)
+    assert tail_errors(model, df, "pm25", settings=settings) == pytest.approx(tried[:best])
+
+
+def test_first_rounds_are_the_model_fitted_with_so_many(rows, spark):
+    whole = fit_boosting(rows, NAMES, "pm25", BoostingSettings(rounds=8, depth=3), stop_early=False)
+    few = fit_boosting(rows, NAMES, "pm25", BoostingSettings(rounds=3, depth=3), stop_early=False)
+    cut = first_rounds(whole.stages[-1], 3)
+    ready = whole.stages[0].transform(rows)
+    got, want = ([r["prediction"] for r in m.transform(ready).orderBy("timestamp").collect()] for m in (cut, few.stages[-1]))
+    assert got == pytest.approx(want) and len(cut.featureImportances) == len(NAMES)
+    assert cut.evaluateEachIteration(ready, "squared") == pytest.approx(whole.stages[-1].evaluateEachIteration(ready, "squared")[:3])
+    path = scratch(spark)
+    cut.write().save(path)
+    again = type(cut).load(path).transform(ready).orderBy("timestamp").collect()
+    assert [r["prediction"] for r in again] == pytest.approx(want)
