@@ -512,7 +512,9 @@ def _scores(model: str) -> Query:
     def run(spark, d):
         rows, names = _stored_features(spark, d)
         folded = validate.assign_folds(rows).persist()
-        return model_scores(folded, [model], names, "pm25")
+        scores = settle(model_scores(folded, [model], names, "pm25"))
+        folded.unpersist()
+        return scores
     return run
 
 
@@ -583,13 +585,13 @@ ONE = ["pm25_lag_1h"]  # with one feature the fit has a closed form that SQL can
 
 @query
 def ridge_fold_rows(spark, d):
-    folded = validate.assign_folds(_stored_features(spark, d)[0]).persist()
+    folded = validate.assign_folds(_stored_features(spark, d)[0])
     return tidy(fold_predictions(folded, "ridge", ONE, "pm25"))
 
 
 @query
 def ridge_one_feature_scores(spark, d):
-    folded = validate.assign_folds(_stored_features(spark, d)[0]).persist()
+    folded = validate.assign_folds(_stored_features(spark, d)[0])
     return model_scores(folded, ["ridge"], ONE, "pm25")
 
 
@@ -634,7 +636,9 @@ def forest_fold_checks(spark, d):
         parts.append(trained.transform(folded.where(F.col("test_fold") == i)).agg(
             F.lit(i).alias("fold"), F.count("*").alias("n"), F.every(_finite("prediction")).alias("finite"),
             F.every(F.col("prediction").between(low - 1e-9, high + 1e-9)).alias("inside")))
-    return reduce(DataFrame.unionByName, parts)
+    out = settle(reduce(DataFrame.unionByName, parts))
+    folded.unpersist()
+    return out
 
 
 @query
