@@ -329,6 +329,7 @@ ORACLE: dict[str, str] = {
         cast(null as double) as pm10, case when sk%5=0 then null else no2 end as no2,
         cast(null as double) as o3, case when sk%3=0 then null else cast(n as double) end as aqi
         from fx_obs where sk%11<>0""",
+    "station_feed_rejects": BASE + "select station, 'status' as reason, count(*) as n from fx_obs where sk%11=0 group by 1",
     "weather_payload_rows": BASE + "select * from fx_cov",
     "bounded_history_load": """select event_id, ts, value from events
         where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-19'""",

@@ -31,7 +31,7 @@ from ..plans.experiment import fold_models, fold_predictions, model_scores, run_
 from ..plans.monitor import latest_risk, recent_risk
 from ..plans.train_only import clean_train_only as train_only_rows
 from ..plans.train_only import fold_features, train_only_scores
-from ..sources.payloads import station_rows, weather_rows
+from ..sources.payloads import rejected_stations, station_rows, weather_rows
 from ..sources.tables import bounded_history, read_dated, write_dated, write_records
 from ..streaming.hourly import (
     append_hours, append_missed, closed_hours, late_hours, missed_hours, newest_hours, record_hours,
@@ -98,6 +98,12 @@ def station_feed_rows(spark, d):
         "station", "timestamp", "pm25", "pm10", "no2", "o3", "aqi")
 
 
+@query
+def station_feed_rejects(spark, d):
+    """Payloads without a row, by station and reason."""
+    return rejected_stations(fx.station_payloads(spark, d))
+
+
 @query
 def weather_payload_rows(spark, d):
     return weather_rows(fx.weather_payloads(spark, d))

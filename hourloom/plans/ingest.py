@@ -28,11 +28,12 @@ def run_ingest(spark: SparkSession, station_path: str, weather_path: str, histor
                as_of: date, days: int, out: str | None = None, key: str = "station",
                settings: CleanSettings = CleanSettings(),
                scale: ScaleSettings = ScaleSettings(),
-               weather_per_series: bool = False) -> DataFrame:
+               weather_per_series: bool = False, overlay: bool = False) -> DataFrame:
     """Parse, bound, splice, clean, and write under the run date.
 
     Station and weather payloads are landed JSON lines; history is a parquet table of readings.
-    Weather is shared by all series unless its payloads are said to belong to one series each.
+    Weather is shared by all series unless its payloads are said to belong to one series each. With
+    ``overlay`` the last landed reading of each series is laid over its hour, a missing value too.
     With ``out`` the returned frame reads the written date, so nothing is computed twice.
     """
     live = station_rows(read_payloads(spark, station_path, key), key=key)
@@ -41,7 +42,8 @@ def run_ingest(spark: SparkSession, station_path: str, weather_path: str, histor
     weather = bounded_history(
         weather_rows(landed, keep=(key,) if weather_per_series else ()), as_of, days)
     readings = one_per_hour(splice_history(history, live, key=key), key)
-    clean = clean_series(readings, weather, key, settings=settings, scale=scale)
+    last = live.withColumn("ordinal", F.struct("timestamp", "aqi")) if overlay else None
+    clean = clean_series(readings, weather, key, settings=settings, scale=scale, live=last)
     if out is None:
         return clean
     write_dated(clean, out, as_of)

@@ -21,23 +21,36 @@ WEATHER_SCHEMA = "hourly struct<time: array<string>, " + ", ".join(
     f"{name}: array<double>" for name, _ in WEATHER_FIELDS) + ">"
 
 
+def _judged(landed: DataFrame, payload: str) -> DataFrame:
+    """Adds the parsed payload, its time, and why it gives no row (NULL: it gives one)."""
+    fields = F.from_json(payload, "data map<string, string>")["data"]
+    whole = F.coalesce(F.map_contains_key(fields, "aqi") & F.map_contains_key(fields, "iaqi"), F.lit(False))
+    parsed = landed.withColumns({"__p": F.from_json(payload, STATION_SCHEMA), "__whole": whole})
+    parsed = parsed.withColumn("__time", F.col("__p.data.time.iso").try_cast("timestamp_ntz"))
+    status = F.col("__p.status")
+    return parsed.withColumn("__reason", F.when(status.isNull(), "unreadable").when(status != "ok", "status").when(
+        ~F.col("__whole"), "incomplete").when(F.col("__time").isNull(), "time"))
+
+
 def station_rows(landed: DataFrame, payload: str = "payload", key: str = "station",
                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """One reading per payload whose status is ok; unreadable payloads give no row.
+    """One reading per payload whose status is ok; the others are counted by ``rejected_stations``.
 
     An absent pollutant or a non-numeric index is missing; a payload without an index or without
     the block of pollutants gives no row. The zone offset is dropped.
     """
-    fields = F.from_json(payload, "data map<string, string>")["data"]
-    landed = landed.where(F.map_contains_key(fields, "aqi") & F.map_contains_key(fields, "iaqi"))
-    parsed = landed.withColumn("__p", F.from_json(payload, STATION_SCHEMA))
-    ok = parsed.where((F.col("__p.status") == "ok") & F.col("__p.data.time.iso").isNotNull())
-    iso = F.col("__p.data.time.iso")
     value = lambda name: missing_as_null(F.col(f"__p.data.iaqi.{name}.v")).alias(name)
-    rows = ok.select(
-        key, *keep, iso.try_cast("timestamp_ntz").alias("timestamp"),
+    return _judged(landed, payload).where(F.col("__reason").isNull()).select(
+        key, *keep, F.col("__time").alias("timestamp"),
         *[value(n) for n in ("pm25", "pm10", "no2", "o3")], F.col("__p.data.aqi").alias("aqi"))
-    return rows.where(F.col("timestamp").isNotNull())
+
+
+def rejected_stations(landed: DataFrame, payload: str = "payload", key: str = "station",
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """The payloads that ``station_rows`` has no row for: their number by station and reason
+    (unreadable, status, incomplete, time)."""
+    rejected = _judged(landed, payload).where(F.col("__reason").isNotNull())
+    return rejected.groupBy(key, *keep, F.col("__reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 def weather_rows(landed: DataFrame, payload: str = "payload",

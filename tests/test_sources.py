@@ -10,7 +10,9 @@ from hourloom.catalog.queries import scratch
 from hourloom.operators import align
 from hourloom.plans.clean import clean_panel, clean_series
 from hourloom.plans.ingest import run_ingest
-from hourloom.sources.payloads import rejected_times, station_rows, weather_rows
+from hourloom.sources.payloads import (
+    rejected_stations, rejected_times, station_rows, weather_rows,
+)
 from hourloom.sources.tables import bounded_history, history_bounds, read_dated, write_dated
 
 
@@ -30,6 +32,11 @@ def test_station_payload_cases(spark):
     assert (out["full"]["pm25"], out["full"]["pm10"], out["full"]["aqi"]) == (12.5, 9.0, 80.0)
     assert out["partial"]["pm25"] is None and out["partial"]["aqi"] is None
     assert out["partial"]["no2"] == 3.0
+    more = [("down", '{"status":"ok","data":{"aqi":1}}'), ("late", (ok % ("1", "")).replace("2024-01-01T", "soon")), ("down", None)]
+    rejected = {(r["station"], r["reason"]): r["n"] for r in rejected_stations(
+        spark.createDataFrame(rows + more, "station string, payload string")).collect()}
+    assert rejected == {("down", "status"): 1, ("down", "incomplete"): 1, ("down", "unreadable"): 1,
+                        ("broken", "unreadable"): 1, ("empty", "unreadable"): 1, ("late", "time"): 1}
 
 
 def test_weather_payload_with_missing_element(spark):
