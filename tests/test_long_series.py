@@ -13,7 +13,7 @@ from hourloom.config import ScaleSettings
 from hourloom.operators.features import build_features
 from hourloom.operators.fill import fill_series
 from hourloom.operators.order_stats import bits_value, nested_quantiles, ordered_bits, quantiles
-from hourloom.operators.scale import attach, range_parts, row_positions, settle, table_bytes
+from hourloom.operators.scale import attach, part_count, range_parts, row_positions, settle, table_bytes
 from hourloom.plans.clean import clean_panel
 
 CUT = ScaleSettings(max_group_rows=200)
@@ -75,6 +75,16 @@ def test_no_part_is_much_wider_than_the_limit(spark, order):
     same_rows(row_positions(rows, ["k"], [order, "id"]), row_positions(rows, ["k"], [order, "id"], scale=scale))
 
 
+def test_many_rows_over_a_low_limit_make_few_parts(spark):
+    """The driver takes a sample of the keys for every part."""
+    rows = spark.range(15_000).select(F.lit("a").alias("k"), (F.col("id") % 7).alias("ts"), "id")
+    scale = ScaleSettings(max_group_rows=50)
+    assert range_parts(rows, ["k"], ["ts", "id"], scale).agg(F.max("__part")).first()[0] < 200
+    same_rows(row_positions(rows, ["k"], ["ts", "id"]), row_positions(rows, ["k"], ["ts", "id"], scale=scale))
+    assert [part_count(n, 5_000) for n in (1, 600_000, 36_000_000, 216_000_000)] == [1, 200, 200, 432]
+    assert part_count(216_000_000, 1_000_000) == 432
+
+
 def test_cleaning(panel):
     same_rows(clean_panel(panel, ["station"]), clean_panel(panel, ["station"], scale=CUT))
 
