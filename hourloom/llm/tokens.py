@@ -31,7 +31,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: i
         end, pack = np.array([end_id], words.dtype).tobytes(), zstandard.ZstdCompressor(1).compress
         for batch in batches:
             for piece in pieces(batch, "__text"):
-                ids = [pack(i + end) for i in words.encode([t or "" for t in piece.column("__text").to_pylist()])]
+                ids = [pack(i + end) for i in words.encode(piece.column("__text"))]
                 yield pa.RecordBatch.from_arrays([piece.column("__key"), pa.array(ids, pa.binary())], ["__key", "__ids"])
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))

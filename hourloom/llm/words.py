@@ -5,11 +5,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
-
-#: Words and pre-tokens that are remembered, about; longer ones than this aren't.
-KEPT_WORDS, KEPT_PARTS, KEPT_LENGTH = 200_000, 800_000, 64
-#: str.split() also cuts at these, the tokenizer's white space doesn't.
-_OTHER_SPACE = re.compile("[\x1c-\x1f]")
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
+
+#: Words, and pre-tokens of words with capitals or signs, that are remembered, about; longer ones than this aren't.
+KEPT_WORDS, KEPT_PARTS, KEPT_LENGTH = 800_000, 200_000, 64
+#: Splitting at Unicode's white space also cuts at these, the tokenizer's white space doesn't.
+_OTHER_SPACE = "[\x1c-\x1f]"
+#: A pre-token always ends between a letter and an ASCII sign, but not always between a sign and a letter.
+_SIGN_BEHIND = r"([A-Za-z])([!-/:-@\[-`{-~])"
 #: Letters that Unicode neither composes nor lower-cases further, then ASCII signs.
 _PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-ɏ]+)([!-/:-@\[-`{-~]*)")
 
@@ -23,13 +30,33 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
 
 
+class _Kept(dict):
+    """Values of a function by word, half of the limit of them; those met before these stay at hand
+    in `before`, so a word that keeps coming is never worked out again. Long words aren't kept."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        self.make, self.half, self.before = make, max(limit // 2, 1), {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
+            if len(word) > KEPT_LENGTH:
+                return value
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts as bytes of a little-endian unsigned type.
 
-    For a byte-level tokenizer that lower-cases, cuts at white space and drops it, so that a text's
-    ids are those of its words one after another. A word of plain letters, with ASCII signs after
-    it, is two pre-tokens; the library's model gets those directly, and their ids are kept apart, as
-    the letters come back with other signs. All other words go through the whole tokenizer.
+    For a byte-level tokenizer that lower-cases, cuts at white space and drops it, and cuts between
+    letters and signs behind them, so that a text's ids are those of its words one after another. A
+    word of plain letters, with ASCII signs after it, is two pre-tokens; the library's model gets
+    those directly. All other words, and texts that hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -40,44 +67,51 @@ class WordEncoder:
         self.model = self.tokenizer.model
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self.code = ("<u2", "H") if small else ("<u4", "I")
+        self.packed = [array(self.code, [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_OTHER_SPACE, *special])
+        self.words, self.parts = _Kept(self._word, KEPT_WORDS), _Kept(self._part, KEPT_PARTS)
 
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            shown = part if part.isascii() else part.translate(self.letters)
-            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.parts) >= KEPT_PARTS:
-                self.parts.clear()
-            if len(part) <= KEPT_LENGTH:
-                self.parts[part] = ids
-        return ids
+        shown = part if part.isascii() else part.translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word.lower())
         if not plain:
             return self._ids(word)
         letters, signs = plain.groups()
-        return self._part(letters) + self._part(signs) if signs else self._part(letters)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)}
-        split = [() if i in odd else t.split() for i, t in enumerate(texts)]
-        here = set().union(*split)
-        known = self.words
-        if len(known) > KEPT_WORDS:  # go on with the words at hand
-            known = self.words = {w: known[w] for w in here if w in known}
-        passing = {}
-        for word in here.difference(known):
-            (known if len(word) <= KEPT_LENGTH else passing)[word] = self._word(word)
-        get = ({**passing, **{w: known[w] for w in here if w in known}} if passing else known).__getitem__
-        return [self._ids(t) if i in odd else b"".join(map(get, words))
-                for i, (t, words) in enumerate(zip(texts, split))]
+        if letters == word:
+            return self._part(word)
+        return self.parts[letters] + self.parts[signs] if signs else self.parts[letters]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Every distinct word of the texts is looked up once; NULL is an empty text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+        whole = pa.compute.match_substring_regex(column, self.whole)
+        apart = pa.compute.replace_substring_regex(pa.compute.if_else(whole, "", column), _SIGN_BEHIND, r"\1 \2")
+        split = pa.compute.utf8_split_whitespace(apart)
+        words = split.values.dictionary_encode()
+        every = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        lines = pa.compute.binary_join(every, pa.scalar("\n", pa.large_string()))[0].as_py()
+        found = list(map(self.words.__getitem__, lines.split("\n")))
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        shift = (np.cumsum(sizes) - sizes)[at] - ends[:-1]
+        ids = np.frombuffer(b"".join(found), self.dtype)[np.arange(ends[-1]) + np.repeat(shift, n)].tobytes()
+        cuts = (ends[split.offsets.to_numpy()] * width).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._ids(column[i].as_py())
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

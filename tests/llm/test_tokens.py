@@ -1,8 +1,10 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -51,6 +53,25 @@ def test_small_memory(monkeypatch):
         assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_signs_behind_a_word_make_no_new_words(monkeypatch):
+    made, word = [], words.WordEncoder._word
+    monkeypatch.setattr(words.WordEncoder, "_word", lambda self, w: (made.append(w), word(self, w))[1])
+    own, plain = words.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    names = ["".join(p) for p in itertools.product("abc", repeat=3)]
+    text = " ".join(n + s for s in ("", ".", ",", "!?", "...") for n in names)
+    assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(made) == len(names) + 4
+
+
+def test_arrow_texts_nulls_and_special_tokens():
+    own, plain = words.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["skip", "one,two. Three!", None, "", "  \n", "a<|endoftext|>b, c", "end<|ENDOFTEXT|>.", "x\x1dy, z", "Don't a.b's."]
+    column = pa.array(texts, pa.large_string())
+    for rows, part in ((texts, pa.array(texts)), (texts[1:], column.slice(1)), ([], column.slice(0, 0)), ([None], pa.array([None], pa.string()))):
+        assert [np.frombuffer(i, own.dtype).tolist() for i in own.encode(part)] == [
+            plain.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+
 @pytest.mark.parametrize("container", [100, 1 << 20])
 def test_files_hold_all_ids_in_order(spark, tmp_path, monkeypatch, container):
     monkeypatch.setattr(tokens, "CONTAINER_IDS", container)
