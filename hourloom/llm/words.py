@@ -31,22 +31,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Values of a function by word, half of the limit of them; those met before these stay at hand
-    in `before`, so a word that keeps coming is never worked out again. Long words aren't kept."""
+    """Values of a function by word; it starts anew at the limit. Long words aren't kept."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
-        self.make, self.half, self.before = make, max(limit // 2, 1), {}
+        self.make, self.limit = make, limit
 
     def __missing__(self, word: str) -> bytes:
-        value = self.before.get(word)
-        if value is None:
-            value = self.make(word)
-            if len(word) > KEPT_LENGTH:
-                return value
-        if len(self) >= self.half:
-            self.before = dict(self)
-            self.clear()
-        self[word] = value
+        value = self.make(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -81,6 +76,8 @@ class WordEncoder:
         return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return self._part(word)
         plain = _PLAIN.fullmatch(word.lower())
         if not plain:
             return self._ids(word)
