@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hourloom import fixtures as fx
 from hourloom.config import ScaleSettings
+from hourloom.operators import scale as scale_module
 from hourloom.operators.features import build_features
 from hourloom.operators.fill import fill_series
 from hourloom.operators.order_stats import bits_value, nested_quantiles, ordered_bits, quantiles
@@ -85,6 +86,28 @@ def test_many_rows_over_a_low_limit_make_few_parts(spark):
     assert part_count(216_000_000, 1_000_000) == 432
 
 
+def most_parts(monkeypatch):
+    """The numbers of parts that the plans for long series divide rows into from now on."""
+    seen, divide = [], scale_module.range_parts
+
+    def watched(*args):
+        placed = divide(*args)
+        seen.append(placed.agg(F.max("__part")).first()[0] + 1)
+        return placed
+
+    monkeypatch.setattr(scale_module, "range_parts", watched)
+    return seen
+
+
+def test_fills_of_many_rows_over_a_low_limit_use_few_parts(spark, monkeypatch):
+    seen = most_parts(monkeypatch)
+    rows = spark.range(15_000).select(F.lit("a").alias("k"), (F.col("id") % 7).alias("ts"), "id", F.when(
+        F.col("id") % 5 == 0, F.col("id") * 1.0).alias("v"), F.when(F.col("id") % 9 == 4, F.col("id") * 2.0).alias("w"))
+    cut = fill_series(rows, ["k"], ["ts", "id"], ["v"], "w", 3, ScaleSettings(max_group_rows=50))
+    assert len(seen) == 1 and seen[0] <= 200
+    same_rows(cut, fill_series(rows, ["k"], ["ts", "id"], ["v"], "w", 3))
+
+
 def test_cleaning(panel):
     same_rows(clean_panel(panel, ["station"]), clean_panel(panel, ["station"], scale=CUT))
 
