@@ -14,7 +14,7 @@ from hourloom.operators import scale as scale_module
 from hourloom.operators.features import build_features
 from hourloom.operators.fill import fill_series
 from hourloom.operators.order_stats import bits_value, nested_quantiles, ordered_bits, quantiles
-from hourloom.operators.scale import attach, part_count, range_parts, row_positions, settle, table_bytes
+from hourloom.operators.scale import along_series, attach, part_count, range_parts, row_positions, settle, table_bytes
 from hourloom.plans.clean import clean_panel
 
 CUT = ScaleSettings(max_group_rows=200)
@@ -108,6 +108,18 @@ def test_fills_of_many_rows_over_a_low_limit_use_few_parts(spark, monkeypatch):
     same_rows(cut, fill_series(rows, ["k"], ["ts", "id"], ["v"], "w", 3))
 
 
+def test_windows_of_many_rows_over_a_low_limit_use_few_parts(spark, monkeypatch):
+    seen = most_parts(monkeypatch)
+    rows = spark.range(15_000).select(F.lit("a").alias("k"), (F.col("id") % 7).alias("ts"), "id")
+
+    def step(df, window):
+        return df.withColumns({"back": F.lag("id", 40).over(window), "sum": F.sum("id").over(window.rowsBetween(-9, -1))})
+
+    cut = along_series(rows, ["k"], ["ts", "id"], 40, step, ScaleSettings(max_group_rows=50))
+    assert len(seen) == 1 and seen[0] <= 200
+    same_rows(cut, along_series(rows, ["k"], ["ts", "id"], 40, step))
+
+
 def test_cleaning(panel):
     same_rows(clean_panel(panel, ["station"]), clean_panel(panel, ["station"], scale=CUT))
 
